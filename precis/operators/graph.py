@@ -71,33 +71,45 @@ def power_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping
 
     ``nodes``: (doc_id, sent_id); ``edges``: undirected (doc_id, src, dst, w) with w > 0.
     r0 = 1/n; r' = (1-d)/n + d * (sum_j r_j w_ji / out_j + dangling_mass / n).
+
+    One step is one join and one aggregation: the static transition rows are
+    extended with an ``own`` row per node (p = 0) that carries the node's
+    state through the join, so the rank frame is referenced once per step and
+    the plan grows linearly. The per-document dangling mass is a window sum.
     Lineage is cut every ``checkpoint_every`` steps with ``checkpoint()`` into
-    the session's checkpoint folder.
+    the session's checkpoint folder (when one is configured).
     """
+    from pyspark import StorageLevel
+    from pyspark.sql import Window
+
     spark = nodes.sparkSession
     e = edges.where(F.col("w") > 0).select("doc_id", "src", "dst", "w")
     directed = e.unionByName(e.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     outw = directed.groupBy("doc_id", "src").agg(F.sum("w").alias("ow"))
     trans = (directed.join(outw, ["doc_id", "src"])
-             .select("doc_id", "src", "dst", (F.col("w") / F.col("ow")).alias("p")))
+             .select("doc_id", "src", "dst", (F.col("w") / F.col("ow")).alias("p"), F.lit(False).alias("own")))
+    own = nodes.select("doc_id", F.col("sent_id").alias("src"), F.col("sent_id").alias("dst"),
+                       F.lit(0.0).alias("p"), F.lit(True).alias("own"))
+    moves = trans.unionByName(own).persist(StorageLevel.MEMORY_AND_DISK)
     n = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     has_out = outw.select("doc_id", F.col("src").alias("sent_id"), F.lit(False).alias("dangling"))
-    info = (nodes.select("doc_id", "sent_id").join(n, "doc_id")
+    rank = (nodes.select("doc_id", "sent_id").join(n, "doc_id")
             .join(has_out, ["doc_id", "sent_id"], "left")
-            .select("doc_id", "sent_id", "n", F.coalesce("dangling", F.lit(True)).alias("dangling")))
-    rank = info.withColumn("r", 1.0 / F.col("n"))
+            .select("doc_id", "sent_id", "n", F.coalesce("dangling", F.lit(True)).alias("dangling"),
+                    (1.0 / F.col("n")).alias("r")))
+    per_doc = Window.partitionBy("doc_id")
     for step in range(iterations):
-        contrib = (trans.join(rank.select("doc_id", F.col("sent_id").alias("src"), "r"), ["doc_id", "src"])
-                   .groupBy("doc_id", F.col("dst").alias("sent_id"))
-                   .agg(F.sum(F.col("p") * F.col("r")).alias("c")))
-        dmass = rank.where("dangling").groupBy("doc_id").agg(F.sum("r").alias("dm"))
-        rank = (rank.select("doc_id", "sent_id", "n", "dangling")
-                .join(contrib, ["doc_id", "sent_id"], "left")
-                .join(dmass, "doc_id", "left")
-                .select("doc_id", "sent_id", "n", "dangling",
-                        ((1.0 - damping) / F.col("n")
-                         + damping * (F.coalesce("c", F.lit(0.0))
-                                      + F.coalesce("dm", F.lit(0.0)) / F.col("n"))).alias("r")))
+        state = rank.select("doc_id", F.col("sent_id").alias("src"), "n", "dangling", "r")
+        agg = (moves.join(state, ["doc_id", "src"])
+               .groupBy("doc_id", F.col("dst").alias("sent_id"))
+               .agg(F.sum(F.col("p") * F.col("r")).alias("c"),
+                    F.max(F.when(F.col("own"), F.col("n"))).alias("n"),
+                    F.max(F.when(F.col("own"), F.col("dangling"))).alias("dangling"),
+                    F.max(F.when(F.col("own"), F.col("r"))).alias("r_old")))
+        dmass = F.sum(F.when(F.col("dangling"), F.col("r_old")).otherwise(F.lit(0.0))).over(per_doc)
+        rank = agg.select("doc_id", "sent_id", "n", "dangling",
+                          ((1.0 - damping) / F.col("n")
+                           + damping * (F.col("c") + dmass / F.col("n"))).alias("r"))
         if (checkpoint_every and (step + 1) % checkpoint_every == 0 and step + 1 < iterations
                 and checkpoint_dir(spark)):
             rank = rank.checkpoint(eager=True)

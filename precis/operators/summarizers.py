@@ -154,16 +154,16 @@ def kl(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
             cand = base
         else:
             s_counts = (tf.join(chosen.select("doc_id", "sent_id"), ["doc_id", "sent_id"])
-                        .groupBy("doc_id", "word").agg(F.sum("cs").alias("cS")))
-            n_s = chosen.join(base, ["doc_id", "sent_id"]).groupBy("doc_id").agg(F.sum("ns").alias("nS"))
+                        .groupBy("doc_id", "word").agg(F.sum("cs").alias("sel_c")))
+            n_s = chosen.join(base, ["doc_id", "sent_id"]).groupBy("doc_id").agg(F.sum("ns").alias("sel_n"))
             cand = base.join(chosen.select("doc_id", "sent_id"), ["doc_id", "sent_id"], "left_anti")
         terms = cand_terms if s_counts is None else cand_terms.join(s_counts, ["doc_id", "word"], "left")
-        c_s = F.lit(0.0) if s_counts is None else F.coalesce(F.col("cS"), F.lit(0)).cast("double")
+        c_s = F.lit(0.0) if s_counts is None else F.coalesce(F.col("sel_c"), F.lit(0)).cast("double")
         gain = (terms.groupBy("doc_id", "sent_id")
                 .agg(F.sum(F.col("pd") * (F.log(c_s + F.col("cs") + delta) - F.log(c_s + delta)))
                      .alias("gain")))
         scored = cand.join(gain, ["doc_id", "sent_id"], "left")
-        n_prev = F.lit(0) if chosen is None else F.coalesce(F.col("nS"), F.lit(0))
+        n_prev = F.lit(0) if chosen is None else F.coalesce(F.col("sel_n"), F.lit(0))
         if chosen is not None:
             scored = scored.join(n_s, "doc_id", "left")
         j = F.when(F.col("v") > 0,
