@@ -1,7 +1,10 @@
 """Sentence and token frames (B10, B11) and line segmentation.
 
 All generators run in the scan stage (``posexplode`` of a regex match array),
-so splitting a corpus costs no shuffle.
+so splitting a corpus costs no shuffle. The ``_outer`` generators plus an
+explicit null filter are used on purpose: for a plain ``explode`` Catalyst
+infers a ``size(array) > 0`` filter below the generator, which evaluates the
+regex extraction a second time.
 """
 
 from __future__ import annotations
@@ -21,15 +24,16 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return (docs
             .where(F.length(text_col) > 0)
             .select(F.col(id_col).alias("doc_id"),
-                    F.posexplode(sentence_array(text_col)).alias("sent_id", "raw"))
+                    F.posexplode_outer(sentence_array(text_col)).alias("sent_id", "raw"))
             .select("doc_id", "sent_id", strip_ws("raw").alias("sentence"))
             .where(F.col("sentence") != ""))
 
 
 def tokens(sents: DataFrame) -> DataFrame:
     """(doc_id, sent_id, pos, word): word tokens of every sentence, in order."""
-    return sents.select("doc_id", "sent_id",
-                        F.posexplode(token_array("sentence")).alias("pos", "word"))
+    return (sents.select("doc_id", "sent_id",
+                         F.posexplode_outer(token_array("sentence")).alias("pos", "word"))
+            .where(F.col("word").isNotNull()))
 
 
 def sentence_terms(toks: DataFrame) -> DataFrame:

@@ -436,9 +436,8 @@ SELECT model, category, round(precision, 6) AS precision, round(recall, 6) AS re
 SELECT model, round(sum(recall * support) / sum(support), 6) AS accuracy,
        round(sum(f1_score * support) / sum(support), 6) AS f1_weighted, round(avg(f1_score), 6) AS f1_macro
 FROM pc GROUP BY model"""
-    out["category_pivot"] = base + """,
-pv AS (PIVOT (SELECT model, category, round(f1_score, 6) AS f1 FROM pc) ON category USING first(f1) GROUP BY model)
-SELECT * FROM pv"""
+    out["category_pivot"] = ("PIVOT (" + base + """
+SELECT model, category, round(f1_score, 6) AS f1 FROM pc) ON category USING first(f1) GROUP BY model""")
 
     models = ", ".join(f"({lit(m)}, {lit('abstractive' if m in Q.ABSTRACTIVE_STUBS else 'extractive')})"
                        for m in Q.EFFICIENCY_MODELS)

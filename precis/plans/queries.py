@@ -19,6 +19,7 @@ from precis.operators.efficiency import efficiency_report
 from precis.operators.sentences import segment, sentences, tokens
 from precis.operators.split import stratified_split
 from precis.operators.topk import with_all_documents
+from precis.session import materialize
 from precis.sources.tables import table
 
 K = 3                     # extractive sentences per summary (reference config default)
@@ -222,8 +223,8 @@ def q_classify_summaries(spark, sf):
     for m in ("luhn", "random", "reduction"):
         part = with_all_documents(c.docs, S.EXTRACTIVE[m](c, K)).select(F.lit(m).alias("model"), "*")
         summ = part if summ is None else summ.unionByName(part)
-    recs = E.label_join(summ, labels).cache()
-    split = stratified_split(recs, "resume_id").cache()
+    recs = materialize(E.label_join(summ, labels))
+    split = materialize(stratified_split(recs, "resume_id"))
     res, _ = E.classify(recs, split)
     return res.select("model", r6("accuracy").alias("accuracy"), r6("f1_weighted").alias("f1_weighted"),
                       r6("f1_macro").alias("f1_macro"), "error")

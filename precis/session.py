@@ -63,3 +63,13 @@ def checkpoint_dir(spark: SparkSession, create: bool = False) -> str | None:
         return None
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def materialize(df):
+    """Cut the lineage of ``df``: ``checkpoint()`` into the shared checkpoint
+    folder when one is configured, else an eager cache (never localCheckpoint)."""
+    if checkpoint_dir(df.sparkSession):
+        return df.checkpoint(eager=True)
+    df = df.cache()
+    df.count()
+    return df
