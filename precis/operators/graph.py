@@ -90,9 +90,14 @@ def power_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping
              .select("doc_id", "src", "dst", (F.col("w") / F.col("ow")).alias("p"), F.lit(False).alias("own")))
     own = nodes.select("doc_id", F.col("sent_id").alias("src"), F.col("sent_id").alias("dst"),
                        F.lit(0.0).alias("p"), F.lit(True).alias("own"))
-    moves = trans.unionByName(own).persist(StorageLevel.MEMORY_AND_DISK)
+    # hash-partitioned on the join key once, then cached: every step shuffles
+    # only the small per-sentence state, never the edge rows again
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    moves = trans.unionByName(own).repartition(nparts, "doc_id", "src").persist(StorageLevel.MEMORY_AND_DISK)
     n = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    has_out = outw.select("doc_id", F.col("src").alias("sent_id"), F.lit(False).alias("dangling"))
+    # dangling = no outgoing edge; read from the cached moves, not recomputed
+    has_out = (moves.where(~F.col("own")).select("doc_id", F.col("src").alias("sent_id")).distinct()
+               .withColumn("dangling", F.lit(False)))
     rank = (nodes.select("doc_id", "sent_id").join(n, "doc_id")
             .join(has_out, ["doc_id", "sent_id"], "left")
             .select("doc_id", "sent_id", "n", F.coalesce("dangling", F.lit(True)).alias("dangling"),

@@ -40,9 +40,15 @@ class Corpus:
     toks: DataFrame
 
     @classmethod
-    def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> "Corpus":
+    def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           persist: bool = True) -> "Corpus":
+        """Split once; with ``persist`` the sentence frame is cached (memory,
+        spilling to disk) because every summariser reads it several times."""
+        from pyspark import StorageLevel
         d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         s = split_sentences(d)
+        if persist:
+            s = s.persist(StorageLevel.MEMORY_AND_DISK)
         return cls(d, s, split_tokens(s))
 
 
