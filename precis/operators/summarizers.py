@@ -65,10 +65,11 @@ def _pick(sents: DataFrame, scores: DataFrame, k: int, descending: bool = True)
 
 # --------------------------------------------------------------------- scores
 def luhn_scores(c: Corpus) -> DataFrame:
-    wc = Window.partitionBy("doc_id", "word")
-    sig = (c.toks.withColumn("freq", F.count(F.lit(1)).over(wc))
-           .where(F.col("freq") >= LUHN_MIN_FREQ)
-           .select("doc_id", "sent_id", "pos"))
+    # word counts are pre-aggregated map-side, then joined back: a hot
+    # (doc, word) key is split by AQE's skew join instead of one window task
+    freq = (c.toks.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("freq"))
+            .where(F.col("freq") >= LUHN_MIN_FREQ).select("doc_id", "word"))
+    sig = c.toks.join(freq, ["doc_id", "word"], "left_semi").select("doc_id", "sent_id", "pos")
     ws = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
     gap = F.col("pos") - F.lag("pos").over(ws) - 1
     clusters = (sig.withColumn("brk", F.when(gap <= LUHN_MAX_GAP, 0).otherwise(1))
@@ -84,6 +85,34 @@ def lsa_scores(c: Corpus) -> DataFrame:
     return tf.groupBy("doc_id", "sent_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("score"))
 
 
+def lsa_rank_scores(c: Corpus, topics: int = DEFAULT_K) -> DataFrame:
+    """J2 with ``topics`` latent dimensions: sqrt(sum_{i<r} sigma_i^2 v_ik^2).
+
+    The sparse term counts of one document are one group of
+    ``applyInPandas``; numpy forms the sentence Gram matrix A^T A and takes
+    its top eigenpairs (sigma_i^2, v_i). A group is one document (bounded by
+    the document's size, independent of the corpus size).
+    """
+    tf = c.toks.groupBy("doc_id", "sent_id", "word").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+
+    def per_doc(pdf):
+        import numpy as np
+        import pandas as pd
+        sents = np.sort(pdf["sent_id"].unique())
+        words = pdf["word"].unique()
+        si = {s: i for i, s in enumerate(sents)}
+        wi = {w: i for i, w in enumerate(words)}
+        a = np.zeros((len(words), len(sents)))
+        a[pdf["word"].map(wi).to_numpy(), pdf["sent_id"].map(si).to_numpy()] = pdf["tf"].to_numpy()
+        lam, vec = np.linalg.eigh(a.T @ a)
+        order = np.argsort(lam)[::-1][:max(1, min(topics, len(sents)))]
+        lam = np.clip(lam[order], 0.0, None)
+        score = np.sqrt((vec[:, order] ** 2 * lam).sum(axis=1))
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "sent_id": sents.astype("int32"), "score": score})
+
+    return tf.groupBy("doc_id").applyInPandas(per_doc, "doc_id long, sent_id int, score double")
+
+
 def reduction_scores(c: Corpus) -> DataFrame:
     e = graph.textrank_edges(c.toks)
     both = e.select("doc_id", F.col("src").alias("sent_id"), "weight").unionByName(
@@ -118,6 +147,10 @@ def lsa(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
     return _pick(c.sents, lsa_scores(c), k)
 
 
+def lsa_rank(c: Corpus, k: int = DEFAULT_K, topics: int | None = None) -> DataFrame:
+    return _pick(c.sents, lsa_rank_scores(c, topics or k), k)
+
+
 def reduction(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
     return _pick(c.sents, reduction_scores(c), k)
 
@@ -228,7 +261,7 @@ def first_words_generator(model: str, min_length: int, max_length: int):
 # --------------------------------------------------------------------- router
 EXTRACTIVE: dict[str, Callable[..., DataFrame]] = {
     "luhn": luhn, "lsa": lsa, "lexrank": lexrank, "textrank": textrank,
-    "kl": kl, "reduction": reduction, "random": random,
+    "kl": kl, "reduction": reduction, "random": random, "lsa_rank": lsa_rank,
 }
 ABSTRACTIVE: dict[str, Callable] = {}
 

@@ -99,6 +99,7 @@ def q_output_path(spark, sf):
 q_summ_random = _summary("summ_random", lambda c: S.random(c, K, SEED))
 q_summ_luhn = _summary("summ_luhn", lambda c: S.luhn(c, K))
 q_summ_lsa_norm = _summary("summ_lsa_norm", lambda c: S.lsa(c, K))
+q_summ_lsa_rank = _summary("summ_lsa_rank", lambda c: S.lsa_rank(c, K))
 q_summ_reduction = _summary("summ_reduction", lambda c: S.reduction(c, K))
 q_summ_textrank = _summary("summ_textrank", lambda c: S.textrank(c, K, RANK_STEPS))
 q_summ_lexrank = _summary("summ_lexrank", lambda c: S.lexrank(c, K, RANK_STEPS))
@@ -248,6 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "summ_random": q_summ_random,
     "summ_luhn": q_summ_luhn,
     "summ_lsa_norm": q_summ_lsa_norm,
+    "summ_lsa_rank": q_summ_lsa_rank,
     "summ_reduction": q_summ_reduction,
     "summ_textrank": q_summ_textrank,
     "summ_lexrank": q_summ_lexrank,

@@ -133,3 +133,25 @@ def test_router_and_abstractive_hook(spark):
     assert ("luhn", 1) in got and ("luhn", 2) not in got
     with pytest.raises(ValueError):
         S.summarize(df, ["nope"])
+
+
+def test_lsa_rank_matches_svd_and_norm(spark):
+    texts = ["a1 b1 c1 a1. b1 c1 d1. d1 e1 e1. zz yy. c1 a1 e1.", "one two. two three. four four."]
+    c = corpus(spark, texts)
+    got = {(r["doc_id"], r["sent_id"]): r["score"] for r in S.lsa_rank_scores(c, topics=2).collect()}
+    full = {(r["doc_id"], r["sent_id"]): r["score"] for r in S.lsa_rank_scores(c, topics=99).collect()}
+    norm = {(r["doc_id"], r["sent_id"]): r["score"] for r in S.lsa_scores(c).collect()}
+    for key in norm:                       # all topics kept -> column norm
+        assert abs(full[key] - norm[key]) < 1e-9
+    rows = c.toks.collect()
+    for d in (0, 1):
+        sents = sorted({r["sent_id"] for r in rows if r["doc_id"] == d})
+        words = sorted({r["word"] for r in rows if r["doc_id"] == d})
+        a = np.zeros((len(words), len(sents)))
+        for r in rows:
+            if r["doc_id"] == d:
+                a[words.index(r["word"]), sents.index(r["sent_id"])] += 1
+        u, sig, vt = np.linalg.svd(a, full_matrices=False)
+        want = np.sqrt(((vt[:2].T ** 2) * sig[:2] ** 2).sum(axis=1))
+        for i, s in enumerate(sents):
+            assert abs(got[(d, s)] - want[i]) < 1e-9
