@@ -186,3 +186,8 @@ def write_results(out_dir: str, overall: DataFrame | None = None, per_category:
              "classification_per_category")
     if efficiency is not None:
         _csv(_round(efficiency, ("total_s", "avg_s", "min_s", "max_s"), 3), "efficiency_summary")
+
+
+def preview(files: DataFrame, n: int = 5) -> list[str]:
+    """the first ``n`` discovered paths (the console preview; a limit is the feature)."""
+    return [r["path"] for r in files.select("path").orderBy("path").limit(n).collect()]
