@@ -9,6 +9,7 @@ keys rather than one task per document.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,9 @@ def textrank_edges(toks: DataFrame) -> DataFrame:
     a zero denominator (two one-token sentences) gives weight 0.
     """
     lens = toks.groupBy("doc_id", "sent_id").agg(F.count(F.lit(1)).alias("n_tok"))
+    # read twice by the self-join: cached (memory, spilling to disk)
     incidence = (toks.select("doc_id", "sent_id", "word").distinct()
-                 .join(lens, ["doc_id", "sent_id"]))
+                 .join(lens, ["doc_id", "sent_id"])).persist(StorageLevel.MEMORY_AND_DISK)
     pairs = (_pairs(incidence, ["n_tok"])
              .groupBy("doc_id", "src", "dst", "n_tok_a", "n_tok_b")
              .agg(F.count(F.lit(1)).alias("shared")))
@@ -54,7 +56,8 @@ def lexrank_edges(sents: DataFrame, toks: DataFrame) -> DataFrame:
     sf = tf.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("sf"))
     v = (tf.join(sf, ["doc_id", "word"]).join(n_sent, "doc_id")
          .select("doc_id", "sent_id", "word",
-                 (F.col("tf") * F.log(F.col("n_sent") / F.col("sf"))).alias("v")))
+                 (F.col("tf") * F.log(F.col("n_sent") / F.col("sf"))).alias("v"))
+         .persist(StorageLevel.MEMORY_AND_DISK))                    # read by norm and both join sides
     norm = v.groupBy("doc_id", "sent_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nrm"))
     dot = (_pairs(v, ["v"]).groupBy("doc_id", "src", "dst")
            .agg(F.sum(F.col("v_a") * F.col("v_b")).alias("dot")))
@@ -79,7 +82,6 @@ def power_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping
     Lineage is cut every ``checkpoint_every`` steps with ``checkpoint()`` into
     the session's checkpoint folder (when one is configured).
     """
-    from pyspark import StorageLevel
     from pyspark.sql import Window
 
     spark = nodes.sparkSession

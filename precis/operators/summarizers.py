@@ -41,7 +41,7 @@ class Corpus:
 
     @classmethod
     def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           persist: bool = True) -> "Corpus":
+           persist: bool = False) -> "Corpus":
         """Split once; with ``persist`` the sentence frame is cached (memory,
         spilling to disk) because every summariser reads it several times."""
         from pyspark import StorageLevel
@@ -176,16 +176,20 @@ def kl(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
     which equals KL(P_D || P_S') minus a per-document constant, with
     P_S'(w) = (c_S'(w)+delta) / (N_S' + delta*V). The lowest J wins (ties: sent_id).
     """
-    tf = c.toks.groupBy("doc_id", "sent_id", "word").agg(F.count(F.lit(1)).alias("cs"))
+    from pyspark import StorageLevel
+
+    tf = (c.toks.groupBy("doc_id", "sent_id", "word").agg(F.count(F.lit(1)).alias("cs"))
+          .persist(StorageLevel.MEMORY_AND_DISK))                    # read every round
     dw = tf.groupBy("doc_id", "word").agg(F.sum("cs").alias("cd"))
     dstat = dw.groupBy("doc_id").agg(F.sum("cd").alias("nd"), F.count(F.lit(1)).alias("v"))
     pd_ = dw.join(dstat, "doc_id").select("doc_id", "word", (F.col("cd") / F.col("nd")).alias("pd"))
-    cand_terms = tf.join(pd_, ["doc_id", "word"])                       # (doc, sent, word, cs, pd)
+    cand_terms = tf.join(pd_, ["doc_id", "word"]).persist(StorageLevel.MEMORY_AND_DISK)  # (doc, sent, word, cs, pd)
     ns = tf.groupBy("doc_id", "sent_id").agg(F.sum("cs").alias("ns"))
     base = (c.sents.select("doc_id", "sent_id").join(ns, ["doc_id", "sent_id"], "left")
             .join(dstat.select("doc_id", "v"), "doc_id", "left")
             .select("doc_id", "sent_id", F.coalesce("ns", F.lit(0)).alias("ns"),
-                    F.coalesce("v", F.lit(0)).alias("v")))
+                    F.coalesce("v", F.lit(0)).alias("v"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
     chosen = None                                                       # (doc_id, sent_id, rnd)
     for rnd in range(k):
         if chosen is None:
@@ -208,8 +212,11 @@ def kl(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
         j = F.when(F.col("v") > 0,
                    F.log(n_prev + F.col("ns") + F.lit(delta) * F.col("v")) - F.coalesce("gain", F.lit(0.0))
                    ).otherwise(F.lit(0.0))
-        best = top_k(scored.select("doc_id", "sent_id", j.alias("score")), 1, rank_key("score", False))
-        best = best.select("doc_id", "sent_id", F.lit(rnd).alias("rnd"))
+        # argmin per document as an aggregate (partial aggregation, no sort):
+        # ordering key (rounded score, sent_id) breaks ties by document order
+        key = F.struct(F.round(j, 9).alias("s"), F.col("sent_id").alias("i"))
+        best = (scored.groupBy("doc_id").agg(F.min_by("sent_id", key).alias("sent_id"))
+                .select("doc_id", "sent_id", F.lit(rnd).alias("rnd")))
         chosen = best if chosen is None else chosen.unionByName(best)
     picked = chosen.join(c.sents, ["doc_id", "sent_id"]).select("doc_id", "sent_id", "sentence")
     return assemble(picked)

@@ -48,7 +48,8 @@ def _docs(spark, sf):
 
 
 def _corpus(spark, sf) -> S.Corpus:
-    return S.Corpus.of(_docs(spark, sf))
+    # the sentence frame is read by scoring and by assembly: split the corpus once
+    return S.Corpus.of(_docs(spark, sf), persist=True)
 
 
 def _summary(name, fn):
