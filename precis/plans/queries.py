@@ -159,7 +159,7 @@ def _random_records(spark, sf):
 
 
 def q_tfidf_features(spark, sf):
-    recs = _random_records(spark, sf)
+    recs = materialize(_random_records(spark, sf))      # read by the split, the fit and the apply
     split = stratified_split(recs, "resume_id")
     train = split.where(F.col("fold") == "train").select(F.col("doc_id").alias("resume_id"))
     feats, _ = E.tfidf(recs, train)
@@ -179,7 +179,7 @@ def _rule_predictions(spark, sf):
     for m in RULE_MODELS:
         part = with_all_documents(c.docs, S.EXTRACTIVE[m](c, K)).select(F.lit(m).alias("model"), "*")
         summ = part if summ is None else summ.unionByName(part)
-    recs = E.label_join(summ, labels)
+    recs = materialize(E.label_join(summ, labels))     # read by predictions, labels and the grid
     split = stratified_split(labels)
     test = split.where(F.col("fold") == "test").select(F.col("doc_id").cast("string").alias("resume_id"))
     toks = T.token_array("summary")
@@ -189,7 +189,7 @@ def _rule_predictions(spark, sf):
     preds = (recs.join(test, "resume_id", "left_semi")
              .select("model", F.col("resume_id").alias("doc_id"), F.col("category").alias("y_true"),
                      rule.alias("y_pred")))
-    return preds, recs
+    return materialize(preds), recs
 
 
 def q_confusion_matrix(spark, sf):
