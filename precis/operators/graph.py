@@ -104,7 +104,6 @@ def power_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping
             .join(has_out, ["doc_id", "sent_id"], "left")
             .select("doc_id", "sent_id", "n", F.coalesce("dangling", F.lit(True)).alias("dangling"),
                     (1.0 / F.col("n")).alias("r")))
-    per_doc = Window.partitionBy("doc_id")
     for step in range(iterations):
         state = rank.select("doc_id", F.col("sent_id").alias("src"), "n", "dangling", "r")
         agg = (moves.join(state, ["doc_id", "src"])
@@ -113,7 +112,11 @@ def power_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping
                     F.max(F.when(F.col("own"), F.col("n"))).alias("n"),
                     F.max(F.when(F.col("own"), F.col("dangling"))).alias("dangling"),
                     F.max(F.when(F.col("own"), F.col("r"))).alias("r_old")))
-        dmass = F.sum(F.when(F.col("dangling"), F.col("r_old")).otherwise(F.lit(0.0))).over(per_doc)
+        # dangling mass per document as a window sum over the per-sentence state
+        # rows (one small row per sentence); a join of a separate aggregate
+        # would reference the step twice and double the plan every step
+        dmass = F.sum(F.when(F.col("dangling"), F.col("r_old")).otherwise(F.lit(0.0))).over(
+            Window.partitionBy("doc_id"))
         rank = agg.select("doc_id", "sent_id", "n", "dangling",
                           ((1.0 - damping) / F.col("n")
                            + damping * (F.col("c") + dmass / F.col("n"))).alias("r"))

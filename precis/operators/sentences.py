@@ -41,26 +41,43 @@ def sentence_terms(toks: DataFrame) -> DataFrame:
     return toks.groupBy("doc_id", "sent_id", "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def segment(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+LINE_BLOCK = 4096     # lines per scan block in segmentation
+
+
+def segment(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str = "text",
+            block: int = LINE_BLOCK) -> DataFrame:
     """(doc_id, section, section_ord, text) by the line state machine.
 
     Window form of the state machine: the current section of a line is the
     last rule match at or before it (``header`` before any match); a line that
     switches section contributes its stripped form, every other line its raw
     form. Lines are grouped per (doc, section) and joined by newlines.
+
+    The running "last match" is a two-level scan, so no window ever holds a
+    whole document: windows run inside blocks of ``block`` lines, and each
+    block receives the last match of all earlier blocks (a window over the
+    small per-block frame).
     """
     lines = (docs
              .select(F.col(id_col).alias("doc_id"),
-                     F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+                     F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
                      .alias("ln", "line"))
              .withColumn("stripped", strip_ws("line"))
              .where(F.col("stripped") != "")
-             .withColumn("m", section_of("stripped", rules)))
-    w = Window.partitionBy("doc_id").orderBy("ln")
-    cur = F.coalesce(F.last("m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                     F.lit("header"))
-    lines = lines.withColumn("cur", cur)
-    prev = F.coalesce(F.lag("cur").over(w), F.lit("header"))
+             .withColumn("m", section_of("stripped", rules))
+             .withColumn("blk", F.floor(F.col("ln") / block)))
+    # level 1: last match inside each block (window over <= block lines)
+    w = Window.partitionBy("doc_id", "blk").orderBy("ln")
+    lines = lines.withColumn("in_last", F.last("m", ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)))
+    # level 2: per block, the last match of all earlier blocks (one row per block)
+    per_block = (lines.groupBy("doc_id", "blk")
+                 .agg(F.max_by("m", F.when(F.col("m").isNotNull(), F.col("ln"))).alias("blk_last")))
+    earlier = Window.partitionBy("doc_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_block.select("doc_id", "blk", F.last("blk_last", ignorenulls=True).over(earlier).alias("c_in"))
+    lines = lines.join(carry, ["doc_id", "blk"], "left")
+    lines = lines.withColumn("cur", F.coalesce("in_last", "c_in", F.lit("header")))
+    prev = F.coalesce(F.lag("cur").over(w), F.col("c_in"), F.lit("header"))
     lines = lines.withColumn(
         "piece",
         F.when(F.col("m").isNotNull() & (F.col("m") != prev), F.col("stripped")).otherwise(F.col("line")))

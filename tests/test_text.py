@@ -122,3 +122,14 @@ def test_prefix_truncation_bounds(spark):
 def test_stop_words_list():
     words = T.english_stop_words()
     assert "the" in words and "and" in words and len(words) > 100
+
+
+def test_segment_block_scan_independent_of_block_size(spark):
+    from conftest import SF_TINY
+    from precis.plans.queries import QUERY_SECTION_RULES
+    docs = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text")
+    a = {tuple(r) for r in segment(docs, QUERY_SECTION_RULES).collect()}
+    b = {tuple(r) for r in segment(docs, QUERY_SECTION_RULES, block=3).collect()}
+    assert a == b
+    s = spark.createDataFrame([(1, SEG_TEXT)], "doc_id long, text string")
+    assert {tuple(r) for r in segment(s, block=2).collect()} == {tuple(r) for r in segment(s).collect()}
