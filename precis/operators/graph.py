@@ -47,7 +47,9 @@ def textrank_edges(toks: DataFrame) -> DataFrame:
 
 
 def lexrank_edges(sents: DataFrame, toks: DataFrame) -> DataFrame:
-    """(doc_id, src, dst, cosine): tf-idf cosine of sentence pairs sharing a word.
+    """(doc_id, src, dst, cosine): tf-idf cosine of sentence pairs sharing a word
+    of non-zero idf (pairs whose only shared words occur in every sentence have
+    cosine 0 and are not emitted).
 
     idf is computed over the sentences of the document: ln(n_sent / sf).
     """
@@ -59,7 +61,9 @@ def lexrank_edges(sents: DataFrame, toks: DataFrame) -> DataFrame:
                  (F.col("tf") * F.log(F.col("n_sent") / F.col("sf"))).alias("v"))
          .persist(StorageLevel.MEMORY_AND_DISK))                    # read by norm and both join sides
     norm = v.groupBy("doc_id", "sent_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nrm"))
-    dot = (_pairs(v, ["v"]).groupBy("doc_id", "src", "dst")
+    # words found in every sentence of a document have idf 0 and add nothing to
+    # a dot product: they are left out of the self-join (its hottest keys)
+    dot = (_pairs(v.where(F.col("v") > 0), ["v"]).groupBy("doc_id", "src", "dst")
            .agg(F.sum(F.col("v_a") * F.col("v_b")).alias("dot")))
     na = norm.select("doc_id", F.col("sent_id").alias("src"), F.col("nrm").alias("na"))
     nb = norm.select("doc_id", F.col("sent_id").alias("dst"), F.col("nrm").alias("nb"))

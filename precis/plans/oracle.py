@@ -117,6 +117,7 @@ lv AS (SELECT t.doc_id, t.sent_id, t.word, t.tf * ln(n.n_sent / f.sf) AS v
 lnorm AS (SELECT doc_id, sent_id, sqrt(sum(v * v)) AS nrm FROM lv GROUP BY doc_id, sent_id),
 ldot AS (SELECT a.doc_id, a.sent_id AS src, b.sent_id AS dst, sum(a.v * b.v) AS dot
          FROM lv a JOIN lv b ON a.doc_id = b.doc_id AND a.word = b.word AND a.sent_id < b.sent_id
+         WHERE a.v > 0 AND b.v > 0
          GROUP BY a.doc_id, a.sent_id, b.sent_id),
 lx_edges AS (
   SELECT d.doc_id, d.src, d.dst, d.dot / (na.nrm * nb.nrm) AS cosine
