@@ -34,10 +34,12 @@ def textrank_edges(toks: DataFrame) -> DataFrame:
     weight = shared distinct words / (ln|S_src| + ln|S_dst|), |S| = token count;
     a zero denominator (two one-token sentences) gives weight 0.
     """
-    lens = toks.groupBy("doc_id", "sent_id").agg(F.count(F.lit(1)).alias("n_tok"))
-    # read twice by the self-join: cached (memory, spilling to disk)
-    incidence = (toks.select("doc_id", "sent_id", "word").distinct()
-                 .join(lens, ["doc_id", "sent_id"])).persist(StorageLevel.MEMORY_AND_DISK)
+    # one aggregation per sentence gives both its length and its distinct words
+    # (a sentence is a bounded group); the incidence rows are then generated
+    incidence = (toks.groupBy("doc_id", "sent_id")
+                 .agg(F.count(F.lit(1)).alias("n_tok"), F.collect_set("word").alias("words"))
+                 .select("doc_id", "sent_id", "n_tok", F.explode("words").alias("word"))
+                 .persist(StorageLevel.MEMORY_AND_DISK))          # read by both sides of the self-join
     pairs = (_pairs(incidence, ["n_tok"])
              .groupBy("doc_id", "src", "dst", "n_tok_a", "n_tok_b")
              .agg(F.count(F.lit(1)).alias("shared")))
