@@ -60,18 +60,17 @@ def lexrank_edges(sents: DataFrame, toks: DataFrame) -> DataFrame:
     sf = tf.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("sf"))
     v = (tf.join(sf, ["doc_id", "word"]).join(n_sent, "doc_id")
          .select("doc_id", "sent_id", "word",
-                 (F.col("tf") * F.log(F.col("n_sent") / F.col("sf"))).alias("v"))
-         .persist(StorageLevel.MEMORY_AND_DISK))                    # read by norm and both join sides
+                 (F.col("tf") * F.log(F.col("n_sent") / F.col("sf"))).alias("v")))
     norm = v.groupBy("doc_id", "sent_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nrm"))
-    # words found in every sentence of a document have idf 0 and add nothing to
-    # a dot product: they are left out of the self-join (its hottest keys)
-    dot = (_pairs(v.where(F.col("v") > 0), ["v"]).groupBy("doc_id", "src", "dst")
-           .agg(F.sum(F.col("v_a") * F.col("v_b")).alias("dot")))
-    na = norm.select("doc_id", F.col("sent_id").alias("src"), F.col("nrm").alias("na"))
-    nb = norm.select("doc_id", F.col("sent_id").alias("dst"), F.col("nrm").alias("nb"))
-    return (dot.join(na, ["doc_id", "src"]).join(nb, ["doc_id", "dst"])
-            .where((F.col("na") > 0) & (F.col("nb") > 0))
-            .select("doc_id", "src", "dst", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine")))
+    # unit-length sentence vectors: the pair aggregate is the cosine itself, so
+    # the (large) edge rows need no join with the norms afterwards. Words found
+    # in every sentence of a document have idf 0, add nothing to a dot product
+    # and are left out of the self-join (its hottest keys).
+    u = (v.where(F.col("v") > 0).join(norm, ["doc_id", "sent_id"])
+         .select("doc_id", "sent_id", "word", (F.col("v") / F.col("nrm")).alias("u"))
+         .persist(StorageLevel.MEMORY_AND_DISK))                   # read by both join sides
+    return (_pairs(u, ["u"]).groupBy("doc_id", "src", "dst")
+            .agg(F.sum(F.col("u_a") * F.col("u_b")).alias("cosine")))
 
 
 def power_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = DAMPING,

@@ -115,15 +115,11 @@ lsf AS (SELECT doc_id, word, count(*) AS sf FROM ltf GROUP BY doc_id, word),
 lv AS (SELECT t.doc_id, t.sent_id, t.word, t.tf * ln(n.n_sent / f.sf) AS v
        FROM ltf t JOIN lsf f ON t.doc_id = f.doc_id AND t.word = f.word JOIN nsent n ON t.doc_id = n.doc_id),
 lnorm AS (SELECT doc_id, sent_id, sqrt(sum(v * v)) AS nrm FROM lv GROUP BY doc_id, sent_id),
-ldot AS (SELECT a.doc_id, a.sent_id AS src, b.sent_id AS dst, sum(a.v * b.v) AS dot
-         FROM lv a JOIN lv b ON a.doc_id = b.doc_id AND a.word = b.word AND a.sent_id < b.sent_id
-         WHERE a.v > 0 AND b.v > 0
-         GROUP BY a.doc_id, a.sent_id, b.sent_id),
-lx_edges AS (
-  SELECT d.doc_id, d.src, d.dst, d.dot / (na.nrm * nb.nrm) AS cosine
-  FROM ldot d JOIN lnorm na ON d.doc_id = na.doc_id AND d.src = na.sent_id
-              JOIN lnorm nb ON d.doc_id = nb.doc_id AND d.dst = nb.sent_id
-  WHERE na.nrm > 0 AND nb.nrm > 0)"""
+lu AS (SELECT lv.doc_id, lv.sent_id, lv.word, lv.v / n.nrm AS u
+       FROM lv JOIN lnorm n ON lv.doc_id = n.doc_id AND lv.sent_id = n.sent_id WHERE lv.v > 0),
+lx_edges AS (SELECT a.doc_id, a.sent_id AS src, b.sent_id AS dst, sum(a.u * b.u) AS cosine
+             FROM lu a JOIN lu b ON a.doc_id = b.doc_id AND a.word = b.word AND a.sent_id < b.sent_id
+             GROUP BY a.doc_id, a.sent_id, b.sent_id)"""
 
 
 def power_rank(graph: str, steps: int, d: float = DAMPING) -> str:
