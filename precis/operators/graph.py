@@ -19,13 +19,26 @@ DAMPING = 0.85
 LEXRANK_THRESHOLD = 0.1
 
 
-def _pairs(incidence: DataFrame, value_cols: list[str]) -> DataFrame:
-    """Self-join of (doc_id, sent_id, word, ...) on (doc_id, word) with src < dst."""
-    a = incidence.select("doc_id", "word", F.col("sent_id").alias("src"),
-                         *[F.col(c).alias(f"{c}_a") for c in value_cols])
-    b = incidence.select("doc_id", "word", F.col("sent_id").alias("dst"),
-                         *[F.col(c).alias(f"{c}_b") for c in value_cols])
-    return a.join(b, ["doc_id", "word"]).where(F.col("src") < F.col("dst"))
+HOT_KEY_ROWS = 1024     # (doc, word) groups larger than this are salted in the pair join
+
+
+def _pairs(incidence: DataFrame, value_cols: list[str], hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Self-join of (doc_id, sent_id, word, ...) on (doc_id, word) with src < dst.
+
+    Hot keys are split, exactly: a (doc, word) group of k rows gets
+    n = ceil(k / hot_rows) salts; each left row takes one salt (hash of its
+    sentence) and each right row is replicated once per salt, so every pair
+    is still formed exactly once but by n tasks instead of one. Ordinary
+    keys (n = 1) are not replicated.
+    """
+    sizes = incidence.groupBy("doc_id", "word").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias("n_salt"))
+    inc = incidence.join(sizes, ["doc_id", "word"])
+    a = inc.select("doc_id", "word", F.pmod(F.xxhash64("sent_id"), F.col("n_salt")).cast("int").alias("salt"),
+                   F.col("sent_id").alias("src"), *[F.col(c).alias(f"{c}_a") for c in value_cols])
+    b = inc.select("doc_id", "word", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt"),
+                   F.col("sent_id").alias("dst"), *[F.col(c).alias(f"{c}_b") for c in value_cols])
+    return a.join(b, ["doc_id", "word", "salt"]).where(F.col("src") < F.col("dst")).drop("salt")
 
 
 def textrank_edges(toks: DataFrame) -> DataFrame:

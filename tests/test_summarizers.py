@@ -155,3 +155,14 @@ def test_lsa_rank_matches_svd_and_norm(spark):
         want = np.sqrt(((vt[:2].T ** 2) * sig[:2] ** 2).sum(axis=1))
         for i, s in enumerate(sents):
             assert abs(got[(d, s)] - want[i]) < 1e-9
+
+
+def test_salted_pair_join_is_exact(spark):
+    texts = [". ".join(f"w{i % 3} common x{i}" for i in range(40)) + "."]
+    c = corpus(spark, texts)
+    plain = {(r["src"], r["dst"]): r["weight"] for r in G.textrank_edges(c.toks).collect()}
+    inc = c.toks.select("doc_id", "sent_id", "word").distinct()
+    salted = G._pairs(inc, [], hot_rows=3).groupBy("src", "dst").count().collect()
+    unsalted = G._pairs(inc, [], hot_rows=10 ** 9).groupBy("src", "dst").count().collect()
+    assert {tuple(r) for r in salted} == {tuple(r) for r in unsalted}
+    assert len(plain) == len(unsalted)
