@@ -33,7 +33,8 @@ def _pairs(incidence: DataFrame, value_cols: list[str], hot_rows: int = HOT_KEY_
     """
     sizes = incidence.groupBy("doc_id", "word").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias("n_salt"))
-    inc = incidence.join(sizes, ["doc_id", "word"])
+    # read by both sides of the join: computed once (memory, spilling to disk)
+    inc = incidence.join(sizes, ["doc_id", "word"]).persist(StorageLevel.MEMORY_AND_DISK)
     a = inc.select("doc_id", "word", F.pmod(F.xxhash64("sent_id"), F.col("n_salt")).cast("int").alias("salt"),
                    F.col("sent_id").alias("src"), *[F.col(c).alias(f"{c}_a") for c in value_cols])
     b = inc.select("doc_id", "word", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt"),
