@@ -297,7 +297,7 @@ def summarize(docs: DataFrame, models: list[str], k: int = DEFAULT_K, id_col: st
     chosen = [m for m in models if m in EXTRACTIVE or m in ABSTRACTIVE]
     if not chosen:
         raise ValueError(f"none of the requested models is available: {models}")
-    corpus = Corpus.of(docs, id_col, text_col)
+    corpus = Corpus.of(docs, id_col, text_col, persist=len(chosen) > 1)   # shared by every model
     out = None
     for m in chosen:
         if m in EXTRACTIVE:

@@ -33,7 +33,7 @@ def generate(docs: DataFrame, models: list[str], out_dir: str | None = None, k:
     chosen = [m for m in models if m in S.EXTRACTIVE or m in S.ABSTRACTIVE]
     if not chosen:
         raise ValueError(f"none of the requested models is available: {models}")
-    corpus = S.Corpus.of(docs)
+    corpus = S.Corpus.of(docs, persist=True)          # split once, read by every model
     timing_rows, parts = [], []
     for m in chosen:
         if m in S.EXTRACTIVE:
