@@ -24,6 +24,15 @@ _DEFAULTS = {
 }
 
 
+def _driver_memory() -> str:
+    """Local runs only: about 60 % of the machine's RAM, at most 16 GiB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total * 0.6 / 2 ** 30)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "precis") -> SparkSession:
     """Return the active session, or build a local one with sane defaults."""
@@ -34,7 +43,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = (SparkSession.builder
                .master(master or f"local[{cpus}]")
                .appName(app_name)
-               .config("spark.driver.memory", os.environ.get("PRECIS_DRIVER_MEMORY", "16g"))
+               .config("spark.driver.memory", os.environ.get("PRECIS_DRIVER_MEMORY", _driver_memory()))
                .config("spark.sql.shuffle.partitions",
                        str(shuffle_partitions or int(cpus) * 2)))
     for k, v in _DEFAULTS.items():
