@@ -6,13 +6,11 @@ so it runs inside the scan stage on executors; none of them is a Python UDF.
 
 from __future__ import annotations
 
-import os
-import zipfile
-from functools import lru_cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from precis.functions.stopwords import ENGLISH
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the behaviour being reproduced)
 # ---------------------------------------------------------------------------
@@ -79,21 +77,9 @@ def token_array(col) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_c(col), F.lit(""))), F.lit(TOKEN_RE), 0)
 
 
-@lru_cache(maxsize=None)
 def english_stop_words() -> tuple[str, ...]:
-    """Spark MLlib's English stop-word list, read from the MLlib jar.
-
-    Same list as ``StopWordsRemover.loadDefaultStopWords("english")`` but
-    available without a running JVM (needed to write the oracle SQL).
-    """
-    import pyspark
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for name in sorted(os.listdir(jars)):
-        if name.startswith("spark-mllib_") and name.endswith(".jar"):
-            with zipfile.ZipFile(os.path.join(jars, name)) as z:
-                data = z.read("org/apache/spark/ml/feature/stopwords/english.txt")
-            return tuple(w for w in data.decode("utf-8").split() if w)
-    raise FileNotFoundError("spark-mllib jar not found")
+    """The English stop-word list (same as Spark MLlib's default list)."""
+    return ENGLISH
 
 
 def remove_stop_words(tokens, stop_words=None) -> Column:
