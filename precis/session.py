@@ -82,3 +82,16 @@ def materialize(df):
     df = df.cache()
     df.count()
     return df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (once per session), wherever the driver imported it from."""
+    import shutil
+    sc = spark.sparkContext
+    if getattr(sc, "_precis_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    where = tempfile.mkdtemp(prefix="precis-pkg-")
+    sc.addPyFile(shutil.make_archive(os.path.join(where, "precis_package"), "zip", os.path.dirname(here),
+                                     os.path.basename(here)))
+    sc._precis_shipped = True
