@@ -17,7 +17,6 @@ many pieces. Repeated rows are packed like any others. Empty table: no rows. Ext
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,33 +29,81 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-MEMO_CHUNKS = 200_000
+MEMO_CHUNKS = 300_000
+MEMO_WORDS = 500_000
 MEMO_CHARS = 64
-
-
-@lru_cache(maxsize=2)
-def _chunk_ids(tokenizer_file: str):
-    """chunk -> ids as little-endian 32-bit bytes, with a bounded memo per worker."""
-    from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(tokenizer_file)
-    memo: dict[str, bytes] = {}
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        new = list({c for c in chunks if c not in memo})
-        if len(memo) + len(new) > MEMO_CHUNKS:
+CLOSING = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable bytes stand for themselves, the others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(other)}
+
+
+class Encoder:
+    """Ids of a text as little-endian 32-bit bytes.
+
+    Words of Latin letters (with closing punctuation) are one pre-token each and go to the BPE model directly; every
+    other chunk goes through the whole tokenizer. Both are memoised up to fixed numbers of short chunks.
+    """
+
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+        self.tok = Tokenizer.from_file(tokenizer_file)
+        self.model = self.tok.model
+        self.letters = _byte_letters()
+        self.memo: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.closing: dict[str, bytes] = {"": b""}
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
+
+    def _word(self, chunk: str) -> bytes | None:
+        stem = chunk.rstrip(CLOSING)
+        end = chunk[len(stem):]
+        stem = stem.lower()
+        if not stem.isalpha() or max(stem) >= "\u0250" or len(stem) > MEMO_CHARS:
+            return None
+        ids = self.words.get(stem)
+        if ids is None:
+            if len(self.words) >= MEMO_WORDS:
+                self.words.clear()
+            spelt = stem if stem.isascii() else "".join([self.letters[b] for b in stem.encode()])
+            ids = self.words[stem] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+        if len(end) > 4:
+            return ids + self._whole([end])[0]
+        if end not in self.closing:
+            self.closing[end] = self._whole([end])[0]
+        return ids + self.closing[end]
+
+    def __call__(self, text: str) -> bytes:
+        chunks, memo = text.replace("\n", " ").split(" "), self.memo
+        try:
+            return b"".join([memo[c] for c in chunks])
+        except KeyError:
+            pass
+        if len(memo) >= MEMO_CHUNKS:
             memo.clear()
-            new = list(set(chunks))
-        fresh = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in
-                 zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True)}
-        memo.update((c, v) for c, v in fresh.items() if len(c) <= MEMO_CHARS)
-        return [memo.get(c) if c in memo else fresh[c] for c in chunks]
-
-    return encode
+            memo[""] = b""
+        here: dict[str, bytes] = {}
+        hard = []
+        for c in chunks:
+            if c not in memo and c not in here:
+                ids = self._word(c)
+                if ids is None:
+                    hard.append(c)
+                here[c] = ids or b""
+        here.update(zip(hard, self._whole(hard), strict=True) if hard else ())
+        memo.update((c, v) for c, v in here.items() if len(c) <= MEMO_CHARS)
+        return b"".join([memo[c] if c in memo else here[c] for c in chunks])
 
 
-def token_ids(text: str | None, tokenizer_file: str, end_id: int = END_ID) -> np.ndarray:
-    chunks = [c for c in (text or "").replace("\n", " ").split(" ") if c]
-    return np.frombuffer(b"".join(_chunk_ids(tokenizer_file)(chunks)) + end_id.to_bytes(4, "little"), dtype="<u4")
+@lru_cache(maxsize=2)
+def encoder(tokenizer_file: str) -> Encoder:
+    return Encoder(tokenizer_file)
 
 
 class SumOfSquares:
@@ -76,9 +123,7 @@ class SumOfSquares:
         best, change = 0, 2 * self.count[length] + 1            # a new window
         if len(levels):
             to = levels + length
-            full = to == self.window
-            delta = np.where(full, 0, 2 * self.count[to] + 1) - 2 * self.count[levels] + 1
-            delta[full] -= 0
+            delta = np.where(to == self.window, 0, 2 * self.count[to] + 1) - 2 * self.count[levels] + 1
             i = len(delta) - 1 - int(np.argmin(delta[::-1]))    # ties: the fullest
             if delta[i] <= change:
                 best = int(levels[i])
@@ -131,9 +176,10 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
 
     def cut_at(piece, n):
         doc, length, start, total, ids = piece
-        return (doc, n, start, total, ids[:n]), (doc, length - n, start + n, total, ids[n:])
+        return (doc, n, start, total, ids[:4 * n]), (doc, length - n, start + n, total, ids[4 * n:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(tokenizer_file), end_id.to_bytes(4, "little")
         base, serial = TaskContext.get().partitionId() << 32, 0
         packer, rows = SumOfSquares(window), []
 
@@ -141,7 +187,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
             nonlocal serial
             offset = 0
             for doc, length, start, total, ids in full:
-                rows.append((doc, start, length, total, base + serial, offset, ids.tobytes()))
+                rows.append((doc, start, length, total, base + serial, offset, ids))
                 offset += length
             serial += 1
 
@@ -152,12 +198,12 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = token_ids(text.as_py(), tokenizer_file, end_id)
-                for start in range(0, len(ids), window):
-                    piece = ids[start:start + window]
-                    if len(piece) < window:
-                        piece = piece.copy()            # don't keep the whole document alive in an open window
-                    if full := packer.place((doc, len(piece), start, len(ids), piece), len(piece)):
+                ids = encode(text.as_py() or "") + end
+                total = len(ids) // 4
+                for start in range(0, total, window):
+                    piece = ids[4 * start:4 * (start + window)]
+                    length = len(piece) // 4
+                    if full := packer.place((doc, length, start, total, piece), length):
                         emit(full)
                 if len(rows) >= FLUSH_ROWS:
                     yield batch()
@@ -174,7 +220,3 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
 def ids_crc32(pieces: DataFrame) -> DataFrame:
     """The pieces with the CRC-32 of their ids in place of the ids."""
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-
-
-def check_crc(ids) -> int:
-    return zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
