@@ -62,3 +62,38 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         e.select("v", "v").distinct())
+
+
+def sorted_groups(batches, keys: list[str]):
+    """Arrow batches sorted by integer key columns -> (key, table of its rows), one group in memory at a time."""
+    import numpy as np
+    import pyarrow as pa
+    held, held_key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows, dtype=bool)
+        new[0] = True
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new)
+        for s, e in zip(starts, [*starts[1:], b.num_rows]):
+            key = tuple(int(c[s]) for c in cols)
+            if held and key != held_key:
+                yield held_key, pa.Table.from_batches(held)
+                held = []
+            held_key = key
+            held.append(b.slice(s, e - s))
+    if held:
+        yield held_key, pa.Table.from_batches(held)
+
+
+def matrix(column, width: int):
+    """A list column without nulls, all lists of one width, as a two-dimensional array."""
+    import pyarrow as pa
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)

@@ -20,6 +20,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_itq_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precis.llm.itq import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precis.llm.splitters import shard
     return shard(_table(spark, sf_dir, "documents"), 40).select(
@@ -32,6 +37,11 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_crc32(pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op9_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precis.llm.norm_topk import top_k
+    return top_k(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precis.llm.mixing import mix
     m = mix(_table(spark, sf_dir, "documents"))
@@ -40,5 +50,6 @@ def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_sampled_splitters, op6_sum_of_squares_packing, op10_water_filling_mix)
+        op2_itq_hamming_tables, op4_sampled_splitters, op6_sum_of_squares_packing, op9_norm_bucket_topk,
+        op10_water_filling_mix)
 }
