@@ -32,6 +32,11 @@ def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precis.llm.probminhash import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precis.llm.packing import ids_crc32, pack
     return ids_crc32(pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
@@ -50,6 +55,6 @@ def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_itq_hamming_tables, op4_sampled_splitters, op6_sum_of_squares_packing, op9_norm_bucket_topk,
+        op2_itq_hamming_tables, op4_sampled_splitters, op5_probminhash, op6_sum_of_squares_packing, op9_norm_bucket_topk,
         op10_water_filling_mix)
 }
