@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-MEMO_CHUNKS = 300_000
-MEMO_WORDS = 500_000
+MEMO_CHUNKS = 500_000
+MEMO_WORDS = 700_000
 MEMO_CHARS = 64
 CLOSING = ".,;:!?"
 
@@ -65,10 +65,10 @@ class Encoder:
         stem = chunk.rstrip(CLOSING)
         end = chunk[len(stem):]
         stem = stem.lower()
-        if not stem.isalpha() or max(stem) >= "\u0250" or len(stem) > MEMO_CHARS:
-            return None
         ids = self.words.get(stem)
         if ids is None:
+            if not stem.isalpha() or len(stem) > MEMO_CHARS or not stem.isascii() and max(stem) >= "\u0250":
+                return None
             if len(self.words) >= MEMO_WORDS:
                 self.words.clear()
             spelt = stem if stem.isascii() else "".join([self.letters[b] for b in stem.encode()])
@@ -81,24 +81,30 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         chunks, memo = text.replace("\n", " ").split(" "), self.memo
-        try:
+        new = set(chunks).difference(memo)
+        if not new:
             return b"".join([memo[c] for c in chunks])
-        except KeyError:
-            pass
         if len(memo) >= MEMO_CHUNKS:
             memo.clear()
             memo[""] = b""
-        here: dict[str, bytes] = {}
-        hard = []
-        for c in chunks:
-            if c not in memo and c not in here:
-                ids = self._word(c)
-                if ids is None:
-                    hard.append(c)
-                here[c] = ids or b""
-        here.update(zip(hard, self._whole(hard), strict=True) if hard else ())
-        memo.update((c, v) for c, v in here.items() if len(c) <= MEMO_CHARS)
-        return b"".join([memo[c] if c in memo else here[c] for c in chunks])
+            new = set(chunks).difference(memo)
+        here, hard, long = {}, [], False
+        for c in new:
+            ids = self._word(c)
+            if ids is None:
+                hard.append(c)
+            else:
+                here[c] = ids
+        if hard:
+            here.update(zip(hard, self._whole(hard), strict=True))
+            long = max(map(len, hard)) > MEMO_CHARS
+        if long:                                                   # long chunks aren't kept
+            out = b"".join([memo[c] if c in memo else here[c] for c in chunks])
+            here = {c: v for c, v in here.items() if len(c) <= MEMO_CHARS}
+            memo.update(here)
+            return out
+        memo.update(here)
+        return b"".join([memo[c] for c in chunks])
 
 
 @lru_cache(maxsize=2)

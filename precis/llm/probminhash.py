@@ -268,3 +268,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return (rows.select("doc_id", "h1", "h2").join(of_class, ["h1", "h2"], "left")
             .select("doc_id", F.coalesce("c", "doc_id").alias("class_id"),
                     F.coalesce(F.col("doc_id") == F.coalesce("c", "doc_id"), F.lit(True)).alias("kept")))
+
+
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class (the smallest doc_id), with the columns of ``docs``; rows without an id stay."""
+    keep = near_duplicates(docs.where("doc_id is not null"), threshold).where("kept").select("doc_id").distinct()
+    one = (docs.join(keep, "doc_id", "left_semi")
+           .withColumns({"_h1": F.xxhash64(F.lit(1), "text"), "_h2": F.xxhash64(F.lit(2), "text")})
+           .dropDuplicates(["doc_id", "_h1", "_h2"]))
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -42,6 +42,11 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_crc32(pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op7_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precis.llm.weak_labels import classify
+    return classify(_table(spark, sf_dir, "documents")).select("doc_id", "score", "accepted")
+
+
 def op9_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precis.llm.norm_topk import top_k
     return top_k(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
@@ -55,6 +60,7 @@ def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_itq_hamming_tables, op4_sampled_splitters, op5_probminhash, op6_sum_of_squares_packing, op9_norm_bucket_topk,
+        op2_itq_hamming_tables, op4_sampled_splitters, op5_probminhash, op6_sum_of_squares_packing,
+        op7_weak_label_classifier, op9_norm_bucket_topk,
         op10_water_filling_mix)
 }
