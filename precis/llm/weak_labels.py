@@ -31,6 +31,8 @@ from precis.llm.common import cut
 
 FIT_DOCS = 8_000
 ENOUGH = 12
+MAX_FALSE = 0.05
+MIN_HIT = 0.9
 BITS = 16
 ACCEPT = 0.5
 SEED = 42
@@ -153,6 +155,8 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, s
     """EM. (shares of the classes, P[class, labeller] of voting bad when it votes, posterior of good per pattern).
 
     Class 0 is good; class k + 1 is the kind of bad document that labeller k was made for. An abstention says nothing.
+    Two bounds keep the classes what they are however few documents there are: a labeller calls good documents bad at
+    most ``MAX_FALSE`` of the time, and its own kind at least ``MIN_HIT``.
     """
     v = (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
     bad, voted = (v == 2).astype(float), (v > 0).astype(float)
@@ -174,6 +178,8 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, s
         share = (mass.sum(axis=1) + smooth) / (counts.sum() + smooth * (n + 1))
         p = (mass @ bad + smooth * 0.05) / (mass @ voted + smooth)
         p = np.clip(p, 1e-6, 1 - 1e-6)
+        p[0] = np.minimum(p[0], MAX_FALSE)                              # anchors: what good and each kind mean
+        p[np.arange(1, n + 1), np.arange(n)] = np.maximum(p[np.arange(1, n + 1), np.arange(n)], MIN_HIT)
     return share, p, post[0]
 
 
