@@ -17,8 +17,8 @@ many pieces. Repeated rows are packed like any others. Empty table: no rows. Ext
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +49,9 @@ class Encoder:
     other chunk goes through the whole tokenizer. Both are memoised up to fixed numbers of short chunks.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(tokenizer_file)
+        self.tok = Tokenizer.from_str(tokenizer_json)
         self.model = self.tok.model
         self.letters = _byte_letters()
         self.memo: dict[str, bytes] = {"": b""}
@@ -107,9 +107,7 @@ class Encoder:
         return b"".join([memo[c] for c in chunks])
 
 
-@lru_cache(maxsize=2)
-def encoder(tokenizer_file: str) -> Encoder:
-    return Encoder(tokenizer_file)
+_ENCODERS: dict[str, Encoder] = {}
 
 
 class SumOfSquares:
@@ -180,12 +178,19 @@ FLUSH_ROWS = 2_000
 def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit)."""
 
+    with open(tokenizer_file, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())   # as large as the vocabulary, not as the corpus
+    name = uuid.uuid4().hex
+
     def cut_at(piece, n):
         doc, length, start, total, ids = piece
         return (doc, n, start, total, ids[:4 * n]), (doc, length - n, start + n, total, ids[4 * n:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_file), end_id.to_bytes(4, "little")
+        if name not in _ENCODERS:                                     # one tokenizer and memo per worker
+            _ENCODERS.clear()
+            _ENCODERS[name] = Encoder(shared.value)
+        encode, end = _ENCODERS[name], end_id.to_bytes(4, "little")
         base, serial = TaskContext.get().partitionId() << 32, 0
         packer, rows = SumOfSquares(window), []
 

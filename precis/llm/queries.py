@@ -20,6 +20,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precis.llm.token_counts import read_vocabulary, token_counts
+    return token_counts(_table(spark, sf_dir, "documents"), read_vocabulary(tokenizer("piece_bpe_32k.model")))
+
+
 def op2_itq_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precis.llm.itq import near_duplicates
     return near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
@@ -60,7 +65,7 @@ def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_itq_hamming_tables, op4_sampled_splitters, op5_probminhash, op6_sum_of_squares_packing,
+        op1_viterbi_token_counts, op2_itq_hamming_tables, op4_sampled_splitters, op5_probminhash, op6_sum_of_squares_packing,
         op7_weak_label_classifier, op9_norm_bucket_topk,
         op10_water_filling_mix)
 }
