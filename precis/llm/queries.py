@@ -30,6 +30,11 @@ def op2_itq_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precis.llm.page_diff import extract
+    return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precis.llm.splitters import shard
     return shard(_table(spark, sf_dir, "documents"), 40).select(
@@ -65,7 +70,7 @@ def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_viterbi_token_counts, op2_itq_hamming_tables, op4_sampled_splitters, op5_probminhash, op6_sum_of_squares_packing,
+        op1_viterbi_token_counts, op2_itq_hamming_tables, op3_page_differencing, op4_sampled_splitters, op5_probminhash, op6_sum_of_squares_packing,
         op7_weak_label_classifier, op9_norm_bucket_topk,
         op10_water_filling_mix)
 }
