@@ -57,6 +57,11 @@ def op7_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents")).select("doc_id", "score", "accepted")
 
 
+def op8_url_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precis.llm.url_trees import judge
+    return judge(_table(spark, sf_dir, "pages"))
+
+
 def op9_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precis.llm.norm_topk import top_k
     return top_k(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
@@ -71,6 +76,6 @@ def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_viterbi_token_counts, op2_itq_hamming_tables, op3_page_differencing, op4_sampled_splitters, op5_probminhash, op6_sum_of_squares_packing,
-        op7_weak_label_classifier, op9_norm_bucket_topk,
+        op7_weak_label_classifier, op8_url_boosted_trees, op9_norm_bucket_topk,
         op10_water_filling_mix)
 }
