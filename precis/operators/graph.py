@@ -9,11 +9,10 @@ keys rather than one task per document.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precis.session import checkpoint_dir
+from precis.session import co_partitioned, materialize
 
 DAMPING = 0.85
 LEXRANK_THRESHOLD = 0.1
@@ -33,8 +32,8 @@ def _pairs(incidence: DataFrame, value_cols: list[str], hot_rows: int = HOT_KEY_
     """
     sizes = incidence.groupBy("doc_id", "word").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias("n_salt"))
-    # read by both sides of the join: computed once (memory, spilling to disk)
-    inc = incidence.join(sizes, ["doc_id", "word"]).persist(StorageLevel.MEMORY_AND_DISK)
+    # read by both sides of the join: computed once
+    inc = materialize(incidence.join(sizes, ["doc_id", "word"]))
     a = inc.select("doc_id", "word", F.pmod(F.xxhash64("sent_id"), F.col("n_salt")).cast("int").alias("salt"),
                    F.col("sent_id").alias("src"), *[F.col(c).alias(f"{c}_a") for c in value_cols])
     b = inc.select("doc_id", "word", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt"),
@@ -52,8 +51,7 @@ def textrank_edges(toks: DataFrame) -> DataFrame:
     # (a sentence is a bounded group); the incidence rows are then generated
     incidence = (toks.groupBy("doc_id", "sent_id")
                  .agg(F.count(F.lit(1)).alias("n_tok"), F.collect_set("word").alias("words"))
-                 .select("doc_id", "sent_id", "n_tok", F.explode("words").alias("word"))
-                 .persist(StorageLevel.MEMORY_AND_DISK))          # read by both sides of the self-join
+                 .select("doc_id", "sent_id", "n_tok", F.explode("words").alias("word")))
     pairs = (_pairs(incidence, ["n_tok"])
              .groupBy("doc_id", "src", "dst", "n_tok_a", "n_tok_b")
              .agg(F.count(F.lit(1)).alias("shared")))
@@ -81,65 +79,57 @@ def lexrank_edges(sents: DataFrame, toks: DataFrame) -> DataFrame:
     # in every sentence of a document have idf 0, add nothing to a dot product
     # and are left out of the self-join (its hottest keys).
     u = (v.where(F.col("v") > 0).join(norm, ["doc_id", "sent_id"])
-         .select("doc_id", "sent_id", "word", (F.col("v") / F.col("nrm")).alias("u"))
-         .persist(StorageLevel.MEMORY_AND_DISK))                   # read by both join sides
+         .select("doc_id", "sent_id", "word", (F.col("v") / F.col("nrm")).alias("u")))
     return (_pairs(u, ["u"]).groupBy("doc_id", "src", "dst")
             .agg(F.sum(F.col("u_a") * F.col("u_b")).alias("cosine")))
 
 
 def power_rank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = DAMPING,
-               checkpoint_every: int = 5) -> DataFrame:
+               cut_every: int = 5) -> DataFrame:
     """J-rank: (doc_id, sent_id, score) by weighted PageRank per document.
 
     ``nodes``: (doc_id, sent_id); ``edges``: undirected (doc_id, src, dst, w) with w > 0.
     r0 = 1/n; r' = (1-d)/n + d * (sum_j r_j w_ji / out_j + dangling_mass / n).
 
-    One step is one join and one aggregation: the static transition rows are
-    extended with an ``own`` row per node (p = 0) that carries the node's
-    state through the join, so the rank frame is referenced once per step and
-    the plan grows linearly. The per-document dangling mass is a window sum.
-    Lineage is cut every ``checkpoint_every`` steps with ``checkpoint()`` into
-    the session's checkpoint folder (when one is configured).
+    A document is one row of the corpus, so all frames are partitioned by
+    ``doc_id`` once; every join, aggregation and window of a step then works
+    inside its partition and a step shuffles nothing. One step is one join and
+    one aggregation: the transition rows are extended with an ``own`` row per
+    node (p = 0) that carries the node's state through the join, so the rank
+    frame is referenced once per step and the plan grows linearly. The edges
+    and, every ``cut_every`` steps, the ranks are cut into the checkpoint folder.
     """
     from pyspark.sql import Window
 
     spark = nodes.sparkSession
-    e = edges.where(F.col("w") > 0).select("doc_id", "src", "dst", "w")
-    directed = e.unionByName(e.select("doc_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    outw = directed.groupBy("doc_id", "src").agg(F.sum("w").alias("ow"))
-    trans = (directed.join(outw, ["doc_id", "src"])
-             .select("doc_id", "src", "dst", (F.col("w") / F.col("ow")).alias("p"), F.lit(False).alias("own")))
-    own = nodes.select("doc_id", F.col("sent_id").alias("src"), F.col("sent_id").alias("dst"),
-                       F.lit(0.0).alias("p"), F.lit(True).alias("own"))
-    # hash-partitioned on the join key once, then cached: every step shuffles
-    # only the small per-sentence state, never the edge rows again
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    moves = trans.unionByName(own).repartition(nparts, "doc_id", "src").persist(StorageLevel.MEMORY_AND_DISK)
-    n = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    # dangling = no outgoing edge; read from the cached moves, not recomputed
-    has_out = (moves.where(~F.col("own")).select("doc_id", F.col("src").alias("sent_id")).distinct()
-               .withColumn("dangling", F.lit(False)))
-    rank = (nodes.select("doc_id", "sent_id").join(n, "doc_id")
-            .join(has_out, ["doc_id", "sent_id"], "left")
-            .select("doc_id", "sent_id", "n", F.coalesce("dangling", F.lit(True)).alias("dangling"),
-                    (1.0 / F.col("n")).alias("r")))
-    for step in range(iterations):
-        state = rank.select("doc_id", F.col("sent_id").alias("src"), "n", "dangling", "r")
-        agg = (moves.join(state, ["doc_id", "src"])
-               .groupBy("doc_id", F.col("dst").alias("sent_id"))
-               .agg(F.sum(F.col("p") * F.col("r")).alias("c"),
-                    F.max(F.when(F.col("own"), F.col("n"))).alias("n"),
-                    F.max(F.when(F.col("own"), F.col("dangling"))).alias("dangling"),
-                    F.max(F.when(F.col("own"), F.col("r"))).alias("r_old")))
-        # dangling mass per document as a window sum over the per-sentence state
-        # rows (one small row per sentence); a join of a separate aggregate
-        # would reference the step twice and double the plan every step
-        dmass = F.sum(F.when(F.col("dangling"), F.col("r_old")).otherwise(F.lit(0.0))).over(
-            Window.partitionBy("doc_id"))
-        rank = agg.select("doc_id", "sent_id", "n", "dangling",
-                          ((1.0 - damping) / F.col("n")
-                           + damping * (F.col("c") + dmass / F.col("n"))).alias("r"))
-        if (checkpoint_every and (step + 1) % checkpoint_every == 0 and step + 1 < iterations
-                and checkpoint_dir(spark)):
-            rank = rank.checkpoint(eager=True)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    directed = materialize(edges.where(F.col("w") > 0).select("doc_id", "w", both.alias("e"))
+                           .select("doc_id", "e.src", "e.dst", "w").repartition(parts, "doc_id"))
+    nodes = materialize(nodes.select("doc_id", "sent_id").repartition(parts, "doc_id"))
+    with co_partitioned(spark):
+        outw = directed.groupBy("doc_id", "src").agg(F.sum("w").alias("ow"))
+        per_doc = Window.partitionBy("doc_id")
+        rank = materialize(
+            nodes.join(outw.withColumnRenamed("src", "sent_id"), ["doc_id", "sent_id"], "left")
+            .select("doc_id", "sent_id", F.count(F.lit(1)).over(per_doc).alias("n"), "ow")
+            .select("doc_id", "sent_id", "n", "ow", (1.0 / F.col("n")).alias("r")))
+        moves = directed.select("doc_id", "src", "dst", "w", F.lit(False).alias("own")).unionByName(
+            nodes.select("doc_id", F.col("sent_id").alias("src"), F.col("sent_id").alias("dst"),
+                         F.lit(0.0).alias("w"), F.lit(True).alias("own")))
+        moves = materialize(moves.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "src"))
+        for step in range(iterations):
+            state = rank.select("doc_id", F.col("sent_id").alias("src"), "n", "ow", "r")
+            agg = (moves.join(state.hint("shuffle_hash"), ["doc_id", "src"])
+                   .groupBy("doc_id", F.col("dst").alias("sent_id"))
+                   .agg(F.sum(F.when(F.col("own"), 0.0).otherwise(F.col("w") / F.col("ow") * F.col("r"))).alias("c"),
+                        F.max(F.when(F.col("own"), F.col("n"))).alias("n"),
+                        F.max(F.when(F.col("own"), F.col("ow"))).alias("ow"),
+                        F.max(F.when(F.col("own"), F.col("r"))).alias("r_old")))
+            dangling = F.sum(F.when(F.col("ow").isNull(), F.col("r_old")).otherwise(F.lit(0.0))).over(per_doc)
+            rank = agg.select("doc_id", "sent_id", "n", "ow",
+                              ((1.0 - damping) / F.col("n")
+                               + damping * (F.col("c") + dangling / F.col("n"))).alias("r"))
+            if (step + 1) % cut_every == 0 or step + 1 == iterations:
+                rank = materialize(rank)
     return rank.select("doc_id", "sent_id", F.col("r").alias("score"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from precis.operators import graph
 from precis.operators.sentences import sentences as split_sentences, tokens as split_tokens
 from precis.operators.topk import assemble, rank_key, top_k, with_all_documents
+from precis.session import materialize
 
 LUHN_MAX_GAP = 4        # insignificant words allowed inside a cluster
 LUHN_MIN_FREQ = 2       # a word is significant when it occurs this often in its document
@@ -42,13 +43,12 @@ class Corpus:
     @classmethod
     def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            persist: bool = False) -> "Corpus":
-        """Split once; with ``persist`` the sentence frame is cached (memory,
-        spilling to disk) because every summariser reads it several times."""
-        from pyspark import StorageLevel
+        """Split once; with ``persist`` the sentence frame is written to the
+        checkpoint folder because every summariser reads it several times."""
         d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         s = split_sentences(d)
         if persist:
-            s = s.persist(StorageLevel.MEMORY_AND_DISK)
+            s = materialize(s)
         return cls(d, s, split_tokens(s))
 
 
@@ -114,10 +114,21 @@ def lsa_rank_scores(c: Corpus, topics: int = DEFAULT_K) -> DataFrame:
 
 
 def reduction_scores(c: Corpus) -> DataFrame:
-    e = graph.textrank_edges(c.toks)
-    both = e.select("doc_id", F.col("src").alias("sent_id"), "weight").unionByName(
-        e.select("doc_id", F.col("dst").alias("sent_id"), "weight"))
-    return both.groupBy("doc_id", "sent_id").agg(F.sum("weight").alias("score"))
+    """Sum of a sentence's TextRank edge weights, without forming the pairs.
+
+    The sum over other sentences j that share a word of 1 / (ln Li + ln Lj)
+    depends on the word and on Lj only: incidence rows meet a histogram of
+    sentence lengths per (doc, word), and the sentence's own entry is taken
+    out of its length's count.
+    """
+    inc = materialize(c.toks.groupBy("doc_id", "sent_id")
+                      .agg(F.count(F.lit(1)).alias("n"), F.collect_set("word").alias("words"))
+                      .select("doc_id", "sent_id", "n", F.explode("words").alias("word")))
+    lengths = inc.groupBy("doc_id", "word", F.col("n").alias("m")).agg(F.count(F.lit(1)).alias("k"))
+    den = F.log(F.col("n").cast("double")) + F.log(F.col("m").cast("double"))
+    others = F.col("k") - F.when(F.col("n") == F.col("m"), 1).otherwise(0)
+    return (inc.join(lengths, ["doc_id", "word"]).where(others > 0)
+            .groupBy("doc_id", "sent_id").agg(F.sum(F.when(den > 0, others / den).otherwise(0.0)).alias("score")))
 
 
 def textrank_scores(c: Corpus, iterations: int = 20, damping: float = graph.DAMPING) -> DataFrame:
@@ -176,20 +187,16 @@ def kl(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
     which equals KL(P_D || P_S') minus a per-document constant, with
     P_S'(w) = (c_S'(w)+delta) / (N_S' + delta*V). The lowest J wins (ties: sent_id).
     """
-    from pyspark import StorageLevel
-
-    tf = (c.toks.groupBy("doc_id", "sent_id", "word").agg(F.count(F.lit(1)).alias("cs"))
-          .persist(StorageLevel.MEMORY_AND_DISK))                    # read every round
+    tf = materialize(c.toks.groupBy("doc_id", "sent_id", "word").agg(F.count(F.lit(1)).alias("cs")))   # read every round
     dw = tf.groupBy("doc_id", "word").agg(F.sum("cs").alias("cd"))
     dstat = dw.groupBy("doc_id").agg(F.sum("cd").alias("nd"), F.count(F.lit(1)).alias("v"))
     pd_ = dw.join(dstat, "doc_id").select("doc_id", "word", (F.col("cd") / F.col("nd")).alias("pd"))
-    cand_terms = tf.join(pd_, ["doc_id", "word"]).persist(StorageLevel.MEMORY_AND_DISK)  # (doc, sent, word, cs, pd)
+    cand_terms = materialize(tf.join(pd_, ["doc_id", "word"]))                # (doc, sent, word, cs, pd)
     ns = tf.groupBy("doc_id", "sent_id").agg(F.sum("cs").alias("ns"))
-    base = (c.sents.select("doc_id", "sent_id").join(ns, ["doc_id", "sent_id"], "left")
-            .join(dstat.select("doc_id", "v"), "doc_id", "left")
-            .select("doc_id", "sent_id", F.coalesce("ns", F.lit(0)).alias("ns"),
-                    F.coalesce("v", F.lit(0)).alias("v"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    base = materialize(c.sents.select("doc_id", "sent_id").join(ns, ["doc_id", "sent_id"], "left")
+                       .join(dstat.select("doc_id", "v"), "doc_id", "left")
+                       .select("doc_id", "sent_id", F.coalesce("ns", F.lit(0)).alias("ns"),
+                               F.coalesce("v", F.lit(0)).alias("v")))
     chosen = None                                                       # (doc_id, sent_id, rnd)
     for rnd in range(k):
         if chosen is None:
@@ -217,7 +224,7 @@ def kl(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
         key = F.struct(F.round(j, 9).alias("s"), F.col("sent_id").alias("i"))
         best = (scored.groupBy("doc_id").agg(F.min_by("sent_id", key).alias("sent_id"))
                 .select("doc_id", "sent_id", F.lit(rnd).alias("rnd")))
-        chosen = best if chosen is None else chosen.unionByName(best)
+        chosen = materialize(best if chosen is None else chosen.unionByName(best))   # one plan per round
     picked = chosen.join(c.sents, ["doc_id", "sent_id"]).select("doc_id", "sent_id", "sentence")
     return assemble(picked)
 

@@ -126,22 +126,22 @@ def power_rank(graph: str, steps: int, d: float = DAMPING) -> str:
     """CTEs ending in ``score`` from undirected graph CTE (doc_id, src, dst, w)."""
     parts = [f"""
 g AS (SELECT doc_id, src, dst, w FROM {graph} WHERE w > 0),
-dir AS (SELECT doc_id, src, dst, w FROM g UNION ALL SELECT doc_id, dst AS src, src AS dst, w FROM g),
-outw AS (SELECT doc_id, src, sum(w) AS ow FROM dir GROUP BY doc_id, src),
-trans AS (SELECT dir.doc_id, dir.src, dir.dst, dir.w / outw.ow AS p
+dir AS MATERIALIZED (SELECT doc_id, src, dst, w FROM g UNION ALL SELECT doc_id, dst AS src, src AS dst, w FROM g),
+outw AS MATERIALIZED (SELECT doc_id, src, sum(w) AS ow FROM dir GROUP BY doc_id, src),
+trans AS MATERIALIZED (SELECT dir.doc_id, dir.src, dir.dst, dir.w / outw.ow AS p
           FROM dir JOIN outw ON dir.doc_id = outw.doc_id AND dir.src = outw.src),
 nn AS (SELECT doc_id, count(*) AS n FROM sent GROUP BY doc_id),
-info AS (SELECT s.doc_id, s.sent_id, nn.n, o.src IS NULL AS dangling
+info AS MATERIALIZED (SELECT s.doc_id, s.sent_id, nn.n, o.src IS NULL AS dangling
          FROM sent s JOIN nn ON s.doc_id = nn.doc_id
          LEFT JOIN outw o ON s.doc_id = o.doc_id AND s.sent_id = o.src),
-r0 AS (SELECT doc_id, sent_id, n, dangling, 1.0 / n AS r FROM info)"""]
+r0 AS MATERIALIZED (SELECT doc_id, sent_id, n, dangling, 1.0 / n AS r FROM info)"""]
     for t in range(1, steps + 1):
         p = f"r{t - 1}"
         parts.append(f"""
 c{t} AS (SELECT tr.doc_id, tr.dst AS sent_id, sum(tr.p * x.r) AS c
         FROM trans tr JOIN {p} x ON tr.doc_id = x.doc_id AND tr.src = x.sent_id GROUP BY tr.doc_id, tr.dst),
 dm{t} AS (SELECT doc_id, sum(r) AS dm FROM {p} WHERE dangling GROUP BY doc_id),
-r{t} AS (SELECT x.doc_id, x.sent_id, x.n, x.dangling,
+r{t} AS MATERIALIZED (SELECT x.doc_id, x.sent_id, x.n, x.dangling,
                (1.0 - {d}) / x.n + {d} * (coalesce(c.c, 0.0) + coalesce(m.dm, 0.0) / x.n) AS r
         FROM {p} x LEFT JOIN c{t} c ON x.doc_id = c.doc_id AND x.sent_id = c.sent_id
                    LEFT JOIN dm{t} m ON x.doc_id = m.doc_id)""")
@@ -212,7 +212,7 @@ def summary_sql(name: str) -> str:
     if name == "random":
         body = random_pick(k, Q.SEED)
     elif name == "kl":
-        body = kl_pick(Q.KL_K)
+        body = kl_pick(k)
     elif name == "luhn":
         body = luhn_scores() + "," + pick_sql("score", k)
     elif name == "lsa":
@@ -373,15 +373,6 @@ FROM s"""
     out["sentence_graph_lexrank"] = (f"WITH {corpus_ctes()},{lexrank_edges()}\n"
                                      "SELECT doc_id, src, dst, round(cosine, 6) AS cosine FROM lx_edges")
 
-    def words150(x):
-        words = f"list_filter(regexp_split_to_array({strip(x)}, {lit(WS_CLASS + '+')}), lambda w: w <> '')"
-        return f"array_to_string(list_slice({words}, 1, 150), ' ')"
-    out["abstractive_batch"] = f"""
-SELECT 'bart' AS model, doc_id, {strip(words150('text'))} AS summary FROM documents WHERE length(text) > 0
-UNION ALL
-SELECT 't5' AS model, doc_id, {strip(words150("'summarize: ' || text"))} AS summary FROM documents
-WHERE length(text) > 0"""
-
     from precis.operators.summarizers import EXTRACTIVE
     avail = list(EXTRACTIVE) + Q.ABSTRACTIVE_STUBS
     chosen = [m for m in Q.GRID_REQUEST if m in avail]

@@ -6,6 +6,7 @@ fill in settings that are unset (local runs and tests).
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -40,9 +41,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if active is not None:
         return active
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (SparkSession.builder
-               .master(master or f"local[{cpus}]")
-               .appName(app_name)
+    from pyspark import SparkConf
+    builder = SparkSession.builder.appName(app_name)
+    if master or not SparkConf().get("spark.master", None):       # spark-submit --master stays in force
+        builder = builder.master(master or f"local[{cpus}]")
+    builder = (builder
                .config("spark.driver.memory", os.environ.get("PRECIS_DRIVER_MEMORY", _driver_memory()))
                .config("spark.sql.shuffle.partitions",
                        str(shuffle_partitions or int(cpus) * 2)))
@@ -57,9 +60,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession, create: bool = False) -> str | None:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Read from the session. Only with ``create=True`` (local runs and tests,
-    via ``get_spark``) is a scratch folder registered when none is set;
-    library code never invents a machine-local folder.
+    Read from the session. Only with ``create=True`` and a local master is a
+    scratch folder registered when none is set; on a cluster a missing name
+    is an error, since executors and driver share no local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,6 +70,8 @@ def checkpoint_dir(spark: SparkSession, create: bool = False) -> str | None:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf and create:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="precis-ckpt-")
     if not conf:
         return None
@@ -76,12 +81,22 @@ def checkpoint_dir(spark: SparkSession, create: bool = False) -> str | None:
 
 def materialize(df):
     """Cut the lineage of ``df``: ``checkpoint()`` into the shared checkpoint
-    folder when one is configured, else an eager cache (never localCheckpoint)."""
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    df = df.cache()
-    df.count()
-    return df
+    folder (never localCheckpoint, nothing left in executor caches)."""
+    checkpoint_dir(df.sparkSession, create=True)
+    return df.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def co_partitioned(spark: SparkSession):
+    """Plan joins of frames that are partitioned alike by a part of the join
+    key without shuffling them again (only for jobs started inside)."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def ship_package(spark: SparkSession) -> None:
