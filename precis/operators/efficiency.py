@@ -1,4 +1,4 @@
-"""Runtime statistics per summariser."""
+"""Runtime statistics per summariser."""
 
 from __future__ import annotations
 
@@ -26,10 +26,3 @@ def efficiency_report(models: DataFrame, timings: DataFrame) -> DataFrame:
                     .alias("avg_s"),
                     "min_s", "max_s")
             .orderBy(F.col("avg_s").asc_nulls_last(), "model"))
-
-
-def rounded(report: DataFrame, digits: int = 3) -> DataFrame:
-    """Round the float columns as the CSV output does."""
-    cols = [F.round(c, digits).alias(c) if c in ("total_s", "avg_s", "min_s", "max_s") else F.col(c)
-            for c in report.columns]
-    return report.select(*cols)

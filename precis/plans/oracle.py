@@ -270,19 +270,19 @@ FROM summ s JOIN ({labels_sql}) l ON s.doc_id = l.doc_id
 WHERE {strip('s.summary')} <> '' AND l.doc_id IS NOT NULL AND l.category IS NOT NULL"""
 
 
+def all_records_ctes(labels_sql: str) -> str:
+    """summ_<model> per model and recs, their union joined with the labels."""
+    summ = ",\n".join(f"summ_{m} AS (WITH {corpus_ctes()},{summary_sql(m)}\n{all_docs_select()})" for m in Q.MODELS)
+    recs = "\nUNION ALL\n".join(recs_sql(m, labels_sql).replace("FROM summ s", f"FROM summ_{m} s") for m in Q.MODELS)
+    return f"{summ},\nrecs AS MATERIALIZED ({recs})"
+
+
 def rule_predictions_sql() -> str:
-    """preds(model, doc_id, y_true, y_pred) and recs over luhn + random summaries."""
-    luhn = f"WITH {corpus_ctes()},{summary_sql('luhn')}\n{all_docs_select()}"
-    rand = f"WITH {corpus_ctes()},{summary_sql('random')}\n{all_docs_select()}"
+    """preds(model, doc_id, y_true, y_pred), recs and pc(per category) over all models' summaries."""
     labels = "SELECT doc_id, lang AS category FROM documents"
     t = toks_of("r.summary")
     return f"""
-WITH summ_luhn AS ({luhn}),
-summ_random AS ({rand}),
-recs AS (
-  {recs_sql('luhn', labels).replace('FROM summ s', 'FROM summ_luhn s')}
-  UNION ALL
-  {recs_sql('random', labels).replace('FROM summ s', 'FROM summ_random s')}),
+WITH {all_records_ctes(labels)},
 {split_ctes(labels)},
 preds AS (
   SELECT r.model, r.resume_id AS doc_id, r.category AS y_true,
@@ -382,33 +382,36 @@ SELECT m.model, CAST(m.model_ord AS INTEGER) AS model_ord, d.doc_id
 FROM documents d, (VALUES {values}) AS m(model, model_ord) WHERE length(d.text) > 0"""
 
     quality = "SELECT doc_id, CAST(quality AS VARCHAR) AS category FROM labels"
-    out["label_join"] = with_summary("random", recs_sql("random", quality))
+    out["label_join"] = f"WITH {all_records_ctes(quality)}\nSELECT * FROM recs"
+    out["corpus_counts"] = f"""WITH {all_records_ctes(quality)}
+SELECT model, count(*) AS n_records, count(DISTINCT resume_id) AS n_ids, count(DISTINCT category) AS n_categories
+FROM recs GROUP BY model"""
+    out["router"] = "\nUNION ALL\n".join(
+        f"SELECT '{m}' AS model, doc_id, summary FROM (WITH {corpus_ctes()},{summary_sql(m)}\n{all_docs_select()}) z"
+        for m in Q.ROUTER_REQUEST if m in Q.MODELS)
     out["stratified_split"] = (f"WITH {split_ctes('SELECT doc_id, lang AS category FROM documents')}\n"
                                "SELECT doc_id, category, fold FROM split")
     out["stratified_split_quality"] = (f"WITH {split_ctes(quality)}\n"
                                        "SELECT doc_id, category, fold FROM split")
 
     labels = "SELECT doc_id, lang AS category FROM documents"
-    recs = recs_sql("random", labels)
-    ids = "SELECT resume_id AS doc_id, category FROM recs"
     grams = ("list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), "
              "lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)")
-    out["tfidf_features"] = with_summary("random", """
-SELECT resume_id, term, round(w / nrm, 6) AS tfidf
-FROM w JOIN nrm USING (resume_id)""", extra=f"""
-recs AS ({recs}),
-{split_ctes(ids)},
-tk AS (SELECT resume_id, list_filter({toks_of('summary')}, lambda x: NOT list_contains({stop_list()}, x)) AS t
+    out["tfidf_features"] = f"""
+WITH {all_records_ctes(labels)},
+{split_ctes("SELECT DISTINCT resume_id AS doc_id, category FROM recs")},
+tk AS (SELECT model, resume_id, list_filter({toks_of('summary')}, lambda x: NOT list_contains({stop_list()}, x)) AS t
        FROM recs),
-gr AS (SELECT resume_id, unnest({grams}) AS term FROM tk),
-tf AS (SELECT resume_id, term, count(*) AS tf FROM gr GROUP BY resume_id, term),
+gr AS (SELECT model, resume_id, unnest({grams}) AS term FROM tk),
+tf AS MATERIALIZED (SELECT model, resume_id, term, count(*) AS tf FROM gr GROUP BY model, resume_id, term),
 train AS (SELECT CAST(doc_id AS VARCHAR) AS resume_id FROM split WHERE fold = 'train'),
-ntr AS (SELECT count(*) AS n FROM recs WHERE resume_id IN (SELECT resume_id FROM train)),
-dfq AS (SELECT term, count(*) AS df FROM tf WHERE resume_id IN (SELECT resume_id FROM train) GROUP BY term),
-voc AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM dfq, ntr
-        WHERE df >= {3} AND df <= 0.9 * n),
-w AS (SELECT tf.resume_id, tf.term, tf.tf * voc.idf AS w FROM tf JOIN voc USING (term)),
-nrm AS (SELECT resume_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY resume_id)""")
+ntr AS (SELECT model, count(*) AS n FROM recs WHERE resume_id IN (SELECT resume_id FROM train) GROUP BY model),
+dfq AS (SELECT model, term, count(*) AS df FROM tf WHERE resume_id IN (SELECT resume_id FROM train) GROUP BY model, term),
+voc AS (SELECT model, term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM dfq JOIN ntr USING (model)
+        WHERE df >= 3 AND df <= 0.9 * n),
+w AS (SELECT tf.model, tf.resume_id, tf.term, tf.tf * voc.idf AS w FROM tf JOIN voc USING (model, term)),
+nrm AS (SELECT model, resume_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY model, resume_id)
+SELECT model, resume_id, term, round(w / nrm, 6) AS tfidf FROM w JOIN nrm USING (model, resume_id)"""
 
     out["class_weights"] = f"""
 WITH {split_ctes(labels)},
@@ -427,12 +430,19 @@ FROM pc GROUP BY model"""
     out["category_pivot"] = ("PIVOT (" + base + """
 SELECT model, category, round(f1_score, 6) AS f1 FROM pc) ON category USING first(f1) GROUP BY model""")
 
-    models = ", ".join(f"({lit(m)}, {lit('abstractive' if m in Q.ABSTRACTIVE_STUBS else 'extractive')})"
-                       for m in Q.EFFICIENCY_MODELS)
-    names = ", ".join(lit(m) for m in Q.EFFICIENCY_MODELS)
+    failed = lit(Q.FAILED_MODEL)
+    out["success_rows"] = base + f"""
+SELECT model, round(sum(recall * support) / sum(support), 6) AS accuracy,
+       round(sum(f1_score * support) / sum(support), 6) AS f1_weighted, round(avg(f1_score), 6) AS f1_macro
+FROM pc WHERE model <> {failed} GROUP BY model"""
+    out["error_rows"] = base + f"""
+SELECT DISTINCT model, 'Insufficient data for split' AS error FROM pc WHERE model = {failed}"""
+    out["successful_categories"] = base + f"""
+SELECT model, category, round(f1_score, 6) AS f1_score, support FROM pc WHERE model <> {failed}"""
+
     out["efficiency_report"] = f"""
-WITH m AS (SELECT * FROM (VALUES {models}) AS v(model, type)),
-t AS (SELECT event_type AS model, value AS elapsed_s FROM events WHERE event_type IN ({names})),
+WITH t AS (SELECT event_type AS model, value AS elapsed_s FROM events),
+m AS (SELECT DISTINCT model, 'extractive' AS type FROM t UNION ALL SELECT 'bart', 'abstractive'),
 s AS (SELECT model, count(elapsed_s) AS n, sum(elapsed_s) AS tot, min(elapsed_s) AS mn, max(elapsed_s) AS mx
       FROM t GROUP BY model)
 SELECT m.model, m.type, CAST(coalesce(s.n, 0) AS BIGINT) AS files_processed,

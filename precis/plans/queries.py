@@ -20,6 +20,7 @@ from precis.operators.sentences import segment, sentences, tokens
 from precis.operators.split import stratified_split
 from precis.operators.topk import with_all_documents
 from precis.session import materialize
+from precis.sources import files
 from precis.sources.tables import table
 
 K = 3                     # extractive sentences per summary (reference config default)
@@ -34,8 +35,9 @@ QUERY_SECTION_RULES = [
 ]
 ABSTRACTIVE_STUBS = ["bart", "pegasus", "t5"]
 GRID_REQUEST = ["textrank", "bart", "luhn", "hybrid"]
-EFFICIENCY_MODELS = ["click", "error", "purchase", "signup", "view", "bart"]
-RULE_MODELS = ["luhn", "random"]
+ROUTER_REQUEST = ["random", "hybrid", "luhn", "lsa"]
+FAILED_MODEL = "kl"       # stands for a model that failed, in the report queries
+MODELS = ["kl", "lexrank", "lsa", "luhn", "random", "reduction", "textrank"]    # every extractive model but the rank-r variant of lsa
 
 
 def r6(c):
@@ -129,10 +131,22 @@ def _quality_labels(spark, sf):
     return table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("category"))
 
 
-def q_label_join(spark, sf):
+def _summaries(spark, sf):
+    """(model, doc_id, summary) of every model; the corpus is split once."""
     c = _corpus(spark, sf)
-    summ = with_all_documents(c.docs, S.random(c, K, SEED)).select(F.lit("random").alias("model"), "*")
-    return E.label_join(summ, _quality_labels(spark, sf))
+    out = None
+    for m in MODELS:
+        part = with_all_documents(c.docs, S.EXTRACTIVE[m](c, K)).select(F.lit(m).alias("model"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _lang_labels(spark, sf):
+    return _docs(spark, sf).select("doc_id", F.col("lang").alias("category"))
+
+
+def q_label_join(spark, sf):
+    return E.label_join(_summaries(spark, sf), _quality_labels(spark, sf))
 
 
 def q_stratified_split(spark, sf):
@@ -143,19 +157,16 @@ def q_stratified_split_quality(spark, sf):
     return stratified_split(_quality_labels(spark, sf))
 
 
-def _random_records(spark, sf):
-    c = _corpus(spark, sf)
-    summ = with_all_documents(c.docs, S.random(c, K, SEED)).select(F.lit("random").alias("model"), "*")
-    labels = _docs(spark, sf).select("doc_id", F.col("lang").alias("category"))
-    return E.label_join(summ, labels)
-
-
 def q_tfidf_features(spark, sf):
-    recs = materialize(_random_records(spark, sf))      # read by the split, the fit and the apply
+    recs = materialize(E.label_join(_summaries(spark, sf), _lang_labels(spark, sf)))   # read by split, fit and apply
     split = stratified_split(recs, "resume_id")
     train = split.where(F.col("fold") == "train").select(F.col("doc_id").alias("resume_id"))
     feats, _ = E.tfidf(recs, train)
-    return feats.select("resume_id", "term", r6("tfidf").alias("tfidf"))
+    return feats.select("model", "resume_id", "term", r6("tfidf").alias("tfidf"))
+
+
+def q_corpus_counts(spark, sf):
+    return E.corpus_counts(E.label_join(_summaries(spark, sf), _quality_labels(spark, sf)))
 
 
 def q_class_weights(spark, sf):
@@ -165,13 +176,8 @@ def q_class_weights(spark, sf):
 
 def _rule_predictions(spark, sf):
     """Rule classifier on summaries: language guessed from marker words."""
-    c = _corpus(spark, sf)
-    labels = _docs(spark, sf).select("doc_id", F.col("lang").alias("category"))
-    summ = None
-    for m in RULE_MODELS:
-        part = with_all_documents(c.docs, S.EXTRACTIVE[m](c, K)).select(F.lit(m).alias("model"), "*")
-        summ = part if summ is None else summ.unionByName(part)
-    recs = materialize(E.label_join(summ, labels))     # read by predictions, labels and the grid
+    labels = _lang_labels(spark, sf)
+    recs = materialize(E.label_join(_summaries(spark, sf), labels))     # read by predictions, labels and the grid
     split = stratified_split(labels)
     test = split.where(F.col("fold") == "test").select(F.col("doc_id").cast("string").alias("resume_id"))
     toks = T.token_array("summary")
@@ -210,14 +216,40 @@ def q_category_pivot(spark, sf):
     return p.select("model", *[r6(c).alias(c) for c in labels])
 
 
+def _metrics_with_failure(spark, sf):
+    """Overall and per-category metrics, with one model whose row is an error (no prediction is given for it)."""
+    preds, recs = _rule_predictions(spark, sf)
+    failed = F.col("model") == FAILED_MODEL
+    pc = materialize(E.per_category(preds, recs))
+    ok = E.overall(pc.where(~failed)).withColumn("error", F.lit(None).cast("string"))
+    bad = (pc.where(failed).select("model").distinct()
+           .select("model", *[F.lit(None).cast("double").alias(c) for c in ("accuracy", "f1_weighted", "f1_macro")],
+                   F.lit("Insufficient data for split").alias("error")))
+    return materialize(ok.unionByName(bad)), pc
+
+
+def q_success_rows(spark, sf):
+    o = files.success_rows(_metrics_with_failure(spark, sf)[0])
+    return o.select("model", r6("accuracy").alias("accuracy"), r6("f1_weighted").alias("f1_weighted"),
+                    r6("f1_macro").alias("f1_macro"))
+
+
+def q_error_rows(spark, sf):
+    return files.error_rows(_metrics_with_failure(spark, sf)[0])
+
+
+def q_successful_categories(spark, sf):
+    o, pc = _metrics_with_failure(spark, sf)
+    return files.successful_categories(pc, o).select("model", "category", r6("f1_score").alias("f1_score"), "support")
+
+
+def q_router(spark, sf):
+    """The requested models that exist, in requested order, over all documents."""
+    return S.summarize(_docs(spark, sf), ROUTER_REQUEST, k=K)
+
+
 def q_classify_summaries(spark, sf):
-    c = _corpus(spark, sf)
-    labels = _docs(spark, sf).select("doc_id", F.col("lang").alias("category"))
-    summ = None
-    for m in ("luhn", "random", "reduction"):
-        part = with_all_documents(c.docs, S.EXTRACTIVE[m](c, K)).select(F.lit(m).alias("model"), "*")
-        summ = part if summ is None else summ.unionByName(part)
-    recs = materialize(E.label_join(summ, labels))
+    recs = materialize(E.label_join(_summaries(spark, sf), _lang_labels(spark, sf)))
     split = materialize(stratified_split(recs, "resume_id"))
     res, _ = E.classify(recs, split)
     return res.select("model", r6("accuracy").alias("accuracy"), r6("f1_weighted").alias("f1_weighted"),
@@ -225,10 +257,11 @@ def q_classify_summaries(spark, sf):
 
 
 def q_efficiency_report(spark, sf):
+    """Event types of the data stand for models, event values for elapsed seconds; one requested model has no timing."""
     ev = table(spark, sf, "events").select(F.col("event_type").alias("model"), F.col("value").alias("elapsed_s"))
-    models = spark.createDataFrame([(m, "abstractive" if m in ABSTRACTIVE_STUBS else "extractive")
-                                    for m in EFFICIENCY_MODELS], "model string, type string")
-    rep = efficiency_report(models, ev.where(F.col("model").isin(EFFICIENCY_MODELS)))
+    models = (ev.select("model").distinct().select("model", F.lit("extractive").alias("type"))
+              .unionByName(spark.createDataFrame([("bart", "abstractive")], "model string, type string")))
+    rep = efficiency_report(models, ev)
     return rep.select("model", "type", "files_processed", r6("total_s").alias("total_s"),
                       r6("avg_s").alias("avg_s"), r6("min_s").alias("min_s"), r6("max_s").alias("max_s"))
 
@@ -260,5 +293,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overall_metrics": q_overall_metrics,
     "category_pivot": q_category_pivot,
     "classify_summaries": q_classify_summaries,
+    "corpus_counts": q_corpus_counts,
+    "success_rows": q_success_rows,
+    "error_rows": q_error_rows,
+    "successful_categories": q_successful_categories,
+    "router": q_router,
     "efficiency_report": q_efficiency_report,
 }

@@ -20,20 +20,19 @@ REPLACEMENT_CHAR = "�"
 _BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _relative(path_col, base: str):
-    """Path relative to ``base`` (scheme and base prefix removed)."""
-    base = base.rstrip("/")
-    return F.regexp_replace(F.regexp_replace(path_col, r"^file:", ""), "^" + _re_escape(base) + "/", "")
-
-
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
+def _relative(spark: SparkSession, path_col, base: str):
+    """Path relative to ``base``: both are compared as fully qualified paths, whatever scheme the base names."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    qualified = fs.makeQualified(path).toUri().getPath().rstrip("/")
+    plain = F.regexp_replace(path_col, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.when(plain.startswith(qualified + "/"), F.substring(plain, len(qualified) + 2, 1 << 30)).otherwise(plain)
 
 
 def discover(spark: SparkSession, raw_dir: str, extensions=SUPPORTED_EXTENSIONS,
              with_content: bool = False) -> DataFrame:
-    """A1: (path, rel_path, ext, length[, content]) of supported files, sorted by path.
+    """A1: (path, rel_path, ext, length[, content]) of supported files (listings sorted by path).
 
     The glob is case-sensitive (``x.TXT`` is not found); a missing folder
     gives an empty frame; zero-byte files are not emitted. Discovery alone
@@ -47,11 +46,13 @@ def discover(spark: SparkSession, raw_dir: str, extensions=SUPPORTED_EXTENSIONS,
         return spark.createDataFrame([], _BINARY_SCHEMA).select(
             "path", F.lit("").alias("rel_path"), F.lit("").alias("ext"), "length",
             *(["content"] if with_content else []))
-    cols = ["path", _relative(F.col("path"), raw_dir).alias("rel_path"),
+    cols = ["path", _relative(spark, F.col("path"), raw_dir).alias("rel_path"),
             F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("ext"), "length"]
     if with_content:
         cols.append("content")
-    return df.where(F.col("length") > 0).select(*cols).dropDuplicates(["path"]).orderBy("path")
+    # one glob lists a path once; only listings are sorted, file bodies are never shuffled
+    found = df.where(F.col("length") > 0).select(*cols)
+    return found if with_content else found.orderBy("path")
 
 
 def decode_ignore_errors(content_col) -> "F.Column":
@@ -75,9 +76,12 @@ def _docx_texts(batches):
                 with zipfile.ZipFile(io.BytesIO(bytes(blob))) as z:
                     root = ElementTree.fromstring(z.read("word/document.xml"))
                 paras = []
-                for p in root.iter(ns + "p"):
+                for p in root.findall(f"{ns}body/{ns}p"):     # body paragraphs only: no tables, no text boxes
                     parts = []
+                    boxed = {x for box in p.iter(ns + "txbxContent") for x in box.iter()}
                     for node in p.iter():
+                        if node in boxed:
+                            continue
                         if node.tag == ns + "t" and node.text:
                             parts.append(node.text)
                         elif node.tag == ns + "tab":
@@ -89,7 +93,7 @@ def _docx_texts(batches):
                 errors.append(None)
             except Exception as exc:  # per-row failure, like the reference's skip
                 texts.append("")
-                errors.append(re.sub(r"\s+", " ", f"{type(exc).__name__}: {exc}")[:200])
+                errors.append(re.sub(r"\s+", " ", f"{type(exc).__name__}: {exc}"))
         out = pdf.drop(columns=["content"])
         out["text"] = texts
         out["error"] = errors
@@ -118,11 +122,13 @@ def load_labels(spark: SparkSession, csv_path: str, id_col: str = "ID",
                 category_col: str = "Category") -> DataFrame | None:
     """A4: (doc_id, category) strings; null rows dropped; last duplicate id wins.
 
-    Read as one file so ``monotonically_increasing_id`` follows line order.
+    Quoted fields may hold line breaks and doubled quotes. Read as one file so
+    ``monotonically_increasing_id`` follows line order.
     A missing file or column returns None (the reference aborts).
     """
     try:
-        raw = spark.read.option("header", "true").option("inferSchema", "false").csv(csv_path)
+        raw = (spark.read.option("header", "true").option("inferSchema", "false")
+               .option("multiLine", "true").option("escape", '"').csv(csv_path))
     except AnalysisException:
         return None
     if id_col not in raw.columns or category_col not in raw.columns:
@@ -149,7 +155,7 @@ def read_summary_tree(spark: SparkSession, base_dir: str) -> DataFrame:
               .option("pathGlobFilter", f"*{SUMMARY_SUFFIX}.txt").load(base_dir))
     except AnalysisException:
         return spark.createDataFrame([], "model string, resume_id string, summary string")
-    rel = _relative(F.col("path"), base_dir)
+    rel = _relative(spark, F.col("path"), base_dir)
     as_utf8 = F.col("content").cast("string")
     text = F.when(F.is_valid_utf8(as_utf8), as_utf8).otherwise(F.decode("content", "ISO-8859-1"))
     out = (df.select(rel.alias("rel"), strip_ws(F.regexp_replace(text, "\r\n?", "\n")).alias("summary"))
@@ -170,22 +176,34 @@ def write_results(out_dir: str, overall: DataFrame | None = None, per_category:
     def _csv(df, name):
         df.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{out_dir.rstrip('/')}/{name}")
 
-    def _round(df, cols, dp):
-        return df.select(*[F.round(c, dp).alias(c) if c in cols else F.col(c) for c in df.columns])
+    def _fixed(df, cols, dp):
+        return df.select(*[F.format_string(f"%.{dp}f", F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
     if overall is not None:
-        ok = overall.where(F.col("error").isNull()).drop("error")
-        _csv(_round(ok, ("accuracy", "f1_weighted", "f1_macro"), 4)
-             .orderBy(F.col("f1_weighted").desc_nulls_last()), "classification_overall_success")
-        _csv(overall.where(F.col("error").isNotNull()).select("model", "error"), "classification_overall_errors")
+        _csv(_fixed(success_rows(overall), ("accuracy", "f1_weighted", "f1_macro"), 4), "classification_overall_success")
+        _csv(error_rows(overall), "classification_overall_errors")
     if per_category is not None:
         if overall is not None:
-            ok_models = overall.where(F.col("error").isNull()).select("model")
-            per_category = per_category.join(ok_models, "model", "left_semi")
-        _csv(_round(per_category, ("precision", "recall", "f1_score"), 4).orderBy("model", "category"),
+            per_category = successful_categories(per_category, overall)
+        _csv(_fixed(per_category.orderBy("model", "category"), ("precision", "recall", "f1_score"), 4),
              "classification_per_category")
     if efficiency is not None:
-        _csv(_round(efficiency, ("total_s", "avg_s", "min_s", "max_s"), 3), "efficiency_summary")
+        _csv(_fixed(efficiency, ("total_s", "avg_s", "min_s", "max_s"), 3), "efficiency_summary")
+
+
+def success_rows(overall: DataFrame) -> DataFrame:
+    """Models without an error, best weighted F1 first."""
+    return overall.where(F.col("error").isNull()).drop("error").orderBy(F.col("f1_weighted").desc_nulls_last(), "model")
+
+
+def error_rows(overall: DataFrame) -> DataFrame:
+    """The models that failed and why."""
+    return overall.where(F.col("error").isNotNull()).select("model", "error")
+
+
+def successful_categories(per_category: DataFrame, overall: DataFrame) -> DataFrame:
+    """Per-category rows of models without an error (one row per model: a checked, small side)."""
+    return per_category.join(overall.where(F.col("error").isNull()).select("model"), "model", "left_semi")
 
 
 def preview(files: DataFrame, n: int = 5) -> list[str]:

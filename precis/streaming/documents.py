@@ -10,7 +10,6 @@ streaming DataFrame.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from precis.functions.text import clean_text
 
@@ -25,14 +24,15 @@ def summarize_stream(stream: DataFrame, models: list[str], out_dir: str, checkpo
     """Start a query writing (model, doc_id, summary) Parquet under ``out_dir``.
 
     ``checkpoint_location`` must be a shared folder (progress and offsets
-    survive driver/executor loss); the sink is append-only Parquet
-    partitioned by model, written once per micro-batch.
+    survive driver/executor loss); the sink is Parquet partitioned by batch
+    and model, so each micro-batch is in it exactly once.
     """
     from precis.operators.summarizers import summarize
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         out = summarize(batch.select("doc_id", "text"), models, k=k)
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("model").parquet(out_dir)
+        # one folder per batch: a batch that is replayed after a failure replaces its own output
+        out.write.mode("overwrite").partitionBy("model").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer

@@ -19,7 +19,9 @@ def _tree():
     with zipfile.ZipFile(buf, "w") as z:
         ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
         z.writestr("word/document.xml", f'<w:document {ns}><w:body><w:p><w:r><w:t>First para</w:t></w:r></w:p>'
-                                        f'<w:p><w:r><w:t>Second</w:t></w:r></w:p></w:body></w:document>')
+                                        f'<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+                                        f'<w:p><w:r><w:t>Second</w:t></w:r><w:r><w:txbxContent><w:p><w:r><w:t>box</w:t></w:r>'
+                                        f'</w:p></w:txbxContent></w:r></w:p></w:body></w:document>')
     open(f"{root}/A/B/d.docx", "wb").write(buf.getvalue())
     open(f"{root}/A/broken.docx", "wb").write(b"not a zip")
     return root
@@ -42,6 +44,9 @@ def test_labels_last_duplicate_wins(spark):
     open(f"{d}/l.csv", "w").write("ID,Category,Other\n1,X,a\n2,,b\n,Y,c\n1,Z,d\n")
     lab = {r["doc_id"]: r["category"] for r in FS.load_labels(spark, f"{d}/l.csv").collect()}
     assert lab == {"1": "Z"}
+    open(f"{d}/q.csv", "w").write('ID,Category,Resume\n1,HR,"line one\nline, two"\n2,"says ""IT""","a ""b"", c"\n')
+    quoted = {r["doc_id"]: r["category"] for r in FS.load_labels(spark, f"{d}/q.csv").collect()}
+    assert quoted == {"1": "HR", "2": 'says "IT"'}
     assert FS.load_labels(spark, f"{d}/nope.csv") is None
     assert FS.load_labels(spark, f"{d}/l.csv", id_col="Nope") is None
 
@@ -53,8 +58,9 @@ def test_summary_tree_roundtrip(spark):
     open(f"{base}/luhn/r2_summary.txt", "wb").write(b"caf\xe9")
     open(f"{base}/luhn/r3_summary.txt", "w").write("   ")
     open(f"{base}/luhn/r4.txt", "w").write("ignored")
-    got = {(r["model"], r["resume_id"]): r["summary"] for r in FS.read_summary_tree(spark, base).collect()}
-    assert got == {("luhn", "r1"): "good summary", ("luhn", "r2"): "café"}
+    for where in (base, "file://" + base, base + "/"):
+        got = {(r["model"], r["resume_id"]): r["summary"] for r in FS.read_summary_tree(spark, where).collect()}
+        assert got == {("luhn", "r1"): "good summary", ("luhn", "r2"): "café"}
 
 
 def test_write_sinks(spark):
@@ -67,4 +73,9 @@ def test_write_sinks(spark):
                                     "model string, accuracy double, f1_weighted double, f1_macro double, error string")
     FS.write_results(f"{out}/res", overall=overall)
     ok = spark.read.option("header", "true").csv(f"{out}/res/classification_overall_success").collect()
-    assert [r["model"] for r in ok] == ["luhn"]
+    assert [tuple(r) for r in ok] == [("luhn", "0.5000", "0.4000", "0.3000")]
+
+
+def test_file_bodies_are_not_shuffled(spark):
+    plan = FS.discover(spark, _tree(), with_content=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

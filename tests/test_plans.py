@@ -21,7 +21,25 @@ def test_scans_are_pruned_and_no_cartesian(spark, name):
         assert len(cols) <= 2, schema          # documents: doc_id + one text/label column; events: 2 columns
 
 
-def test_efficiency_filter_pushed_to_scan(spark):
+def test_nothing_stays_in_caches(spark):
     from conftest import SF_TINY
-    plan = _plan(entry.queries()["efficiency_report"](spark, SF_TINY))
-    assert re.search(r"PushedFilters: \[[^\]]*In\(event_type", plan)
+    for name in ("summ_textrank", "summ_kl", "tfidf_features"):
+        entry.queries()[name](spark, SF_TINY).count()
+        assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_rank_steps_shuffle_nothing(spark):
+    """Partitioned by document once, a step's join, aggregation and window need no exchange."""
+    from pyspark.sql import functions as F
+
+    from precis.operators.graph import power_rank
+    from precis.session import co_partitioned, materialize
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = materialize(spark.range(100).selectExpr("id % 7 AS doc_id", "id AS src", "id + 1 AS dst").repartition(parts, "doc_id"))
+    b = materialize(spark.range(100).selectExpr("id % 7 AS doc_id", "id AS src", "0.5 AS r").repartition(parts, "doc_id"))
+    with co_partitioned(spark):
+        step = a.join(b.hint("shuffle_hash"), ["doc_id", "src"]).groupBy("doc_id", "dst").agg(F.sum("r"))
+        assert "Exchange" not in _plan(step)
+    rank = power_rank(spark.range(5).selectExpr("1L AS doc_id", "CAST(id AS INT) AS sent_id"),
+                      spark.range(4).selectExpr("1L AS doc_id", "CAST(id AS INT) AS src", "CAST(id + 1 AS INT) AS dst", "1.0D AS w"))
+    assert abs(sum(r["score"] for r in rank.collect()) - 1.0) < 1e-9
