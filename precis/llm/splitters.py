@@ -32,6 +32,11 @@ OVERSAMPLE = 8
 SPLIT_ROUNDS = 4
 
 
+def text_key(text):
+    """First 60 bits of the text's MD5; null: -1."""
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(-1).cast("long"))
+
+
 def _sample(rows: DataFrame, k: int, seed: int) -> list[tuple[int, int, int]]:
     """k keys, drawn with weight = size: the smallest arrival times of exponential clocks of rate size."""
     unit = (F.shiftrightunsigned(F.xxhash64("key", "id", "tie", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(2 ** 53))
@@ -63,7 +68,7 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 42) -> DataFrame:
     """Per row: doc_id, size, text_crc32, shard, slot (place in the shard, gapless from 0)."""
     rows = cut(docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD).alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("key"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"), text_key(F.col("text")).alias("key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-2 ** 63)).alias("id"),
         F.monotonically_increasing_id().alias("tie")))
     whole = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
