@@ -17,15 +17,16 @@ Scoring definitions follow the original papers (see README):
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from precis.functions.text import sentence_array, strip_ws, token_array
 from precis.operators import graph
 from precis.operators.sentences import sentences as split_sentences, tokens as split_tokens
-from precis.operators.topk import assemble, rank_key, top_k, with_all_documents
-from precis.session import materialize
+from precis.operators.topk import SCORE_DP, assemble, rank_key, top_k, with_all_documents
+from precis.session import co_partitioned, materialize
 
 LUHN_MAX_GAP = 4        # insignificant words allowed inside a cluster
 LUHN_MIN_FREQ = 2       # a word is significant when it occurs this often in its document
@@ -33,23 +34,32 @@ KL_DELTA = 1.0          # additive smoothing of the summary distribution
 DEFAULT_K = 3
 
 
-@dataclass
 class Corpus:
-    """Sentence and token frames of a document frame, built once and shared."""
-    docs: DataFrame
-    sents: DataFrame
-    toks: DataFrame
+    """A document frame with its sentence and token frames, built when first asked for and then shared.
+
+    With ``persist`` the sentence frame is partitioned by document and written
+    to the checkpoint folder, because a summariser reads it several times and
+    works within documents.
+    """
+
+    def __init__(self, docs: DataFrame, persist: bool = False):
+        self.docs = docs
+        self.persist = persist
 
     @classmethod
-    def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           persist: bool = False) -> "Corpus":
-        """Split once; with ``persist`` the sentence frame is written to the
-        checkpoint folder because every summariser reads it several times."""
-        d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        s = split_sentences(d)
-        if persist:
-            s = materialize(s)
-        return cls(d, s, split_tokens(s))
+    def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", persist: bool = False) -> "Corpus":
+        return cls(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), persist)
+
+    @cached_property
+    def sents(self) -> DataFrame:
+        if not self.persist:
+            return split_sentences(self.docs)
+        parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return materialize(split_sentences(self.docs.repartition(parts, "doc_id")))
+
+    @cached_property
+    def toks(self) -> DataFrame:
+        return split_tokens(self.sents)
 
 
 def _with_zero(sents: DataFrame, scores: DataFrame) -> DataFrame:
@@ -59,8 +69,24 @@ def _with_zero(sents: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def _pick(sents: DataFrame, scores: DataFrame, k: int, descending: bool = True) -> DataFrame:
-    ranked = top_k(_with_zero(sents, scores), k, rank_key("score", descending))
-    return assemble(ranked)
+    """The k best sentences per document, assembled; on a corpus that is partitioned by document nothing is shuffled."""
+    with co_partitioned(sents.sparkSession):
+        return materialize(assemble(top_k(_with_zero(sents, scores), k, rank_key("score", descending))))
+
+
+def _sentence_structs(text):
+    """Array of (sent_id, sentence) of a text: ``sentences`` as a column, so a document's row is enough."""
+    raw = F.transform(sentence_array(text), lambda x, i: F.struct(i.alias("sent_id"), strip_ws(x).alias("sentence")))
+    return F.filter(raw, lambda s: s["sentence"] != "")
+
+
+def _pick_in_row(docs: DataFrame, key: Callable, k: int) -> DataFrame:
+    """(doc_id, summary) from the k sentences with the smallest (key(sentence), sent_id); one expression per document."""
+    keyed = F.transform(_sentence_structs(F.col("text")),
+                        lambda s: F.struct(key(s).alias("key"), s["sent_id"].alias("sent_id"), s["sentence"].alias("sentence")))
+    best = F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: F.struct(s["sent_id"], s["sentence"]))
+    return (docs.select("doc_id", F.array_join(F.transform(F.array_sort(best), lambda s: s["sentence"]), " ").alias("summary"))
+            .where(F.col("summary") != ""))
 
 
 # --------------------------------------------------------------------- scores
@@ -143,19 +169,21 @@ def lexrank_scores(c: Corpus, iterations: int = 20, damping: float = graph.DAMPI
     return graph.power_rank(c.sents.select("doc_id", "sent_id"), e, iterations, damping)
 
 
-def random_scores(c: Corpus, seed: int = 42) -> DataFrame:
-    key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("sent_id").cast("string"),
-                            F.lit(str(seed))))
-    return c.sents.select("doc_id", "sent_id", "sentence", key.alias("key"))
-
-
 # ---------------------------------------------------------------- summarisers
 def luhn(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
     return _pick(c.sents, luhn_scores(c), k)
 
 
 def lsa(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
-    return _pick(c.sents, lsa_scores(c), k)
+    """All topics kept: norm of the sentence's term counts, from runs in its sorted tokens."""
+    def key(s):
+        zero = F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
+        runs = F.aggregate(F.array_sort(token_array(s["sentence"])), zero, lambda a, w: F.struct(
+            w.alias("w"), F.when(a["w"] == w, a["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"),
+            F.when(a["w"] == w, a["t"]).otherwise(a["t"] + a["n"] * a["n"]).alias("t")))
+        return -F.round(F.sqrt(F.aggregate(F.array(runs), F.lit(0).cast("long"), lambda a, r: r["t"] + r["n"] * r["n"])
+                               .cast("double")), SCORE_DP)
+    return _pick_in_row(c.docs, key, k)
 
 
 def lsa_rank(c: Corpus, k: int = DEFAULT_K, topics: int | None = None) -> DataFrame:
@@ -175,8 +203,9 @@ def lexrank(c: Corpus, k: int = DEFAULT_K, iterations: int = 20) -> DataFrame:
 
 
 def random(c: Corpus, k: int = DEFAULT_K, seed: int = 42) -> DataFrame:
-    ranked = top_k(random_scores(c, seed), k, [F.col("key").asc(), F.col("sent_id").asc()])
-    return assemble(ranked)
+    """Lowest seeded md5 of (doc_id, sent_id)."""
+    doc = F.col("doc_id").cast("string")
+    return _pick_in_row(c.docs, lambda s: F.md5(F.concat_ws(":", doc, s["sent_id"].cast("string"), F.lit(str(seed)))), k)
 
 
 def kl(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
@@ -225,8 +254,8 @@ def kl(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
         best = (scored.groupBy("doc_id").agg(F.min_by("sent_id", key).alias("sent_id"))
                 .select("doc_id", "sent_id", F.lit(rnd).alias("rnd")))
         chosen = materialize(best if chosen is None else chosen.unionByName(best))   # one plan per round
-    picked = chosen.join(c.sents, ["doc_id", "sent_id"]).select("doc_id", "sent_id", "sentence")
-    return assemble(picked)
+    with co_partitioned(c.sents.sparkSession):
+        return materialize(assemble(chosen.join(c.sents, ["doc_id", "sent_id"]).select("doc_id", "sent_id", "sentence")))
 
 
 # ---------------------------------------------------------- neural batch hook

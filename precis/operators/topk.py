@@ -1,10 +1,4 @@
-"""Top-k per group (F3) and summary assembly.
-
-Top-k runs in two window passes: first within (group, salt) buckets, then
-over the <= k * salts survivors of each group. A document with millions of
-sentences is therefore ranked by many tasks, and only k rows per bucket
-reach the final per-document window.
-"""
+"""Top-k per group (F3) and summary assembly."""
 
 from __future__ import annotations
 
@@ -12,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCORE_DP = 9          # scores are rounded before ranking (engine-independent ties)
-DEFAULT_SALTS = 16    # buckets per group in the first ranking pass
 
 
 def rank_key(score_col: str = "score", descending: bool = True) -> list[Column]:
@@ -20,15 +13,12 @@ def rank_key(score_col: str = "score", descending: bool = True) -> list[Column]:
     return [s.desc() if descending else s.asc(), F.col("sent_id").asc()]
 
 
-def top_k(df: DataFrame, k: int, order: list[Column], group: str = "doc_id",
-          salt_col: str = "sent_id", salts: int = DEFAULT_SALTS) -> DataFrame:
-    """Rows of ``df`` ranked 1..k within ``group`` by ``order`` (column ``rk``)."""
-    bucket = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts))
-    first = (df.withColumn("_salt", bucket)
-             .withColumn("_rk", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order)))
-             .where(F.col("_rk") <= k)
-             .drop("_salt", "_rk"))
-    return (first.withColumn("rk", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+def top_k(df: DataFrame, k: int, order: list[Column], group: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` ranked 1..k within ``group`` by ``order`` (column ``rk``).
+
+    Spark plans a partial limit per group below the shuffle for this filter.
+    """
+    return (df.withColumn("rk", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
             .where(F.col("rk") <= k))
 
 
