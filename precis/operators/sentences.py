@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from precis.functions.text import sentence_array, section_of, strip_ws, token_array
+from precis.session import co_partitioned, materialize
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,11 +37,6 @@ def tokens(sents: DataFrame) -> DataFrame:
             .where(F.col("word").isNotNull()))
 
 
-def sentence_terms(toks: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, word, tf): term counts per sentence (partial agg map-side)."""
-    return toks.groupBy("doc_id", "sent_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-
-
 LINE_BLOCK = 4096     # lines per scan block in segmentation
 
 
@@ -56,16 +52,21 @@ def segment(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str =
     The running "last match" is a two-level scan, so no window ever holds a
     whole document: windows run inside blocks of ``block`` lines, and each
     block receives the last match of all earlier blocks (a window over the
-    small per-block frame).
+    small per-block frame). Documents are partitioned by id once; every window,
+    join and aggregation then stays inside its partition.
     """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.withColumn("_id", F.col(id_col)).repartition(parts, "_id")
     lines = (docs
-             .select(F.col(id_col).alias("doc_id"),
+             .select(F.col("_id").alias("doc_id"),
                      F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
                      .alias("ln", "line"))
              .withColumn("stripped", strip_ws("line"))
              .where(F.col("stripped") != "")
              .withColumn("m", section_of("stripped", rules))
              .withColumn("blk", F.floor(F.col("ln") / block)))
+    lines = materialize(lines)                      # read by the blocks' windows and by their carries
     # level 1: last match inside each block (window over <= block lines)
     w = Window.partitionBy("doc_id", "blk").orderBy("ln")
     lines = lines.withColumn("in_last", F.last("m", ignorenulls=True).over(
@@ -88,5 +89,6 @@ def segment(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str =
                                      lambda s: s["piece"]), "\n")).alias("text"))
                 .where(F.col("text") != ""))
     order = Window.partitionBy("doc_id").orderBy((F.col("section") != "header").cast("int"), "first_ln")
-    return sections.select("doc_id", "section",
-                           (F.row_number().over(order) - 1).cast("int").alias("section_ord"), "text")
+    with co_partitioned(spark):
+        return materialize(sections.select(
+            "doc_id", "section", (F.row_number().over(order) - 1).cast("int").alias("section_ord"), "text"))
