@@ -89,7 +89,7 @@ def test_power_rank_matches_numpy(spark, steps):
     c = corpus(spark, texts)
     e = G.textrank_edges(c.toks).select("doc_id", "src", "dst", F.col("weight").alias("w"))
     got = {(r["doc_id"], r["sent_id"]): r["score"] for r in
-           G.power_rank(c.sents.select("doc_id", "sent_id"), e, steps, checkpoint_every=4).collect()}
+           G.power_rank(c.sents.select("doc_id", "sent_id"), e, steps, cut_every=4).collect()}
     edges = e.collect()
     for d in (0, 1):
         ids = sorted(sid for (dd, sid) in got if dd == d)
@@ -121,25 +121,27 @@ def test_summary_properties(spark):
                 assert summ == " ".join(ss)
 
 
-def first_words(model, min_length, max_length):
+def first_words_generator():
     """A generator for tests: the first ``max_length`` words; fails on a text that holds 'boom'."""
-    def fn(batch):
-        if any("boom" in t for t in batch):
-            raise ValueError("boom")
-        return np.array([" ".join(str(t).split()[:max_length]) for t in batch], dtype=object)
-    return fn
+    def make(model, min_length, max_length):
+        def fn(batch):
+            if any("boom" in t for t in batch):
+                raise ValueError("boom")
+            return np.array([" ".join(str(t).split()[:max_length]) for t in batch], dtype=object)
+        return fn
+    return make
 
 
 def test_one_bad_document_blanks_one_row(spark):
     docs = spark.createDataFrame([(i, "boom now" if i == 3 else f"alpha beta {i}") for i in range(8)], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in S.abstractive_timed(docs.coalesce(1), "m", first_words, summary_max_length=2).collect()}
+    rows = {r["doc_id"]: r for r in S.abstractive_timed(docs.coalesce(1), "m", first_words_generator(), summary_max_length=2).collect()}
     assert {i for i, r in rows.items() if r["summary"] == ""} == {3} and "boom" in rows[3]["error"]
     assert all(r["summary"] == "alpha beta" and r["elapsed_s"] >= 0 for i, r in rows.items() if i != 3)
 
 
 def test_router_and_abstractive_hook(spark):
     df = spark.createDataFrame([(1, "Alpha beta gamma. Delta epsilon. Zeta."), (2, "")], "doc_id long, text string")
-    S.register("stub", first_words, kind="abstractive")
+    S.register("stub", first_words_generator(), kind="abstractive")
     try:
         out = S.summarize(df, ["luhn", "nope", "stub"], k=1, summary_max_length=2).collect()
     finally:
