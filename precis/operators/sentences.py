@@ -16,6 +16,11 @@ from precis.functions.text import sentence_array, section_of, strip_ws, token_ar
 from precis.session import co_partitioned, materialize
 
 
+def named(column: str, name: str):
+    """The column under ``name``, without an alias where it has that name (an alias hides a kept partitioning)."""
+    return F.col(column) if column == name else F.col(column).alias(name)
+
+
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sent_id, sentence): ordered, stripped, non-blank sentences.
 
@@ -24,7 +29,7 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     return (docs
             .where(F.length(text_col) > 0)
-            .select(F.col(id_col).alias("doc_id"),
+            .select(named(id_col, "doc_id"),
                     F.posexplode_outer(sentence_array(text_col)).alias("sent_id", "raw"))
             .select("doc_id", "sent_id", strip_ws("raw").alias("sentence"))
             .where(F.col("sentence") != ""))
@@ -52,21 +57,21 @@ def segment(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str =
     The running "last match" is a two-level scan, so no window ever holds a
     whole document: windows run inside blocks of ``block`` lines, and each
     block receives the last match of all earlier blocks (a window over the
-    small per-block frame). Documents are partitioned by id once; every window,
+    small per-block frame). Lines are partitioned by document once; every window,
     join and aggregation then stays inside its partition.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.withColumn("_id", F.col(id_col)).repartition(parts, "_id")
     lines = (docs
-             .select(F.col("_id").alias("doc_id"),
+             .select(named(id_col, "doc_id"),
                      F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
                      .alias("ln", "line"))
              .withColumn("stripped", strip_ws("line"))
              .where(F.col("stripped") != "")
              .withColumn("m", section_of("stripped", rules))
              .withColumn("blk", F.floor(F.col("ln") / block)))
-    lines = materialize(lines)                      # read by the blocks' windows and by their carries
+    with co_partitioned(spark):
+        lines = materialize(lines.repartition(parts, "doc_id"))     # read by the blocks' windows and by their carries
     # level 1: last match inside each block (window over <= block lines)
     w = Window.partitionBy("doc_id", "blk").orderBy("ln")
     lines = lines.withColumn("in_last", F.last("m", ignorenulls=True).over(

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from precis.functions.text import sentence_array, strip_ws, token_array
 from precis.operators import graph
-from precis.operators.sentences import sentences as split_sentences, tokens as split_tokens
+from precis.operators.sentences import named, sentences as split_sentences, tokens as split_tokens
 from precis.operators.topk import SCORE_DP, assemble, rank_key, top_k, with_all_documents
 from precis.session import co_partitioned, materialize
 
@@ -48,14 +48,15 @@ class Corpus:
 
     @classmethod
     def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", persist: bool = False) -> "Corpus":
-        return cls(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), persist)
+        return cls(docs.select(named(id_col, "doc_id"), named(text_col, "text")), persist)
 
     @cached_property
     def sents(self) -> DataFrame:
         if not self.persist:
             return split_sentences(self.docs)
         parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return materialize(split_sentences(self.docs.repartition(parts, "doc_id")))
+        with co_partitioned(self.docs.sparkSession):
+            return materialize(split_sentences(self.docs).repartition(parts, "doc_id"))
 
     @cached_property
     def toks(self) -> DataFrame:

@@ -88,15 +88,21 @@ def materialize(df):
 
 @contextlib.contextmanager
 def co_partitioned(spark: SparkSession):
-    """Plan joins of frames that are partitioned alike by a part of the join
-    key without shuffling them again (only for jobs started inside)."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
+    """Keep frames partitioned by a part of their join and grouping keys where they are (for jobs started inside).
+
+    Joins accept a common partitioning by fewer columns than they join on, and
+    frames cut inside keep their partitioning (under adaptive execution a
+    checkpoint forgets it). Both settings are put back on leaving.
+    """
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key, "true") for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def ship_package(spark: SparkSession) -> None:
