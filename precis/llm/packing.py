@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-MEMO_CHUNKS = 500_000
-MEMO_WORDS = 700_000
+MEMO_CHUNKS = 400_000
+MEMO_WORDS = 500_000
 MEMO_CHARS = 64
 CLOSING = ".,;:!?"
 
