@@ -16,9 +16,7 @@ slices of a batch. Empty table: no rows. Labels of the corpus are never read (te
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,7 +35,6 @@ BITS = 16
 ACCEPT = 0.5
 SEED = 42
 SLICE_CHARS = 2_000_000
-MEMO_WORDS = 200_000
 #: Frequent function words of the corpus' languages.
 FUNCTION_WORDS = frozenset("""
 the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one
@@ -57,45 +54,36 @@ LABELLERS = (
     ("most frequent word's share", 0.12, 0.20),
     ("words equal to the word before", 0.01, 0.10),
 )
-_SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-–—…«»„“”‘’¿¡/]|_")
-_RUNS = re.compile(r"(.)\1+")
-
-
-def _word_facts(word: str) -> tuple[int, int, int, int, int, int, int, int, int]:
-    """(length, letters, capitals, symbols, exclamation marks, function word, lone symbol, with symbols, shape hash)."""
-    letters = sum(map(str.isalpha, word))
-    symbols = len(_SYMBOL.findall(word))
-    plain = word.strip(".,;:!?'\"()").lower()
-    shape = _RUNS.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit()
-                                     else "l" if c.isalpha() else c for c in word[:64]))[:16]
-    alnum = any(map(str.isalnum, word))
-    return (len(word), letters, sum(map(str.isupper, word)), symbols, word.count("!"), plain in FUNCTION_WORDS,
-            not alnum, alnum and symbols > 0, shape, plain)
-
-
-@lru_cache(maxsize=1)
-def _memo() -> dict:
-    return {}
-
-
-def _facts_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Facts (one row per word) and two feature slots per word, from a bounded memo."""
-    memo = _memo()
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    fresh = [w for w in words if w not in memo]
-    if fresh:
-        facts = [_word_facts(w) for w in fresh]
-        slots = np.stack([pd.util.hash_array(np.array([f[k] for f in facts], dtype=object), categorize=False) for k in (8, 9)], 1)
-        slots = (slots >> np.uint64(64 - BITS + 1)).astype(np.int64) + np.array([0, 1 << (BITS - 1)])
-        for w, f, s in zip(fresh, facts, slots.tolist()):
-            if len(w) <= 64 or w in words:
-                memo[w] = (*f[:8], *s)
-    out = np.array([memo[w] for w in words], dtype=np.int64).reshape(-1, 10)
-    for w in fresh:
-        if len(w) > 64:
-            memo.pop(w, None)
-    return out[:, :8], out[:, 8:]
+_SYMBOL = r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()\-–—…«»„“”‘’¿¡/]"
+
+
+def _plain(words: pa.Array) -> pa.Array:
+    return pc.utf8_lower(pc.utf8_trim(words, ".,;:!?'\"()"))
+
+
+def _facts_of(words: pa.Array) -> np.ndarray:
+    """One row per word: length, letters, capitals, symbols, exclamation marks, function word, lone symbol, with symbols."""
+    count = lambda pattern: pc.count_substring_regex(words, pattern).to_numpy(zero_copy_only=False)
+    symbols = count(_SYMBOL)
+    alnum = pc.match_substring_regex(words, r"[\p{L}\p{N}]").to_numpy(zero_copy_only=False)
+    function = pc.is_in(_plain(words), value_set=pa.array(sorted(FUNCTION_WORDS))).to_numpy(zero_copy_only=False)
+    return np.stack([pc.utf8_length(words).to_numpy(zero_copy_only=False), count(r"\p{L}"), count(r"\p{Lu}"), symbols,
+                     pc.count_substring(words, "!").to_numpy(zero_copy_only=False), function, ~alnum,
+                     alnum & (symbols > 0)], axis=1).astype(np.int64)
+
+
+def _slots_of(words: pa.Array) -> np.ndarray:
+    """Two feature slots per word: of its shape (runs of letters and digits as one sign each) and of the word in lower case."""
+    shape = words
+    for pattern, sign in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"[\p{Lo}\p{Lm}\p{Lt}]+", "l"), (r"\p{N}+", "0")):
+        shape = pc.replace_substring_regex(shape, pattern, sign)
+    shape = pc.utf8_slice_codeunits(shape, 0, 16).dictionary_encode()
+    out = []
+    for k, column in enumerate((shape, _plain(words).dictionary_encode())):
+        names = np.array(column.dictionary.to_pylist(), dtype=object)
+        h = pd.util.hash_array(names, categorize=False) if len(names) else np.zeros(0, np.uint64)
+        out.append((h >> np.uint64(64 - BITS + 1)).astype(np.int64)[column.indices.to_numpy()] + (k << BITS - 1))
+    return np.stack(out, axis=1)
 
 
 def _parts(texts: pa.Array):
@@ -107,20 +95,20 @@ def _parts(texts: pa.Array):
 
 
 def _words(texts: pa.Array):
-    """(number of texts, text number per word, unique word number per word, facts, slots)."""
+    """(number of texts, text number per word, unique word number per word, unique words)."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     ends = split.offsets.to_numpy()
     enc = split.flatten().dictionary_encode()
-    words, which = enc.dictionary.to_pylist(), enc.indices.to_numpy()
+    which = enc.indices.to_numpy()
     doc = np.repeat(np.arange(len(texts)), np.diff(ends))
-    ok = np.array([w != "" for w in words], dtype=bool)[which] if words else np.zeros(0, bool)
-    facts, slots = _facts_of(words)
-    return len(texts), doc[ok], which[ok], facts, slots
+    ok = (pc.binary_length(enc.dictionary).to_numpy(zero_copy_only=False) > 0)[which]
+    return len(texts), doc[ok], which[ok], enc.dictionary
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
     """One column per labeller; rows without words are NaN."""
-    n, doc, which, facts, _ = _words(texts)
+    n, doc, which, unique = _words(texts)
+    facts = _facts_of(unique)
     total = lambda k: np.bincount(doc, facts[which, k].astype(float), n)
     words = np.bincount(doc, minlength=n).astype(float)
     pairs, counts = np.unique(doc * (len(facts) + 1) + which, return_counts=True)
@@ -185,7 +173,8 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, s
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, slot, value) with value = sqrt(share of the text's words)."""
-    n, doc, which, _, slots = _words(texts)
+    n, doc, which, unique = _words(texts)
+    slots = _slots_of(unique)
     words = np.bincount(doc, minlength=n)
     again = (doc[1:] == doc[:-1]) & (which[1:] == which[:-1])
     key = np.concatenate([doc * (1 << BITS) + slots[which, 0], doc * (1 << BITS) + slots[which, 1],
