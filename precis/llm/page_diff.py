@@ -270,7 +270,8 @@ def extract(pages: DataFrame, seed: int = 42) -> DataFrame:
                         out.append((k + 1, False, page_id, url, *row))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
 
-    placed = rows.mapInArrow(parse, _SCHEMA).repartition(n_partitions(pages.sparkSession), "chunk").sortWithinPartitions(
+    parts = max(n_partitions(pages.sparkSession), chunks // 2)            # a task's share doesn't grow with the table
+    placed = rows.mapInArrow(parse, _SCHEMA).repartition(parts, "chunk").sortWithinPartitions(
         "chunk", "host", "path", "id", F.desc("own"))
 
     def run(batches):
