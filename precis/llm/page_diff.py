@@ -8,9 +8,10 @@
    other one is taken, if any.
 3. The blocks of the two pages are aligned by longest common subsequence (bit-parallel, in linear space for huge pages).
    Blocks on it are shared: the site's, not the page's.
-4. A page keeps its article blocks; a page without marked article keeps the blocks that the markup says nothing of and
-   that are not shared. (Deleting shared blocks inside marked articles too would lose article text: copies of one article
-   on neighbouring URLs and passages that many articles quote are shared as well.)
+4. A page keeps its article blocks and the blocks that the markup says nothing of, unless they are shared: of these, the
+   latter go on every page, with a marked article or without, and in articles short lines without a sentence's end go.
+   Shared sentences of an article stay (many articles quote the same passages), and so does all of an article that
+   shares most of its text with the neighbour's: the two are copies of one article.
 
 The order is cut into chunks by sampled splitters, so a host with a third of all pages is spread over tasks; the first
 and last page of a chunk also go to the chunk before and after. A task streams its sorted pages and holds three at once.
@@ -35,6 +36,8 @@ PAGES_PER_CHUNK = 500
 MAX_CHUNKS = 4_000
 OVERSAMPLE = 8
 LCS_CELLS = 200_000_000
+#: Characters of a shared line without a sentence's end, at most, for it to be the site's inside an article.
+SITE_LINE = 80
 
 #: Elements whose content is no text of the page.
 _RAW = "script|style|noscript|template|textarea|svg|iframe|object|select|button|canvas|audio|video|math"
@@ -57,6 +60,8 @@ _ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSES_P = frozenset("p div ul ol li table h1 h2 h3 h4 h5 h6 section article main blockquote pre header footer nav aside form".split())
 
+_ENDS = frozenset(".!?…。！？")
+
 FURNITURE, ARTICLE, OPEN = 0, 1, 2
 
 
@@ -209,6 +214,11 @@ def _common_prefix(a: str, b: str) -> int:
     return n
 
 
+def _site_line(text: str) -> bool:
+    """Short and without a sentence's end, as the lines are that a site puts into its articles."""
+    return text.rstrip("\"'”’»)]")[-1:] not in _ENDS and len(text) <= SITE_LINE
+
+
 def difference(page: tuple, before: tuple | None, after: tuple | None) -> str:
     """Text of a page (host, path, texts, kinds) given its neighbours in the order."""
     host, path, texts, kinds = page
@@ -216,9 +226,11 @@ def difference(page: tuple, before: tuple | None, after: tuple | None) -> str:
     near.sort(key=lambda p: -_common_prefix(path, p[1]))
     own = range(len(texts))
     common = set(shared(texts, near[0][2])) if near else set()
-    if any(k == ARTICLE for k in kinds):
-        return " ".join(texts[i] for i in own if kinds[i] == ARTICLE)
-    return " ".join(texts[i] for i in own if kinds[i] == OPEN and i not in common)
+    article = [i for i in own if kinds[i] == ARTICLE]
+    size = sum(len(texts[i]) for i in article)
+    copied = 2 * sum(len(texts[i]) for i in article if i in common) > size      # two copies of one article
+    return " ".join(texts[i] for i in own if kinds[i] != FURNITURE and (
+        i not in common or kinds[i] == ARTICLE and (copied or not _site_line(texts[i]))))
 
 
 def host_of(url):
