@@ -39,15 +39,18 @@ LCS_CELLS = 200_000_000
 #: Characters of a shared line without a sentence's end, at most, for it to be the site's inside an article.
 SITE_LINE = 80
 
-#: Elements whose content is no text of the page.
-_RAW = "script|style|noscript|template|textarea|svg|iframe|object|select|button|canvas|audio|video|math"
+#: Elements whose content is no markup: it runs to the end tag, or without one to the end of the page.
+_RAW = "script|style|textarea|iframe"
+#: Elements whose content is no text of the page, but markup. One that is closed by "/>" or never closed holds nothing.
+_NO_TEXT = frozenset("noscript template svg object select button canvas audio video math".split())
+_ANY_NO_TEXT = re.compile(rf"<(?:{'|'.join(sorted(_NO_TEXT))})\b", re.I)
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW}|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*)[^>]*>", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
                     "small span strike strong sub sup time tt u var wbr".split())
-_FURNITURE = frozenset("nav footer aside form head menu dialog".split())
+_FURNITURE = frozenset("nav footer aside form head menu dialog".split()) | _NO_TEXT
 _MARKS = frozenset("""
 ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr
 notice notices alert popup modal overlay sidebar sidenav side menu nav navbar navigation breadcrumb breadcrumbs footer
@@ -79,6 +82,26 @@ def _marked(attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _unclosed(page: str) -> set[int]:
+    """Where the elements of ``_NO_TEXT`` start that are closed by "/>" or have no end tag."""
+    out: set[int] = set()
+    if _ANY_NO_TEXT.search(page):
+        waiting: dict[str, list[int]] = {name: [] for name in _NO_TEXT}
+        for m in _TOKEN.finditer(page):
+            name = (m[3] or m[6] or "").lower()
+            if name not in _NO_TEXT:
+                continue
+            if m[2] or m[5]:
+                if waiting[name]:
+                    waiting[name].pop()
+            elif m[0].endswith("/>"):
+                out.add(m.start())
+            else:
+                waiting[name].append(m.start())
+        out.update(*waiting.values())
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int]]:
     """(text, FURNITURE | ARTICLE | OPEN) in page order."""
     out: list[tuple[str, int]] = []
@@ -86,6 +109,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     stack: list[tuple[str, int]] = []                       # open elements with the kind inside them
     kind = OPEN
     at = 0
+    unclosed = _unclosed(page)
 
     def close():
         if text:
@@ -112,6 +136,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 stack.append((name, FURNITURE))
                 kind = FURNITURE
             continue
+        if m.start() in unclosed:
+            text.append(" ")
+            continue
         close()
         if name in _VOID:
             continue

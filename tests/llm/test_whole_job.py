@@ -23,3 +23,18 @@ def test_alignment_decides_on_pages_with_a_marked_article(spark):
         assert got[i] == f"Teaser {i} Main text {i} Words of article {i}, which says more than the lines around it. A passage that many quote."
         if i < 2:
             assert got[10 + i] == f"Same title One article, and copied whole. Page {i}"
+
+
+def test_elements_without_text_swallow_no_page():
+    from precis.llm.page_diff import ARTICLE, blocks
+
+    def article(x):
+        return " ".join(t for t, k in blocks(f"<article><p>One</p>{x}<p>Two</p><p>Three</p></article><p>Out") if k == ARTICLE)
+
+    for x in ('<svg class="icon"/>', '<svg class="icon">', "<video src=a.mp4>", "<object data='x'/>", "<math/>", "<button>", "<SELECT name=x>",
+              "<svg><path d='M0'/><text>no</text></svg>", "<video src=a><video src=b><p>no</p></video>", "<template><div><p>no</template>",
+              "<div><canvas></div>", "<noscript><p>no</p></noscript>", "<select><option>no<option>no</select>", "</svg></button>",
+              "<math><mi>no</mi></math>", "<object><p>no</p><video src=a></object>"):
+        assert article(x) == "One Two Three", x
+    assert article("<p>a <svg/>b<button>no</button> c</p>") == "One a b c Two Three"
+    assert [t for t, _ in blocks("<p>One</p><script>var a = '<p>Two</p>'")] == ["One"]
