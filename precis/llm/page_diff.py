@@ -3,9 +3,9 @@
 1. A page's html becomes blocks (text between block-level tags, references decoded, white space made one space). The
    markup says of a block: furniture (inside a menu, header, footer, side bar, notice, advert, form, comment ... by tag,
    class, id or role), article (inside article or main), or nothing.
-2. Pages are ordered by host, URL path and page_id. Each page is paired with the neighbour on its host whose path shares
-   the longer prefix (ties: the one before); a neighbour with the very same blocks is a copy and tells nothing, so the
-   other one is taken, if any.
+2. Pages are ordered by host, URL path, page_id and blocks. A page with the very same blocks is a copy and tells nothing,
+   so each page is paired with the last page before it or the first after it on its host whose blocks differ: the one
+   whose path shares the longer prefix (ties: the one before). All pages of a run of copies are paired so.
 3. The blocks of the two pages are aligned by longest common subsequence (bit-parallel, in linear space for huge pages).
    Blocks on it are shared: the site's, not the page's.
 4. A page keeps its article blocks and the blocks that the markup says nothing of, unless they are shared: of these, the
@@ -13,8 +13,10 @@
    Shared sentences of an article stay (many articles quote the same passages), and so does all of an article that
    shares most of its text with the neighbour's: the two are copies of one article.
 
-The order is cut into chunks by sampled splitters, so a host with a third of all pages is spread over tasks; the first
-and last page of a chunk also go to the chunk before and after. A task streams its sorted pages and holds three at once.
+The order is cut into chunks by sampled splitters, so a host with a third of all pages is spread over tasks. A first pass
+reads digests of the blocks and tells which pages are the neighbours of a chunk's first and last run, however many chunks
+away; these also go to that chunk. A task streams its sorted pages and holds the blocks of one run and its two neighbours,
+and the ids, URLs and paths of the run's pages.
 
 Null or empty html: empty text. Null url: host and path empty. Rows that repeat a page are copies of each other. Very
 long pages are read whole. Empty table: no rows. Extra columns are ignored.
@@ -23,14 +25,15 @@ long pages are read whole. Empty table: no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from precis.llm.common import n_partitions
+from precis.llm.common import cut, n_partitions
 
 PAGES_PER_CHUNK = 500
 MAX_CHUNKS = 4_000
@@ -246,13 +249,9 @@ def _site_line(text: str) -> bool:
     return text.rstrip("\"'”’»)]")[-1:] not in _ENDS and len(text) <= SITE_LINE
 
 
-def difference(page: tuple, before: tuple | None, after: tuple | None) -> str:
-    """Text of a page (host, path, texts, kinds) given its neighbours in the order."""
-    host, path, texts, kinds = page
-    near = [p for p in (before, after) if p is not None and p[0] == host and p[2] != texts]
-    near.sort(key=lambda p: -_common_prefix(path, p[1]))
+def main_text(texts: list[str], kinds: list[int], common: set[int]) -> str:
+    """Text of a page whose blocks ``common`` are shared with its neighbour."""
     own = range(len(texts))
-    common = set(shared(texts, near[0][2])) if near else set()
     article = [i for i in own if kinds[i] == ARTICLE]
     size = sum(len(texts[i]) for i in article)
     copied = 2 * sum(len(texts[i]) for i in article if i in common) > size      # two copies of one article
@@ -260,6 +259,43 @@ def difference(page: tuple, before: tuple | None, after: tuple | None) -> str:
         i not in common or kinds[i] == ARTICLE and (copied or not _site_line(texts[i]))))
 
 
+def run_texts(texts: list[str], pages: list[tuple], before: tuple | None, after: tuple | None):
+    """(page_id, url, text) of a run's pages (page_id, url, path, kinds) given its neighbours (path, texts) on the host."""
+    near = [p for p in (before, after) if p is not None]
+    common: dict[int, set[int]] = {}
+    for page_id, url, path, kinds in pages:
+        k = max(range(len(near)), key=lambda i: _common_prefix(path, near[i][0]), default=-1)
+        if k not in common:
+            common[k] = set(shared(texts, near[k][1])) if near else set()
+        yield page_id, url, main_text(texts, kinds, common[k])
+
+
+def _digest(texts: list[str]) -> str:
+    return hashlib.blake2b("\x1f".join(texts).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _neighbours(ends: dict[int, tuple]) -> dict[tuple, list[int]]:
+    """Page (host, path, id, digest) -> the chunks, besides its own, that need it as a neighbour.
+
+    ``ends``: per chunk its first and last page, and the first and last one that differs from these (or None).
+    """
+    wanted: dict[tuple, list[int]] = {}
+    for order, first, last, other in ((sorted(ends), 0, 1, 3), (sorted(ends, reverse=True), 1, 0, 2)):
+        near = differs = None                      # the page passed last, and the last one that differs from it
+        for k in order:
+            page = ends[k][first]
+            found = near if near is None or near[3] != page[3] else differs
+            if found is not None and found[0] == page[0]:
+                wanted.setdefault(found, []).append(k)
+            end, inner = ends[k][last], ends[k][other]
+            if inner is not None:
+                differs = inner
+            elif near is not None and near[3] != end[3]:
+                differs = near
+            near = end
+    return wanted
+
+
 def host_of(url):
     """After the first :// up to / ? # or the end, A-Z in lower case; null or no ://: empty."""
     host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
@@ -282,66 +318,81 @@ def extract(pages: DataFrame, seed: int = 42) -> DataFrame:
                     narrow.orderBy(F.xxhash64(F.lit(seed), "host", "path", "id")).limit(chunks * OVERSAMPLE).collect())
     splitters = sorted({sample[i * len(sample) // chunks] for i in range(1, chunks)}) if sample else []
 
-    @F.arrow_udf("int")
-    def chunk_of(host: pa.Array, path: pa.Array, id_: pa.Array) -> pa.Array:
-        return pa.array([bisect.bisect_right(splitters, k) for k in
-                         zip(host.to_pylist(), path.to_pylist(), id_.to_pylist())], pa.int32())
+    rows = rows.withColumn("id", keys[2])
 
-    narrow = narrow.withColumn("chunk", chunk_of("host", "path", "id"))
-    edges = sorted((r.chunk, tuple(r.lo), tuple(r.hi)) for r in narrow.groupBy("chunk").agg(
-        F.min(F.struct("host", "path", "id")).alias("lo"), F.max(F.struct("host", "path", "id")).alias("hi")).collect())
-    number = {c: k for k, (c, _, _) in enumerate(edges)}
-    lows, highs = [e[1] for e in edges], [e[2] for e in edges]
+    def digests(batches):
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                out = [(bisect.bisect_right(splitters, (host, path, id_)), host, path, id_, _digest([t for t, _ in blocks(text or "")]))
+                       for text, host, path, id_ in zip(*(c.to_pylist() for c in b.slice(s, 256).columns))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [_TYPES[0], *_TYPES[4:8]])],
+                                                 names=["chunk", "host", "path", "id", "digest"])
+
+    page = F.struct("host", "path", "id", "digest")
+    each = cut(rows.select("html", "host", "path", "id").mapInArrow(
+        digests, "chunk int, host string, path string, id long, digest string").groupBy("chunk", "digest").agg(
+        F.min(page).alias("lo"), F.max(page).alias("hi")))
+    ends: dict[int, list] = {}
+    for end, falling in (("lo", False), ("hi", True)):                    # the two outermost runs of a chunk
+        rank = F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc(end) if falling else F.col(end)))
+        for r in each.select("chunk", end, rank.alias("rank")).where("rank <= 2").collect():
+            ends.setdefault(r.chunk, [None] * 4)[falling + 2 * (r.rank - 1)] = tuple(r[end])
+    wanted = _neighbours(ends)
 
     def parse(batches):
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 out = []
-                for page_id, url, text, host, path in zip(*(c.to_pylist() for c in b.slice(s, 256).columns)):
+                for page_id, url, text, host, path, id_ in zip(*(c.to_pylist() for c in b.slice(s, 256).columns)):
                     found = blocks(text or "")
-                    id_ = -2 ** 63 if page_id is None else page_id
-                    k = number[bisect.bisect_right(splitters, (host, path, id_))]
-                    row = (host, path, id_, [t for t, _ in found], [x for _, x in found])
-                    out.append((k, True, page_id, url, *row))
-                    if (host, path, id_) == lows[k] and k:
-                        out.append((k - 1, False, page_id, url, *row))
-                    if (host, path, id_) == highs[k] and k + 1 < len(edges):
-                        out.append((k + 1, False, page_id, url, *row))
+                    texts, kinds = [t for t, _ in found], [x for _, x in found]
+                    digest, k = _digest(texts), bisect.bisect_right(splitters, (host, path, id_))
+                    row = (page_id, url, host, path, id_, digest, texts, kinds)
+                    out.append((k, True, *row))
+                    out += [(c, False, *row) for c in wanted.get((host, path, id_, digest), ())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
 
     parts = max(n_partitions(pages.sparkSession), chunks // 2)            # a task's share doesn't grow with the table
-    placed = rows.mapInArrow(parse, _SCHEMA).repartition(parts, "chunk").sortWithinPartitions(
-        "chunk", "host", "path", "id", F.desc("own"))
+    placed = rows.select("page_id", "url", "html", "host", "path", "id").mapInArrow(parse, _SCHEMA).repartition(
+        parts, "chunk").sortWithinPartitions("chunk", "host", "path", "id", "digest")
 
     def run(batches):
-        before = here = None
-        out = []
+        place = texts = last_kinds = before = path_before = None           # place: (chunk, host) of the run
+        members, out = [], []                                             # the run's pages of this chunk; finished rows
+
+        def written(least):
+            while len(out) >= least:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[:500]), _OUT)], names=["page_id", "url", "text"])
+                del out[:500]
 
-        def judged(page, prior, after):
-            if page[4]:                                               # a row of this chunk, not its neighbour's
-                out.append((page[0], page[1], difference(page[2], prior and prior[2], after and after[2])))
+        def finished(after):
+            for row in run_texts(texts, members, before, after):
+                out.append(row)
+                yield from written(500)
 
         for b in batches:
-            for k, own, page_id, url, host, path, _, texts, kinds in zip(*(c.to_pylist() for c in b.columns)):
-                page = (page_id, url, (host, path, texts, kinds), k, own)
-                if here is not None:
-                    same = here[3] == k
-                    judged(here, before, page if same else None)
-                    before = here if same else None
-                here = page
-                if len(out) >= 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _OUT)], names=["page_id", "url", "text"])
-                    out.clear()
-        if here is not None:
-            judged(here, before, None)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _OUT)], names=["page_id", "url", "text"])
+            for k, own, page_id, url, host, path, _, _, now, kinds in (r for s in range(0, b.num_rows, 64) for r in zip(
+                    *(c.to_pylist() for c in b.slice(s, 64).columns))):
+                if place != (k, host) or texts != now:
+                    same = place == (k, host)
+                    if members:
+                        yield from finished((path, now) if same else None)
+                    before = (path_before, texts) if same else None
+                    place, texts, members, last_kinds = (k, host), now, [], None
+                if kinds == last_kinds:
+                    kinds = last_kinds                                    # held once
+                last_kinds, path_before = kinds, path
+                if own:
+                    members.append((page_id, url, path, kinds))
+        if members:
+            yield from finished(None)
+        yield from written(1)
 
     return placed.mapInArrow(run, "page_id long, url string, text string")
 
 
-_NAMES = ["chunk", "own", "page_id", "url", "host", "path", "id", "texts", "kinds"]
-_TYPES = [pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())]
-_SCHEMA = ("chunk int, own boolean, page_id long, url string, host string, path string, id long, texts array<string>, "
-           "kinds array<int>")
+_NAMES = ["chunk", "own", "page_id", "url", "host", "path", "id", "digest", "texts", "kinds"]
+_TYPES = [pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32())]
+_SCHEMA = ("chunk int, own boolean, page_id long, url string, host string, path string, id long, digest string, "
+           "texts array<string>, kinds array<int>")
 _OUT = [pa.int64(), pa.string(), pa.string()]

@@ -38,3 +38,28 @@ def test_elements_without_text_swallow_no_page():
         assert article(x) == "One Two Three", x
     assert article("<p>a <svg/>b<button>no</button> c</p>") == "One a b c Two Three"
     assert [t for t, _ in blocks("<p>One</p><script>var a = '<p>Two</p>'")] == ["One"]
+
+
+def test_runs_of_copies_are_differenced(spark, monkeypatch):
+    """Every page of a run of equal pages is paired with the nearest different page, over any number of chunks."""
+    from precis.llm import page_diff
+
+    def page(main):
+        return f"<body><div>Home</div><div>{main}</div><div>Imprint</div>"
+
+    rows = [(0, "http://a.org/x/000", page("first"))]
+    rows += [(i, f"http://a.org/x/{i:03}", page("copied")) for i in range(1, 120)]
+    rows += [(120, "http://a.org/y", page("last")), (121, "http://b.org/x", page("last")), (122, "http://b.org/x", page("last"))]
+    rows += [(200 + i, f"http://c.org/{i % 40:02}/{i}", page(f"text {i // 7 % 3}")) for i in range(200)]
+    want = {i: "first" if i == 0 else "copied" if i < 120 else "last" if i == 120 else "Home last Imprint" for i in range(123)}
+    blocks_of = {i: [t for t, _ in page_diff.blocks(h)] for i, _, h in rows}
+    order = sorted((u, i) for i, u, _ in rows if i >= 200)
+    for k, (u, i) in enumerate(order):
+        near = [next((v, j) for v, j in s if blocks_of[j] != blocks_of[i]) for s in (order[k::-1], order[k:])
+                if any(blocks_of[j] != blocks_of[i] for _, j in s)]
+        j = max(near, key=lambda p: page_diff._common_prefix(u, p[0]))[1]
+        common = page_diff.shared(blocks_of[i], blocks_of[j])
+        want[i] = " ".join(t for n, t in enumerate(blocks_of[i]) if n not in common)
+    for per_chunk in (500, 7):
+        monkeypatch.setattr(page_diff, "PAGES_PER_CHUNK", per_chunk)
+        assert texts_of(spark, rows) == want
