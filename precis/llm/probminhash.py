@@ -5,7 +5,9 @@
 * Signature: each shingle is a Poisson process of rate its weight; every arrival goes to a register drawn by hash and
   the register keeps the shingle of its first arrival. A shingle's process ends when its next arrival is later than the
   slowest register (early termination). Two registers agree with probability J_P, the probability Jaccard similarity.
-* Banding: registers in bands of ``ROWS``; texts that agree on a whole band share a bucket.
+  A text that repeats a shingle has a second signature, with all weights 1: of its plain shingle set. (Without repeats the
+  two are the same.) So a pair is a candidate by J_P or by plain Jaccard similarity, whichever is the larger.
+* Banding: registers in bands of ``ROWS``; signatures that agree on a whole band share a bucket.
 * Verification, on the shingles themselves: two texts link if their probability Jaccard similarity or the plain Jaccard
   similarity of their shingle sets (the same, where no shingle repeats) is at least the threshold.
 
@@ -155,26 +157,31 @@ def _sign(batches):
     for whole in batches:
         for b in _slices(whole, 3) if whole.num_rows else ():
             doc, h, count = shingles(b.column(3))
-            sig = signatures(doc, h, weights(count), b.num_rows)
-            has = np.zeros(b.num_rows, dtype=bool)
-            has[doc] = True
-            band = np.zeros((b.num_rows, BANDS), dtype=np.uint64)
-            for r in range(ROWS):
-                band = _mix(band * np.uint64(0x100000001B3) + sig[:, r::ROWS] + _GOLD)
-            band = _mix(band + np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD).astype(np.int64)
-            low = (sig & np.uint64(0xFFFF)).astype(np.uint16)
-            rows = np.flatnonzero(has)
-            yield pa.RecordBatch.from_arrays([
-                b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), b.column(2).take(pa.array(rows)),
-                pa.array([x.tobytes() for x in low[rows]], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(band[rows].ravel()))],
-                names=["doc_id", "h1", "h2", "sig", "bands"])
+            repeats = np.unique(doc[count > 1])                # these have a plain signature (face 1) besides the weighted one
+            again = np.isin(doc, repeats)
+            faces = [(0, np.unique(doc), signatures(doc, h, weights(count), b.num_rows))]
+            if len(repeats):
+                plain = np.searchsorted(repeats, doc[again])
+                faces.append((1, repeats, signatures(plain, h[again], np.ones(len(plain)), len(repeats))))
+            for face, rows, sig in faces:
+                sig = sig if face else sig[rows]
+                band = np.zeros((len(rows), BANDS), dtype=np.uint64)
+                for r in range(ROWS):
+                    band = _mix(band * np.uint64(0x100000001B3) + sig[:, r::ROWS] + _GOLD)
+                band = _mix(band + np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD).astype(np.int64)
+                low = (sig & np.uint64(0xFFFF)).astype(np.uint16)
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.full(len(rows), face, np.int32)),
+                    pa.array([x.tobytes() for x in low], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()))],
+                    names=["doc_id", "h1", "h2", "face", "sig", "bands"])
 
 
 def _candidates(g: pa.Table, band: int):
     """(estimate, index, index) of a group's pairs that may link and share no earlier band."""
     sig = np.frombuffer(b"".join(g["sig"].to_pylist()), dtype=np.uint16).reshape(g.num_rows, REGISTERS)
-    block = g["block"].to_numpy()
+    block, h1, h2 = (g[c].to_numpy() for c in ("block", "h1", "h2"))
     lo, hi = block.min(), block.max()
     a_all, b_all = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
     for s in range(0, len(a_all), 64):
@@ -184,7 +191,9 @@ def _candidates(g: pa.Table, band: int):
             same += sig[a, r][:, None] == sig[b_all, r][None, :]
         i, j = np.nonzero(same >= MAYBE * REGISTERS)
         n, i, j = same[i, j], a[i], b_all[j]
-        keep = i < j if lo == hi else np.ones(len(i), dtype=bool)
+        keep = (h1[i] != h1[j]) | (h2[i] != h2[j])               # not the two signatures of one text
+        if lo == hi:
+            keep &= i < j
         n, i, j = n[keep], i[keep], j[keep]
         for c in range(0, len(i), 50_000):
             x, y = i[c:c + 50_000], j[c:c + 50_000]
@@ -220,8 +229,8 @@ def _verify_with(threshold: float):
             at = np.searchsorted(doc, np.arange(g.num_rows + 1))
             w = weights(count)
             of = [(h[s:e], w[s:e]) for s, e in zip(at[:-1], at[1:])]
-            root = np.arange(g.num_rows)
-            ids = g["id"].to_numpy()
+            ids, text = g["id"].to_numpy(), _mix(g["h1"].to_numpy().view(np.uint64)) ^ g["h2"].to_numpy().view(np.uint64)
+            root = np.unique(text, return_inverse=True)[1]
             links = []
             for c in range(0, len(a), 1_000):
                 x, y = a[c:c + 1_000], b[c:c + 1_000]
@@ -244,13 +253,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), text).alias("h1"),
                        F.xxhash64(F.lit(2), text).alias("h2"), "text")
     signed = cut(rows.where("doc_id is not null").mapInArrow(
-        _sign, "doc_id long, h1 long, h2 long, sig binary, bands array<long>"))
+        _sign, "doc_id long, h1 long, h2 long, face int, sig binary, bands array<long>"))
     classes = cut(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("id")))
     lead = cut(signed.join(classes.withColumnRenamed("id", "doc_id"), ["h1", "h2", "doc_id"])
-               .dropDuplicates(["h1", "h2"]).select(F.col("doc_id").alias("id"), "h1", "h2", "sig", "bands"))
-    member = lead.select("id", "h1", "h2", F.posexplode("bands").alias("t", "bucket"))
-    crowded = member.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
-    shared = (cut(member.join(crowded, "bucket")).join(lead.select("id", "h1", "h2", "sig"), ["id", "h1", "h2"])
+               .dropDuplicates(["h1", "h2", "face"]).select(F.col("doc_id").alias("id"), "h1", "h2", "face", "sig", "bands"))
+    member = lead.select("id", "h1", "h2", "face", F.posexplode("bands").alias("t", "bucket"))
+    crowded = (member.groupBy("bucket").agg(F.count("*").alias("k"), F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
+               .where("lo <> hi").select("bucket", "k"))                   # more than the two signatures of one text
+    shared = (cut(member.join(crowded, "bucket")).join(lead.select("id", "h1", "h2", "face", "sig"), ["id", "h1", "h2", "face"])
               .withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
               .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -261,7 +271,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = marked.select("id", "h1", "h2").distinct()
     texts = (rows.withColumnRenamed("doc_id", "id").join(wanted, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"])
              .select("id", "h1", "h2", "text"))
-    links = cut(marked.join(texts, ["id", "h1", "h2"]).select(*KEYS, "block", "t", "id", "sig", "text")
+    links = cut(marked.join(texts, ["id", "h1", "h2"]).select(*KEYS, "block", "t", "id", "h1", "h2", "sig", "text")
                 .repartition(parts, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_verify_with(threshold), "a long, b long"))
     comp = connected_components(links)
     of_class = cut(classes.join(comp, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("c")))

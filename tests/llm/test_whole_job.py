@@ -63,3 +63,15 @@ def test_runs_of_copies_are_differenced(spark, monkeypatch):
     for per_chunk in (500, 7):
         monkeypatch.setattr(page_diff, "PAGES_PER_CHUNK", per_chunk)
         assert texts_of(spark, rows) == want
+
+
+def test_near_copies_with_heavily_repeated_lines(spark):
+    """Equal shingle sets, a passage 100 times against once: J_P is about 0.6."""
+    from precis.llm.probminhash import near_duplicates
+    rows = []
+    for i in range(25):
+        passage, rest = [f"p{i}x{k}" for k in range(30)], [f"s{i}x{k}" for k in range(100)]
+        for n, times in enumerate((100, 1)):
+            rows.append((2 * i + n, " ".join(passage * times + passage[:4] + rest)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(50)}
