@@ -6,8 +6,9 @@
    codes = signs of the rotated data and the rotation that brings the data nearest to its codes. Several starts give
    several codes; together they are the code of a vector.
 3. Every code is cut into substrings, each the index of one Hamming table. The width grows with the number of classes,
-   so buckets stay small; the number of tables is what a pair at exactly the threshold needs to share a bucket with
-   probability ``RECALL``.
+   so buckets stay small; the number of tables is what pairs at exactly the threshold need to share a bucket with
+   probability ``RECALL``, at the angle that they have once the mean is subtracted. Where a common direction makes that
+   angle so wide that it costs more than it saves, nothing is subtracted and the rotations are random.
 4. Within a bucket, pairs whose whole codes are near enough in Hamming distance mark their rows; only marked rows fetch
    their vectors and are compared by cosine in double precision. A pair counts in the first table that it shares, so
    links are counted without writing pairs: a task gives link counts per row and one tree per connected group.
@@ -35,31 +36,70 @@ RECALL = 0.995
 BLOCK = 2_048
 BUCKET_ROWS = 64
 SLACK = 4.0
+MAX_TABLES = 4_096
 
 
-def fit_itq(x: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) with codes = (x - mean) @ projection > 0."""
-    mean = x.mean(axis=0)
+def fit_itq(x: np.ndarray, bits: int, seed: int, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection) with codes = (x - mean) @ projection > 0; not centred: mean 0 and a random rotation."""
+    mean = x.mean(axis=0) if centred else np.zeros(x.shape[1])
     c = x - mean
     _, _, vt = np.linalg.svd(c.T @ c / max(1, len(x)))
     pcs = vt[:bits].T
     v = c @ pcs
     rotation, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))
-    for _ in range(FIT_ROUNDS):
+    for _ in range(FIT_ROUNDS if centred else 0):
         codes = np.where(v @ rotation >= 0, 1.0, -1.0)
         u, _, wt = np.linalg.svd(codes.T @ v)
         rotation = (u @ wt).T
     return mean, pcs @ rotation
 
 
-def plan_tables(n: int, dim: int, threshold: float) -> tuple[int, int, int]:
-    """(bits of a table's index, tables, rotations)."""
-    agree = 1 - math.acos(min(1.0, threshold)) / math.pi
-    width = max(4, min(24, dim, math.ceil(math.log2(max(2, n / BUCKET_ROWS)))))
-    hit = agree ** width
-    tables = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - hit))) if hit < 1 else 1
-    per_rotation = max(1, dim // width)
-    return width, tables, math.ceil(tables / per_rotation)
+def _agreement(cosine):
+    """Share of equal signs of two vectors at this cosine."""
+    return 1 - np.arccos(np.clip(cosine, -1.0, 1.0)) / math.pi
+
+
+def _tables(agree: np.ndarray, width: int) -> int | None:
+    """Tables that pairs with these agreements need to share a bucket with mean probability ``RECALL``, if few enough."""
+    miss = 1 - np.minimum(agree, 1.0) ** width
+    low, high = 1, MAX_TABLES
+    if (miss ** high).mean() > 1 - RECALL:
+        return None
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if (miss ** mid).mean() <= 1 - RECALL else (mid + 1, high)
+    return low
+
+
+def plan_tables(n: int, fit: np.ndarray, threshold: float, seed: int) -> tuple[int, int, int, bool, float]:
+    """(bits of a table's index, tables, rotations, centred, share of bits that differ at the threshold) for n classes.
+
+    Subtracting the mean makes buckets even but widens the angle of a pair where vectors share a direction: two vectors u,
+    v with |u - v|^2 = 2 (1 - threshold), both at distance q^0.5 from the mean, are then at cosine 1 - (1 - threshold) / q.
+    Tables are planned for that angle at each vector of the sample; without centring the angle is the threshold's. The
+    plan of least cost (rows written and rows met in their buckets) is taken.
+    """
+    dim = fit.shape[1]
+    most = max(4, min(24, dim, math.ceil(math.log2(max(2, n / BUCKET_ROWS)))))
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, len(fit), size=(2, 20_000))
+    a, b = a[a != b], b[a != b]
+    best = None
+    for centred in (True, False):
+        x = fit - fit.mean(axis=0) if centred else fit
+        q = (x * x).sum(axis=1) if centred else np.ones(len(x))
+        agree = _agreement(1 - (1 - threshold) / np.maximum(q, 1e-12))
+        norm = np.sqrt(q)
+        other = _agreement((x[a] * x[b]).sum(axis=1) / np.maximum(norm[a] * norm[b], 1e-12))
+        for width in range(min(4, dim), min(most, dim) + 1):
+            tables = _tables(agree, width)
+            if tables:
+                met = n * (other ** width).mean() if len(a) else 0.0
+                cost = tables * (BUCKET_ROWS + tables + met)
+                if best is None or cost < best[0]:
+                    best = cost, width, tables, centred, 1 - float(np.quantile(agree, 0.001))
+    _, width, tables, centred, far = best
+    return width, tables, math.ceil(tables / max(1, dim // width)), centred, far
 
 
 def _usable(v):
@@ -102,13 +142,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 42)
     classes = cut(v.where("h1 is not null").groupBy("h1", "h2").agg(
         F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first(x).alias("x")))
     n = classes.count()
-    width, tables, rotations = plan_tables(n, dim, threshold)
     sample = classes.select("x").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(FIT_ROWS).toArrow()
     fit = matrix(sample["x"], dim) if n else np.zeros((1, dim))
     fit = fit / np.maximum(np.linalg.norm(fit, axis=1, keepdims=True), 1e-300)
-    models = [fit_itq(fit, dim, seed + r) for r in range(rotations)]
+    width, tables, rotations, centred, far = plan_tables(n, fit, threshold, seed)
+    models = [fit_itq(fit, dim, seed + r, centred) for r in range(rotations)]
     per_rotation = max(1, dim // width)
-    far = 1 - (1 - math.acos(threshold) / math.pi)
     bits = dim * rotations
     reach = int(math.ceil(bits * far + SLACK * math.sqrt(bits * far * (1 - far))))
 

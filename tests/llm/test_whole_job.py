@@ -75,3 +75,20 @@ def test_near_copies_with_heavily_repeated_lines(spark):
             rows.append((2 * i + n, " ".join(passage * times + passage[:4] + rest)))
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(50)}
+
+
+def test_hamming_tables_with_a_common_direction(spark, monkeypatch):
+    """Mean of norm 0.8, and tables as wide as for a far larger table."""
+    from precis.llm import itq
+    monkeypatch.setattr(itq, "BUCKET_ROWS", 0.05)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 32))
+    x = 0.6 * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += 0.8
+    x = np.vstack([x, x + rng.normal(size=x.shape) * 0.07])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(vectors).collect()}
+    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(len(x))])
+    assert links.sum() > 600 and (found <= links).all() and found.sum() / links.sum() >= 0.97
