@@ -1,7 +1,8 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-1. Vectors that are null, zero, hold null or non-finite components or have another length than most are set aside; they
-   link with nothing. Equal vectors become one class (smallest vec_id) with a weight.
+1. Vectors that are null, zero or hold null or non-finite components are set aside; they link with nothing. Equal vectors
+   become one class (smallest vec_id) with a weight. Vectors link only with those of their own length: each length has its
+   own tables; lengths of at most ``BLOCK`` classes, but for the most frequent, are compared pair by pair in one job.
 2. Iterative quantisation on a bounded sample (``FIT_ROWS`` classes): centred principal directions, then alternately
    codes = signs of the rotated data and the rotation that brings the data nearest to its codes. Several starts give
    several codes; together they are the code of a vector.
@@ -21,6 +22,7 @@ kept are null. Rows that repeat a vec_id link like others. Empty table: no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -130,20 +132,59 @@ def _first_shared(subs: np.ndarray, a: np.ndarray, b: np.ndarray, table: int) ->
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 42) -> DataFrame:
     """Per row of ``vectors(vec_id, embedding)``: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    sizes = (v.where(_usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-             .groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect())
-    dim = sizes[0].dim if sizes else 1
-    usable = _usable(F.col("embedding")) & F.col("vec_id").isNotNull() & (F.size("embedding") == dim)
+    usable = _usable(F.col("embedding")) & F.col("vec_id").isNotNull()
     x = F.col("embedding").cast("array<double>")
     key = [F.xxhash64(F.lit(s), x) for s in (1, 2)]
     v = v.withColumns({"h1": F.when(usable, key[0]), "h2": F.when(usable, key[1])})
     classes = cut(v.where("h1 is not null").groupBy("h1", "h2").agg(
-        F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first(x).alias("x")))
-    n = classes.count()
+        F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first(x).alias("x")).withColumn("dim", F.size("x")))
+    lengths = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").collect()
+    # the most frequent length and any other of more than a block's classes each by tables; the rest, pair by pair at once
+    large = [r for k, r in enumerate(lengths) if not k or r["count"] > BLOCK]
+    found = [_links(classes.where(F.col("dim") == r.dim).select("id", "weight", "x"), r.dim, r["count"], threshold, seed)
+             .withColumn("dim", F.lit(r.dim)) for r in large]
+    if len(lengths) > len(large):
+        few = classes.where(~F.col("dim").isin([r.dim for r in large])).select("dim", "id", "weight", "x")
+        found.append(cut(few.repartition(n_partitions(vectors.sparkSession), "dim").sortWithinPartitions("dim", "id").mapInArrow(
+            _all_pairs_with(threshold), "dim int, id long, links long, mate long")))
+    if not found:                                                         # no usable vector
+        return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
+                        (F.col("vec_id") == F.col("vec_id")).alias("kept"))
+    found = functools.reduce(DataFrame.unionByName, found)
+    links = found.groupBy("id", "dim").agg(F.sum("links").alias("links"))
+    comp = connected_components(found.select(F.col("id").alias("a"), F.col("mate").alias("b")))
+    per_class = cut(classes.select("h1", "h2", "id", "dim", "weight").join(links, ["id", "dim"], "left").join(comp, "id", "left")
+                    .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"),
+                            F.coalesce("component", "id").alias("c")))
+    return (v.join(per_class, ["h1", "h2"], "left")
+            .select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+                    F.coalesce("c", "vec_id").alias("component_id"),
+                    (F.col("vec_id") == F.coalesce("c", "vec_id")).alias("kept")))
+
+
+def _all_pairs_with(threshold: float):
+    """All links among the classes of one length: at most ``BLOCK``, so no tables are needed."""
+    def every(batches):
+        for key, g in sorted_groups(batches, ["dim"]):
+            u = matrix(g["x"], key[0])
+            u = u / np.linalg.norm(u, axis=1, keepdims=True)
+            adjacent = u @ u.T >= threshold
+            np.fill_diagonal(adjacent, False)
+            links = adjacent @ g["weight"].to_numpy()
+            has = links > 0
+            if has.any():
+                ids, root = g["id"].to_numpy(), _components(adjacent)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(has.sum(), key[0], np.int32)), pa.array(ids[has]), pa.array(links[has]), pa.array(ids[root[has]])],
+                    names=["dim", "id", "links", "mate"])
+    return every
+
+
+def _links(classes: DataFrame, dim: int, n: int, threshold: float, seed: int) -> DataFrame:
+    """(id, links, mate) of ``classes(id, weight, x)``, n vectors of one length: links found per table and group, one tree."""
     sample = classes.select("x").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(FIT_ROWS).toArrow()
-    fit = matrix(sample["x"], dim) if n else np.zeros((1, dim))
+    fit = matrix(sample["x"], dim)
     fit = fit / np.maximum(np.linalg.norm(fit, axis=1, keepdims=True), 1e-300)
     width, tables, rotations, centred, far = plan_tables(n, fit, threshold, seed)
     models = [fit_itq(fit, dim, seed + r, centred) for r in range(rotations)]
@@ -182,7 +223,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 42)
              .select("t", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                      F.col("own").alias("block"), "id", "weight", "code", "subs"))
     keys = ["t", "bucket", "i", "j"]
-    parts = n_partitions(spark)
+    parts = n_partitions(classes.sparkSession)
 
     def pairs(table, near):
         """Index pairs of a group for which ``near(rows a, rows b)`` holds: within one block, or between its two."""
@@ -238,15 +279,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, seed: int = 42)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(links[has]), pa.array(ids[root[has]])],
                                                  names=["id", "links", "mate"])
 
-    found = cut(marked.join(classes.select("id", "x"), "id").select(*keys, "block", "id", "weight", "subs", "x")
-                .repartition(parts, *keys).sortWithinPartitions(*keys)
-                .mapInArrow(verify, "id long, links long, mate long"))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    comp = connected_components(found.select(F.col("id").alias("a"), F.col("mate").alias("b")))
-    per_class = cut(classes.select("h1", "h2", "id", "weight").join(links, "id", "left").join(comp, "id", "left")
-                    .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"),
-                            F.coalesce("component", "id").alias("c")))
-    return (v.join(per_class, ["h1", "h2"], "left")
-            .select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-                    F.coalesce("c", "vec_id").alias("component_id"),
-                    (F.col("vec_id") == F.coalesce("c", "vec_id")).alias("kept")))
+    return cut(marked.join(classes.select("id", "x"), "id").select(*keys, "block", "id", "weight", "subs", "x")
+               .repartition(parts, *keys).sortWithinPartitions(*keys)
+               .mapInArrow(verify, "id long, links long, mate long"))

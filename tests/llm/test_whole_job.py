@@ -92,3 +92,24 @@ def test_hamming_tables_with_a_common_direction(spark, monkeypatch):
     links = (x @ x.T >= 0.9).sum(axis=1) - 1
     found = np.array([got[i] for i in range(len(x))])
     assert links.sum() > 600 and (found <= links).all() and found.sum() / links.sum() >= 0.97
+
+
+def test_vectors_of_several_lengths_link_with_their_own(spark, monkeypatch):
+    from precis.llm import itq
+    monkeypatch.setattr(itq, "BLOCK", 50)
+    rng = np.random.default_rng(4)
+    rows = []
+    for dim, groups in ((16, 60), (8, 40), (3, 10), (1, 2)):             # tables, tables, pair by pair, pair by pair
+        for _ in range(groups):
+            c = rng.normal(size=dim)
+            rows += [(c + rng.normal(size=dim) * s).tolist() for s in (0, 0.05, 0.3)] + [c.tolist()]
+    got = {r.vec_id: r for r in itq.near_duplicates(spark.createDataFrame(
+        list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()}
+    for dim in (16, 8, 3, 1):
+        ids = [i for i, x in enumerate(rows) if len(x) == dim]
+        m = np.array([rows[i] for i in ids])
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        links = (m @ m.T >= 0.9).sum(axis=1) - 1
+        found = np.array([got[i].n_links for i in ids])
+        assert (found <= links).all() and found.sum() >= (0.97 if dim > 3 else 1) * links.sum() > 0
+        assert all(got[i].component_id in ids for i in ids)
