@@ -5,7 +5,8 @@
 * URLs that rules decide are the labelled ones. On a bounded sample of them (``FIT_URLS``, smallest hash first) Spark
   MLlib's gradient-boosted trees learn to block from lexical features: lengths, depth, digit and letter shares, entropy,
   parameter counts, separators and suffix statistics (smoothed share of blocked URLs among labelled ones with the same
-  last label and the same last two labels, over all labelled URLs, for the ``MAX_SUFFIXES`` most frequent suffixes).
+  last label and the same last two labels, over all labelled URLs and every suffix). Suffixes stay a table that is joined:
+  the ``HOT_SUFFIXES`` most frequent by broadcast, the others, if any, by a salted join.
 * Every other URL gets the trees' verdict. Without labelled URLs: allow; with one label only: that one.
 
 Null URLs or URLs without ``://``: host and path empty, features of the text as it is. Very long URLs are read whole.
@@ -28,7 +29,8 @@ from precis.llm.page_diff import host_of, path_of
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 FIT_URLS = 20_000
-MAX_SUFFIXES = 2_000
+HOT_SUFFIXES = 20_000
+SALTS = 32
 TREES = 20
 DEPTH = 4
 PRIOR_WEIGHT = 20.0
@@ -51,21 +53,32 @@ def rule_of(host, path, rules=RULES):
     return rule_col, verdict_col
 
 
-def suffixes(host: str) -> tuple[str, str]:
-    labels = host.rsplit(".", 2)
-    return labels[-1], ".".join(labels[-2:])
-
-
-def features(url: str | None, host: str, path: str, shares: dict[str, float], prior: float) -> list[float]:
+def features(url: str | None, host: str, path: str, share_last: float, share_two: float) -> list[float]:
     url = url or ""
     n = len(url)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(url).values()) if n else 0.0
     query = url.partition("?")[2].partition("#")[0]
-    last, two = suffixes(host)
     return [float(n), float(len(host)), float(len(path)), float(path.count("/")), float(host.count(".") + bool(host)),
             sum(map(str.isdigit, url)) / max(n, 1), sum(map(str.isalpha, url)) / max(n, 1), entropy,
             float(query.count("&") + bool(query)), float(host.count("-") + host.count("_")), float(sum(map(str.isdigit, host))),
-            float(max(map(len, host.split(".")))), float("#" in url), shares.get(last, prior), shares.get(two, prior)]
+            float(max(map(len, host.split(".")))), float("#" in url), share_last, share_two]
+
+
+def with_shares(rows: DataFrame, shares: DataFrame, n_shares: int, prior: float) -> DataFrame:
+    """``rows`` with share_last and share_two: of the host's last label and last two labels in ``shares(suffix, n, share)``."""
+    hot = shares if n_shares <= HOT_SUFFIXES else cut(shares.orderBy(F.desc("n"), "suffix").limit(HOT_SUFFIXES))
+    rest = None if n_shares <= HOT_SUFFIXES else (
+        shares.join(hot.select("suffix"), "suffix", "left_anti").select("suffix", F.col("share").alias("rest"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    for labels, name in ((-1, "share_last"), (-2, "share_two")):
+        rows = rows.withColumn("suffix", F.substring_index("host", ".", labels))
+        rows = rows.join(F.broadcast(hot.select("suffix", F.col("share").alias(name))), "suffix", "left")
+        if rest is not None:
+            salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+            rows = (rows.withColumn("salt", salt).join(rest, ["suffix", "salt"], "left")
+                    .withColumn(name, F.coalesce(name, "rest")).drop("rest", "salt"))
+        rows = rows.withColumn(name, F.coalesce(name, F.lit(prior))).drop("suffix")
+    return rows
 
 
 def judge(pages: DataFrame, rules=RULES, seed: int = 42) -> DataFrame:
@@ -82,19 +95,21 @@ def judge(pages: DataFrame, rules=RULES, seed: int = 42) -> DataFrame:
     prior = whole.blocked / whole.n
     label = F.substring_index("host", ".", -1), F.substring_index("host", ".", -2)
     counted = (labelled.select(F.explode(F.array_distinct(F.array(*label))).alias("suffix"), "label")
-               .groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-               .orderBy(F.desc("n"), "suffix").limit(MAX_SUFFIXES).collect())
-    shares = {r.suffix: (r.blocked + PRIOR_WEIGHT * prior) / (r.n + PRIOR_WEIGHT) for r in counted}
+               .groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")))
+    shares = cut(counted.select("suffix", "n", ((F.col("blocked") + PRIOR_WEIGHT * prior) / (F.col("n") + PRIOR_WEIGHT)).alias("share")))
+    n_shares = shares.count()
 
     @F.arrow_udf("array<double>")
-    def lexical(url: pa.Array, host: pa.Array, path: pa.Array) -> pa.Array:
-        return pa.array([features(u, h, p, shares, prior) for u, h, p in
-                         zip(url.to_pylist(), host.to_pylist(), path.to_pylist())], pa.list_(pa.float64()))
-
-    vector = array_to_vector(lexical("url", "host", "path")).alias("features")
-    fit = cut(labelled.orderBy(F.xxhash64(F.lit(seed), "url", "page_id"), "page_id").limit(FIT_URLS).select("url", "host", "path", "label")
-              .coalesce(1).select(vector, "label"))
+    def lexical(url: pa.Array, host: pa.Array, path: pa.Array, share_last: pa.Array, share_two: pa.Array) -> pa.Array:
+        return pa.array([features(*r) for r in zip(url.to_pylist(), host.to_pylist(), path.to_pylist(), share_last.to_pylist(),
+                                                   share_two.to_pylist())], pa.list_(pa.float64()))
+
+    vector = array_to_vector(lexical("url", "host", "path", "share_last", "share_two")).alias("features")
+    sample = cut(labelled.orderBy(F.xxhash64(F.lit(seed), "url", "page_id"), "page_id").limit(FIT_URLS)
+                 .select("page_id", "url", "host", "path", "label"))
+    fit = cut(with_shares(sample, shares, n_shares, prior).coalesce(1)
+              .sortWithinPartitions(F.xxhash64(F.lit(seed), "url", "page_id"), "page_id").select(vector, "label"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed).fit(fit)
-    judged = model.transform(rows.select("page_id", "host", "path", "rule", "ruled", vector))
+    judged = model.transform(with_shares(rows, shares, n_shares, prior).select("page_id", "host", "path", "rule", "ruled", vector))
     learned = F.when(F.col("prediction") == 1.0, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"))

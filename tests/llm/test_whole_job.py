@@ -113,3 +113,31 @@ def test_vectors_of_several_lengths_link_with_their_own(spark, monkeypatch):
         found = np.array([got[i].n_links for i in ids])
         assert (found <= links).all() and found.sum() >= (0.97 if dim > 3 else 1) * links.sum() > 0
         assert all(got[i].component_id in ids for i in ids)
+
+
+def test_every_suffix_has_its_own_share(spark, monkeypatch):
+    """One suffix of 2,500 joined by broadcast or all of them: equal shares, and none of them the prior's for want of a place."""
+    from precis.llm import url_trees
+    rows = [(i, f"http://{'x' if i % 3 else 'y'}{i // 2}.d{i // 2}.{'net' if i // 2 % 2 else 'org'}/fr/{i}") for i in range(5_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    seen = []
+    features = url_trees.with_shares
+
+    def spy(rows, shares, n, prior):
+        out = features(rows, shares, n, prior)
+        seen.append((n, prior, out))
+        return out
+
+    monkeypatch.setattr(url_trees, "with_shares", spy)
+    verdicts = []
+    for hot in (20_000, 10):
+        monkeypatch.setattr(url_trees, "HOT_SUFFIXES", hot)
+        seen.clear()
+        verdicts.append({r.page_id: r.verdict for r in url_trees.judge(pages, (("net/", "block"), ("org/fr/", "allow"))).collect()})
+        n, prior, out = seen[-1]
+        assert n == 2_502 and len(verdicts[-1]) == 5_000
+        for r in out.collect():
+            blocked = float(r.host.endswith("net"))
+            assert abs(r.share_two - (2 * blocked + 20 * prior) / 22) < 1e-9
+            assert abs(r.share_last - (2_500 * blocked + 20 * prior) / 2_520) < 1e-9
+    assert verdicts[0] == verdicts[1]
