@@ -3,10 +3,10 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(HERE)]
 
-SF = "/root/testdata/sf0.01"
-SF_TINY = "/root/testdata/sf0.001"
+from table_paths import SF, SF_TINY  # noqa: E402,F401
 
 
 @pytest.fixture(scope="session")

@@ -7,7 +7,7 @@ from precis.plans.generation import evaluate, generate
 
 
 def test_generate_and_evaluate(spark):
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
     docs = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text", "lang")
     out = tempfile.mkdtemp(prefix="precis-gen-")
     summaries, eff = generate(docs.select("doc_id", "text"), ["luhn", "nope", "random"], out_dir=out, k=2)

@@ -22,7 +22,7 @@ def _digest(rows, cols):
 
 @pytest.fixture(scope="module")
 def duck():
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_TINY}/{t}.parquet')")
@@ -37,7 +37,7 @@ def test_every_query_has_oracle_or_is_documented():
 
 @pytest.mark.parametrize("name", FAST)
 def test_query_matches_oracle(spark, duck, name):
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
     df = entry.queries()[name](spark, SF_TINY)
     srows, scols = [tuple(r) for r in df.collect()], df.columns
     cur = duck.execute(entry.oracle_sql()[name])

@@ -13,7 +13,7 @@ def _plan(df):
 @pytest.mark.parametrize("name", ["summ_luhn", "summ_textrank", "sentence_graph_lexrank", "tokenize_terms",
                                   "stratified_split", "efficiency_report"])
 def test_scans_are_pruned_and_no_cartesian(spark, name):
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
     plan = _plan(entry.queries()[name](spark, SF_TINY))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan):
@@ -22,7 +22,7 @@ def test_scans_are_pruned_and_no_cartesian(spark, name):
 
 
 def test_nothing_stays_in_caches(spark):
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
     for name in ("summ_textrank", "summ_kl", "tfidf_features"):
         entry.queries()[name](spark, SF_TINY).count()
         assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
@@ -47,7 +47,7 @@ def test_rank_steps_shuffle_nothing(spark):
 
 def test_scores_of_luhn_shuffle_nothing(spark):
     """On a corpus partitioned by document, scoring, top-k and assembly stay inside the partitions."""
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
 
     from precis.operators import summarizers as S
     from precis.operators.topk import assemble, rank_key, top_k

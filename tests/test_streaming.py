@@ -8,7 +8,7 @@ from precis.streaming.documents import cleaned, summarize_stream
 
 
 def test_stream_matches_batch(spark):
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
     src = tempfile.mkdtemp(prefix="precis-stream-src-")
     docs = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text")
     docs.repartition(3).write.mode("overwrite").parquet(src + "/in")

@@ -51,7 +51,7 @@ def py_luhn(tokens_by_sent):
 
 
 def test_luhn_matches_brute_force(spark):
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
     docs = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text")
     c = S.Corpus.of(docs, persist=False)
     got = {(r["doc_id"], r["sent_id"]): r["score"] for r in S.luhn_scores(c).collect()}
@@ -102,7 +102,7 @@ def test_power_rank_matches_numpy(spark, steps):
 
 
 def test_summary_properties(spark):
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
     docs = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text")
     c = S.Corpus.of(docs)
     sents = {}

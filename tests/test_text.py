@@ -34,7 +34,7 @@ def test_clean_fixtures(spark):
 
 
 def test_clean_matches_python_on_corpus(spark):
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
     docs = spark.read.parquet(f"{SF_TINY}/pages.parquet").select("page_id", "html")
     rows = docs.select("html", T.clean_text("html").alias("c")).collect()
     bad = [r for r in rows if py_clean(r["html"]) != r["c"]]
@@ -83,7 +83,7 @@ def py_segment(text, rules):
 
 
 def test_segment_matches_state_machine_on_corpus(spark):
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
     from precis.plans.queries import QUERY_SECTION_RULES
     docs = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text")
     got = {}
@@ -125,7 +125,7 @@ def test_stop_words_list():
 
 
 def test_segment_block_scan_independent_of_block_size(spark):
-    from conftest import SF_TINY
+    from table_paths import SF_TINY
     from precis.plans.queries import QUERY_SECTION_RULES
     docs = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text")
     a = {tuple(r) for r in segment(docs, QUERY_SECTION_RULES).collect()}
