@@ -61,5 +61,27 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
+_OP11_ASSIGN = """
+d{r} AS MATERIALIZED (SELECT v.row, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+        FROM v CROSS JOIN c{r} c),
+a{r} AS MATERIALIZED (SELECT row, CAST(arg_min(c, (d, c)) AS INTEGER) AS c, min(d) AS d FROM d{r} GROUP BY row)"""
+_OP11_MEANS = """
+m{r} AS (SELECT a.c, i.j, sum(v.x[i.j]) AS s, count(*) AS n FROM a{p} a JOIN v USING (row) CROSS JOIN range(1, 65) i(j)
+         GROUP BY a.c, i.j),
+c{r} AS MATERIALIZED (SELECT o.c, coalesce(list((m.s - ((m.s % m.n) + m.n) % m.n) // m.n ORDER BY m.j) FILTER (WHERE m.n > 0),
+        any_value(o.x)) AS x FROM c{p} o LEFT JOIN m{r} m USING (c) GROUP BY o.c)"""
+OP11 = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+         list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (
+  SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 16)),""" + ",".join(
+    _OP11_ASSIGN.format(r=r) + "," + _OP11_MEANS.format(r=r + 1, p=r) for r in range(3)) + "," + _OP11_ASSIGN.format(r=3) + """
+SELECT v.vec_id, a.c AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 a JOIN v USING (row) JOIN c3 ON c3.c = a.c"""
+
 #: op4's CRC-32 has no function here, so its SQL stays with the tests (``OP4``, all columns but that one).
-ORACLE: dict[str, str] = {"op2_itq_hamming_tables": OP2, "op9_norm_bucket_topk": OP9, "op10_water_filling_mix": OP10}
+ORACLE: dict[str, str] = {"op2_itq_hamming_tables": OP2, "op9_norm_bucket_topk": OP9, "op10_water_filling_mix": OP10,
+                          "op11_walsh_hadamard_clusters": OP11}

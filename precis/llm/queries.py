@@ -73,9 +73,15 @@ def op10_water_filling_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("reps")).alias("taken"))
 
 
+def op11_walsh_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precis.llm.hadamard import cluster, with_inertia
+    return with_inertia(*cluster(_table(spark, sf_dir, "embeddings"))).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_viterbi_token_counts, op2_itq_hamming_tables, op3_page_differencing, op4_sampled_splitters, op5_probminhash, op6_sum_of_squares_packing,
         op7_weak_label_classifier, op8_url_boosted_trees, op9_norm_bucket_topk,
-        op10_water_filling_mix)
+        op10_water_filling_mix, op11_walsh_hadamard_clusters)
 }

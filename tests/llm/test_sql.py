@@ -11,7 +11,8 @@ def rows_of(rows, names, columns):
     return sorted((tuple(r[i] for i in at) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["op2_itq_hamming_tables", "op4_sampled_splitters", "op9_norm_bucket_topk", "op10_water_filling_mix"])
+@pytest.mark.parametrize("name", ["op2_itq_hamming_tables", "op4_sampled_splitters", "op9_norm_bucket_topk", "op10_water_filling_mix",
+                                  "op11_walsh_hadamard_clusters"])
 def test_query_equals_sql(spark, name):
     from precis.llm.oracle import OP4, ORACLE
     from precis.llm.queries import QUERIES
