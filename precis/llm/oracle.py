@@ -82,6 +82,30 @@ SELECT v.vec_id, a.c AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d)
        CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
 FROM a3 a JOIN v USING (row) JOIN c3 ON c3.c = a.c"""
 
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+o AS MATERIALIZED (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+      LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM n GROUP BY ALL) USING (lang, source)),
+p AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n,
+             1 + CAST(1000000000 AS HUGEINT) * (coalesce(n.n, 0) + 1) // CAST(g.total + g.v AS HUGEINT) AS p
+      FROM g JOIN kept USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(n) + 1) // CAST(sum(sum(n)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang) AS HUGEINT) AS q
+      FROM p GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item,
+                 coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // y.p) FROM p x JOIN p y USING (lang, term)
+                           WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+every AS (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM terms),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
 OP13 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
@@ -95,4 +119,5 @@ SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FRO
 
 #: op4's CRC-32 has no function here, so its SQL stays with the tests (``OP4``, all columns but that one).
 ORACLE: dict[str, str] = {"op2_itq_hamming_tables": OP2, "op9_norm_bucket_topk": OP9, "op10_water_filling_mix": OP10,
-                          "op11_walsh_hadamard_clusters": OP11, "op13_line_hash_arrays": OP13}
+                          "op11_walsh_hadamard_clusters": OP11, "op12_transducer_divergence": OP12,
+                          "op13_line_hash_arrays": OP13}

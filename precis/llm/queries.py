@@ -79,6 +79,11 @@ def op11_walsh_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op12_transducer_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from precis.llm.divergence import audit
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_line_hash_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     from precis.llm.line_dedup import without_common_lines
     return without_common_lines(_table(spark, sf_dir, "documents")).select(
@@ -89,5 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_viterbi_token_counts, op2_itq_hamming_tables, op3_page_differencing, op4_sampled_splitters, op5_probminhash, op6_sum_of_squares_packing,
         op7_weak_label_classifier, op8_url_boosted_trees, op9_norm_bucket_topk,
-        op10_water_filling_mix, op11_walsh_hadamard_clusters, op13_line_hash_arrays)
+        op10_water_filling_mix, op11_walsh_hadamard_clusters, op12_transducer_divergence, op13_line_hash_arrays)
 }

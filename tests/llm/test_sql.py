@@ -12,7 +12,7 @@ def rows_of(rows, names, columns):
 
 
 @pytest.mark.parametrize("name", ["op2_itq_hamming_tables", "op4_sampled_splitters", "op9_norm_bucket_topk", "op10_water_filling_mix",
-                                  "op11_walsh_hadamard_clusters", "op13_line_hash_arrays"])
+                                  "op11_walsh_hadamard_clusters", "op12_transducer_divergence", "op13_line_hash_arrays"])
 def test_query_equals_sql(spark, name):
     from precis.llm.oracle import OP4, ORACLE
     from precis.llm.queries import QUERIES
