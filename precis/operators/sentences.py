@@ -9,11 +9,12 @@ regex extraction a second time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precis.functions.text import sentence_array, section_of, strip_ws, token_array
-from precis.session import co_partitioned, materialize
+from precis.functions.text import DEFAULT_SECTION_RULES, sentence_array, section_of, strip_ws, token_array
 
 
 def named(column: str, name: str):
@@ -42,58 +43,56 @@ def tokens(sents: DataFrame) -> DataFrame:
             .where(F.col("word").isNotNull()))
 
 
-LINE_BLOCK = 4096     # lines per scan block in segmentation
+def _running_section(header: int):
+    """Arrow function: per document, rule numbers of its lines (null: no rule) -> (cur, switched) per line.
 
-
-def segment(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str = "text",
-            block: int = LINE_BLOCK) -> DataFrame:
+    ``cur`` is the last rule at or before the line (``header`` before any), ``switched`` tells whether the line changes it.
+    """
+    @F.arrow_udf("struct<cur: array<int>, switched: array<boolean>>")
+    def run(rules: pa.Array) -> pa.Array:
+        if isinstance(rules, pa.ChunkedArray):
+            rules = rules.combine_chunks()
+        offsets = rules.offsets.to_numpy().astype(np.int64) - rules.offsets[0].as_py()
+        rule = rules.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        first = np.repeat(offsets[:-1], np.diff(offsets))                # each line's first line of the document
+        line = np.arange(len(rule))
+        last = np.maximum.accumulate(np.where(rule >= 0, line, -1)) if len(rule) else line
+        cur = np.where(last >= first, rule[np.maximum(last, 0)] if len(rule) else rule, header)
+        before = np.where(line == first, header, np.r_[header, cur[:-1]]) if len(rule) else cur
+        at = pa.array(offsets, pa.int32())
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(at, pa.array(cur, pa.int32())),
+             pa.ListArray.from_arrays(at, pa.array((rule >= 0) & (rule != before), pa.bool_()))], names=["cur", "switched"])
+
+    return run
+
+
+def segment(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, section, section_ord, text) by the line state machine.
 
-    Window form of the state machine: the current section of a line is the
-    last rule match at or before it (``header`` before any match); a line that
-    switches section contributes its stripped form, every other line its raw
-    form. Lines are grouped per (doc, section) and joined by newlines.
+    The current section of a line is the last rule match at or before it (``header`` before any match); a line that
+    switches section contributes its stripped form, every other line its raw form. Blank lines go; a section's lines are
+    joined by newlines, sections are in order of their first line, the header first.
 
-    The running "last match" is a two-level scan, so no window ever holds a
-    whole document: windows run inside blocks of ``block`` lines, and each
-    block receives the last match of all earlier blocks (a window over the
-    small per-block frame). Lines are partitioned by document once; every window,
-    join and aggregation then stays inside its partition.
+    A document is one row: its lines are an array, the running match is one forward fill over the lines of an Arrow
+    batch (the only part that isn't a JVM expression), and sections are filters of the array. Nothing is shuffled, no
+    window holds a document, and memory follows the longest document.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = (docs
-             .select(named(id_col, "doc_id"),
-                     F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
-                     .alias("ln", "line"))
-             .withColumn("stripped", strip_ws("line"))
-             .where(F.col("stripped") != "")
-             .withColumn("m", section_of("stripped", rules))
-             .withColumn("blk", F.floor(F.col("ln") / block)))
-    with co_partitioned(spark):
-        lines = materialize(lines.repartition(parts, "doc_id"))     # read by the blocks' windows and by their carries
-    # level 1: last match inside each block (window over <= block lines)
-    w = Window.partitionBy("doc_id", "blk").orderBy("ln")
-    lines = lines.withColumn("in_last", F.last("m", ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    # level 2: per block, the last match of all earlier blocks (one row per block)
-    per_block = (lines.groupBy("doc_id", "blk")
-                 .agg(F.max_by("m", F.when(F.col("m").isNotNull(), F.col("ln"))).alias("blk_last")))
-    earlier = Window.partitionBy("doc_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.select("doc_id", "blk", F.last("blk_last", ignorenulls=True).over(earlier).alias("c_in"))
-    lines = lines.join(carry, ["doc_id", "blk"], "left")
-    lines = lines.withColumn("cur", F.coalesce("in_last", "c_in", F.lit("header")))
-    prev = F.coalesce(F.lag("cur").over(w), F.col("c_in"), F.lit("header"))
-    lines = lines.withColumn(
-        "piece",
-        F.when(F.col("m").isNotNull() & (F.col("m") != prev), F.col("stripped")).otherwise(F.col("line")))
-    sections = (lines.groupBy("doc_id", F.col("cur").alias("section"))
-                .agg(F.min("ln").alias("first_ln"),
-                     strip_ws(F.array_join(
-                         F.transform(F.array_sort(F.collect_list(F.struct("ln", "piece"))),
-                                     lambda s: s["piece"]), "\n")).alias("text"))
-                .where(F.col("text") != ""))
-    order = Window.partitionBy("doc_id").orderBy((F.col("section") != "header").cast("int"), "first_ln")
-    with co_partitioned(spark):
-        return materialize(sections.select(
-            "doc_id", "section", (F.row_number().over(order) - 1).cast("int").alias("section_ord"), "text"))
+    rules = rules or DEFAULT_SECTION_RULES
+    names = list(dict.fromkeys([*(name for name, _ in rules), "header"]))
+    header = names.index("header")
+    of_name = F.array(*[F.lit(n) for n in names])
+    split = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1),
+                        lambda x: F.struct(x.alias("line"), strip_ws(x).alias("stripped")))
+    rule = F.transform("lines", lambda x: (F.array_position(of_name, section_of(x["stripped"], rules)) - 1).cast("int"))
+    rows = (docs.select(named(id_col, "doc_id"), F.filter(split, lambda x: x["stripped"] != "").alias("lines"))
+            .withColumn("run", _running_section(header)(rule))
+            .select("doc_id", F.col("run.cur").alias("cur"), F.transform(
+                F.arrays_zip("lines", F.col("run.cur").alias("cur"), F.col("run.switched").alias("switched")),
+                lambda z: F.struct(z["cur"].alias("cur"), F.when(z["switched"], z["lines"]["stripped"])
+                                   .otherwise(z["lines"]["line"]).alias("piece"))).alias("pieces")))
+    order = F.array_distinct(F.concat(F.filter("cur", lambda c: c == header), F.col("cur")))
+    text = lambda c: F.array_join(F.transform(F.filter("pieces", lambda p: p["cur"] == c), lambda p: p["piece"]), "\n")
+    sections = F.transform(order, lambda c: F.struct(F.element_at(of_name, c + 1).alias("section"), strip_ws(text(c)).alias("text")))
+    return (rows.select("doc_id", F.posexplode_outer(sections).alias("section_ord", "s")).where(F.col("s").isNotNull())
+            .select("doc_id", "s.section", "section_ord", "s.text"))

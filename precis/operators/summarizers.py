@@ -1,8 +1,10 @@
 """Extractive summarisers (J1-J7), the neural batch hook (J8) and the router.
 
-Each extractive summariser maps the sentence/token frames of a corpus to a
-per-sentence score with joins, aggregations and windows, then keeps the k
-best sentences per document (``topk.top_k``) in document order.
+A document is one row, so an extractive summariser is a column of that row:
+JVM expressions (random, lsa) or one Arrow pass for all the others together
+(``docrank``). Only documents too large for one task are ranked by joins,
+aggregations and windows over the sentence and token frames (the
+``*_scores`` functions, ``kl_joined``); both give the same scores.
 
 Scoring definitions follow the original papers (see README):
   luhn      max over clusters of significant words of (count^2 / span)
@@ -22,11 +24,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from precis.functions.text import sentence_array, strip_ws, token_array
-from precis.operators import graph
+from precis.functions.text import token_array
+from precis.operators import docrank, graph
 from precis.operators.sentences import named, sentences as split_sentences, tokens as split_tokens
 from precis.operators.topk import SCORE_DP, assemble, rank_key, top_k, with_all_documents
-from precis.session import co_partitioned, materialize
+from precis.session import materialize
 
 LUHN_MAX_GAP = 4        # insignificant words allowed inside a cluster
 LUHN_MIN_FREQ = 2       # a word is significant when it occurs this often in its document
@@ -35,33 +37,60 @@ DEFAULT_K = 3
 
 
 class Corpus:
-    """A document frame with its sentence and token frames, built when first asked for and then shared.
+    """Documents (doc_id, text) and what the summarisers share; every frame is built when first asked for.
 
-    With ``persist`` the sentence frame is partitioned by document and written
-    to the checkpoint folder, because a summariser reads it several times and
-    works within documents.
+    ``sents`` and ``toks`` are the sentence and token frames (with ``persist`` the former is written to the checkpoint
+    folder). Summarisers that rank whole documents in a row (``docrank.METHODS``) are scored together, in one pass, for
+    all names in ``together``.
     """
 
-    def __init__(self, docs: DataFrame, persist: bool = False):
+    def __init__(self, docs: DataFrame, persist: bool = False, together: tuple[str, ...] = ()):
         self.docs = docs
         self.persist = persist
+        self.together = tuple(m for m in together if m in docrank.METHODS)
+        self._shared: dict = {}
 
     @classmethod
-    def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", persist: bool = False) -> "Corpus":
-        return cls(docs.select(named(id_col, "doc_id"), named(text_col, "text")), persist)
+    def of(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", persist: bool = False,
+           together: tuple[str, ...] = ()) -> "Corpus":
+        return cls(docs.select(named(id_col, "doc_id"), named(text_col, "text")), persist, together)
 
     @cached_property
     def sents(self) -> DataFrame:
-        if not self.persist:
-            return split_sentences(self.docs)
-        parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        with co_partitioned(self.docs.sparkSession):
-            return materialize(split_sentences(self.docs).repartition(parts, "doc_id"))
+        s = split_sentences(self.docs)
+        return materialize(s) if self.persist else s
 
     @cached_property
     def toks(self) -> DataFrame:
         return split_tokens(self.sents)
 
+    @cached_property
+    def has_giants(self) -> bool:
+        return self.docs.where(docrank.giant("text")).limit(1).count() > 0
+
+    @cached_property
+    def giants(self) -> "Corpus":
+        """The documents that are too large for one task; joins rank them."""
+        return Corpus(self.docs.where(docrank.giant("text")), persist=True)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self.docs.where(~docrank.giant("text")) if self.has_giants else self.docs
+
+    def summaries(self, method: str, k: int, params: dict) -> DataFrame:
+        """(doc_id, summary, elapsed_s) by a method that ranks a document in its row; documents without sentences go."""
+        if method not in self.together:
+            return self._ranked((method,), k, params).select("doc_id", F.col(method).alias("summary"), F.col(f"{method}_s").alias("elapsed_s"))
+        key = (k, tuple(sorted(params.items())))         # one pass per set of options
+        if key not in self._shared:
+            self._shared[key] = materialize(self._ranked(self.together, k, params))       # summaries only
+        return self._shared[key].select("doc_id", F.col(method).alias("summary"), F.col(f"{method}_s").alias("elapsed_s"))
+
+    def _ranked(self, methods: tuple[str, ...], k: int, params: dict) -> DataFrame:
+        rows = docrank.scored(self.rows, methods, k=k, **params).where(F.size("sents") > 0)
+        return rows.select("doc_id", *[docrank.best_sentences(F.col("sents"), F.col(f"scored.{m}"), k, SCORE_DP).alias(m) for m in methods],
+                           *[F.col(f"scored.{m}_s").alias(f"{m}_s") for m in methods])
+
 
 def _with_zero(sents: DataFrame, scores: DataFrame) -> DataFrame:
     """Every sentence with its score (0 when it produced none)."""
@@ -70,26 +99,31 @@ def _with_zero(sents: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def _pick(sents: DataFrame, scores: DataFrame, k: int, descending: bool = True) -> DataFrame:
-    """The k best sentences per document, assembled; on a corpus that is partitioned by document nothing is shuffled."""
-    with co_partitioned(sents.sparkSession):
-        return materialize(assemble(top_k(_with_zero(sents, scores), k, rank_key("score", descending))))
-
-
-def _sentence_structs(text):
-    """Array of (sent_id, sentence) of a text: ``sentences`` as a column, so a document's row is enough."""
-    raw = F.transform(sentence_array(text), lambda x, i: F.struct(i.alias("sent_id"), strip_ws(x).alias("sentence")))
-    return F.filter(raw, lambda s: s["sentence"] != "")
+    """The k best sentences per document, assembled."""
+    return assemble(top_k(_with_zero(sents, scores), k, rank_key("score", descending)))
 
 
 def _pick_in_row(docs: DataFrame, key: Callable, k: int) -> DataFrame:
     """(doc_id, summary) from the k sentences with the smallest (key(sentence), sent_id); one expression per document."""
-    keyed = F.transform(_sentence_structs(F.col("text")),
+    keyed = F.transform(docrank.sentence_structs(F.col("text")),
                         lambda s: F.struct(key(s).alias("key"), s["sent_id"].alias("sent_id"), s["sentence"].alias("sentence")))
     best = F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: F.struct(s["sent_id"], s["sentence"]))
     return (docs.select("doc_id", F.array_join(F.transform(F.array_sort(best), lambda s: s["sentence"]), " ").alias("summary"))
             .where(F.col("summary") != ""))
 
 
+PARAMS = {"iterations": 20, "damping": graph.DAMPING, "threshold": graph.LEXRANK_THRESHOLD, "delta": KL_DELTA,
+          "min_freq": LUHN_MIN_FREQ, "max_gap": LUHN_MAX_GAP}
+
+
+def ranked_in_rows(c: Corpus, method: str, k: int, by_joins: Callable[[Corpus], DataFrame], **params) -> DataFrame:
+    """(doc_id, summary, elapsed_s): documents ranked in their rows; too large ones (if any) by joins, without a clock."""
+    out = c.summaries(method, k, {**PARAMS, **params})
+    if c.has_giants:
+        out = out.unionByName(by_joins(c.giants).withColumn("elapsed_s", F.lit(None).cast("double")))
+    return out
+
+
 # --------------------------------------------------------------------- scores
 def luhn_scores(c: Corpus) -> DataFrame:
     # word counts are pre-aggregated map-side, then joined back: a hot
@@ -159,20 +193,23 @@ def reduction_scores(c: Corpus) -> DataFrame:
 
 
 def textrank_scores(c: Corpus, iterations: int = 20, damping: float = graph.DAMPING) -> DataFrame:
-    e = graph.textrank_edges(c.toks).select("doc_id", "src", "dst", F.col("weight").alias("w"))
-    return graph.power_rank(c.sents.select("doc_id", "sent_id"), e, iterations, damping)
+    return graph.histogram_rank(c.sents, c.toks, reduction_scores(c), iterations, damping)
 
 
 def lexrank_scores(c: Corpus, iterations: int = 20, damping: float = graph.DAMPING,
                    threshold: float = graph.LEXRANK_THRESHOLD) -> DataFrame:
-    e = (graph.lexrank_edges(c.sents, c.toks).where(F.col("cosine") > threshold)
+    e = (graph.lexrank_edges_above(c.sents, c.toks, threshold)
          .select("doc_id", "src", "dst", F.lit(1.0).alias("w")))
     return graph.power_rank(c.sents.select("doc_id", "sent_id"), e, iterations, damping)
 
 
 # ---------------------------------------------------------------- summarisers
+def luhn_timed(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
+    return ranked_in_rows(c, "luhn", k, lambda g: _pick(g.sents, luhn_scores(g), k))
+
+
 def luhn(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
-    return _pick(c.sents, luhn_scores(c), k)
+    return luhn_timed(c, k).drop("elapsed_s")
 
 
 def lsa(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
@@ -191,16 +228,28 @@ def lsa_rank(c: Corpus, k: int = DEFAULT_K, topics: int | None = None) -> DataFr
     return _pick(c.sents, lsa_rank_scores(c, topics or k), k)
 
 
+def reduction_timed(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
+    return ranked_in_rows(c, "reduction", k, lambda g: _pick(g.sents, reduction_scores(g), k))
+
+
 def reduction(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
-    return _pick(c.sents, reduction_scores(c), k)
+    return reduction_timed(c, k).drop("elapsed_s")
+
+
+def textrank_timed(c: Corpus, k: int = DEFAULT_K, iterations: int = 20) -> DataFrame:
+    return ranked_in_rows(c, "textrank", k, lambda g: _pick(g.sents, textrank_scores(g, iterations), k), iterations=iterations)
 
 
 def textrank(c: Corpus, k: int = DEFAULT_K, iterations: int = 20) -> DataFrame:
-    return _pick(c.sents, textrank_scores(c, iterations), k)
+    return textrank_timed(c, k, iterations).drop("elapsed_s")
+
+
+def lexrank_timed(c: Corpus, k: int = DEFAULT_K, iterations: int = 20) -> DataFrame:
+    return ranked_in_rows(c, "lexrank", k, lambda g: _pick(g.sents, lexrank_scores(g, iterations), k), iterations=iterations)
 
 
 def lexrank(c: Corpus, k: int = DEFAULT_K, iterations: int = 20) -> DataFrame:
-    return _pick(c.sents, lexrank_scores(c, iterations), k)
+    return lexrank_timed(c, k, iterations).drop("elapsed_s")
 
 
 def random(c: Corpus, k: int = DEFAULT_K, seed: int = 42) -> DataFrame:
@@ -209,8 +258,16 @@ def random(c: Corpus, k: int = DEFAULT_K, seed: int = 42) -> DataFrame:
     return _pick_in_row(c.docs, lambda s: F.md5(F.concat_ws(":", doc, s["sent_id"].cast("string"), F.lit(str(seed)))), k)
 
 
+def kl_timed(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
+    return ranked_in_rows(c, "kl", k, lambda g: kl_joined(g, k, delta), delta=delta)
+
+
 def kl(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
-    """Greedy KL-Sum, one round per summary sentence (k is small: unrolled).
+    return kl_timed(c, k, delta).drop("elapsed_s")
+
+
+def kl_joined(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
+    """Greedy KL-Sum by joins, one round per summary sentence (k is small: unrolled).
 
     Round objective for candidate s given the chosen set S (S' = S + s):
       J(s) = ln(N_S' + delta*V) - sum_{w in s} P_D(w) * [ln(c_S'(w)+delta) - ln(c_S(w)+delta)]
@@ -255,8 +312,7 @@ def kl(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
         best = (scored.groupBy("doc_id").agg(F.min_by("sent_id", key).alias("sent_id"))
                 .select("doc_id", "sent_id", F.lit(rnd).alias("rnd")))
         chosen = materialize(best if chosen is None else chosen.unionByName(best))   # one plan per round
-    with co_partitioned(c.sents.sparkSession):
-        return materialize(assemble(chosen.join(c.sents, ["doc_id", "sent_id"]).select("doc_id", "sent_id", "sentence")))
+    return assemble(chosen.join(c.sents, ["doc_id", "sent_id"]).select("doc_id", "sent_id", "sentence"))
 
 
 # ---------------------------------------------------------- neural batch hook
@@ -319,6 +375,9 @@ def abstractive(docs: DataFrame, model: str, make_predict_fn: Callable, input_ma
 
 
 # --------------------------------------------------------------------- router
+TIMED: dict[str, Callable[..., DataFrame]] = {       # (doc_id, summary, elapsed_s): clocks of the ranking itself
+    "luhn": luhn_timed, "lexrank": lexrank_timed, "textrank": textrank_timed, "kl": kl_timed, "reduction": reduction_timed,
+}
 EXTRACTIVE: dict[str, Callable[..., DataFrame]] = {
     "luhn": luhn, "lsa": lsa, "lexrank": lexrank, "textrank": textrank,
     "kl": kl, "reduction": reduction, "random": random, "lsa_rank": lsa_rank,
@@ -350,7 +409,7 @@ def summarize(docs: DataFrame, models: list[str], k: int = DEFAULT_K, id_col: st
     chosen = [m for m in models if m in EXTRACTIVE or m in ABSTRACTIVE]
     if not chosen:
         raise ValueError(f"none of the requested models is available: {models}")
-    corpus = Corpus.of(docs, id_col, text_col, persist=len(chosen) > 1)   # shared by every model
+    corpus = Corpus.of(docs, id_col, text_col, persist=len(chosen) > 1, together=tuple(chosen))   # shared by every model
     out = None
     for m in chosen:
         if m in EXTRACTIVE:

@@ -19,7 +19,7 @@ from precis.operators.efficiency import efficiency_report
 from precis.operators.sentences import segment, sentences, tokens
 from precis.operators.split import stratified_split
 from precis.operators.topk import with_all_documents
-from precis.session import materialize
+from precis.session import materialize, ship_package
 from precis.sources import files
 from precis.sources.tables import table
 
@@ -48,9 +48,9 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
 
 
-def _corpus(spark, sf) -> S.Corpus:
-    # the sentence frame is read by scoring and by assembly: split the corpus once
-    return S.Corpus.of(_docs(spark, sf), persist=True)
+def _corpus(spark, sf, together: tuple[str, ...] = ()) -> S.Corpus:
+    ship_package(spark)                         # the ranking functions run in Python workers
+    return S.Corpus.of(_docs(spark, sf), persist=True, together=together)
 
 
 def _summary(name, fn):
@@ -71,6 +71,7 @@ def q_clean_text(spark, sf):
 
 
 def q_segment_sections(spark, sf):
+    ship_package(spark)
     return segment(_docs(spark, sf), QUERY_SECTION_RULES)
 
 
@@ -132,8 +133,8 @@ def _quality_labels(spark, sf):
 
 
 def _summaries(spark, sf):
-    """(model, doc_id, summary) of every model; the corpus is split once."""
-    c = _corpus(spark, sf)
+    """(model, doc_id, summary) of every model; those that rank a document in its row share one pass."""
+    c = _corpus(spark, sf, tuple(MODELS))
     out = None
     for m in MODELS:
         part = with_all_documents(c.docs, S.EXTRACTIVE[m](c, K)).select(F.lit(m).alias("model"), "*")
@@ -245,6 +246,7 @@ def q_successful_categories(spark, sf):
 
 def q_router(spark, sf):
     """The requested models that exist, in requested order, over all documents."""
+    ship_package(spark)
     return S.summarize(_docs(spark, sf), ROUTER_REQUEST, k=K)
 
 

@@ -6,7 +6,6 @@ fill in settings that are unset (local runs and tests).
 
 from __future__ import annotations
 
-import contextlib
 import os
 import tempfile
 
@@ -86,23 +85,16 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-@contextlib.contextmanager
-def co_partitioned(spark: SparkSession):
-    """Keep frames partitioned by a part of their join and grouping keys where they are (for jobs started inside).
+def written(df):
+    """Write ``df`` as Parquet into the checkpoint folder and read it again.
 
-    Joins accept a common partitioning by fewer columns than they join on, and
-    frames cut inside keep their partitioning (under adaptive execution a
-    checkpoint forgets it). Both settings are put back on leaving.
+    For loops: unlike a checkpointed frame, which keeps the size that was estimated for its plan (a product over its
+    joins, which grows from round to round), the table read again has its real size.
     """
-    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.adaptive.enabled": "false"}
-    before = {key: spark.conf.get(key, "true") for key in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession, create=True)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -28,33 +28,32 @@ def test_nothing_stays_in_caches(spark):
         assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
 
 
-def test_rank_steps_shuffle_nothing(spark):
-    """Partitioned by document once, a step's join, aggregation and window need no exchange."""
-    from pyspark.sql import functions as F
-
-    from precis.operators.graph import power_rank
-    from precis.session import co_partitioned, materialize
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with co_partitioned(spark):
-        a = materialize(spark.range(100).selectExpr("id % 7 AS doc_id", "id AS src", "id + 1 AS dst").repartition(parts, "doc_id"))
-        b = materialize(spark.range(100).selectExpr("id % 7 AS doc_id", "id AS src", "0.5 AS r").repartition(parts, "doc_id"))
-        step = a.join(b.hint("shuffle_hash"), ["doc_id", "src"]).groupBy("doc_id", "dst").agg(F.sum("r"))
-        assert "Exchange" not in _plan(step)
-    rank = power_rank(spark.range(5).selectExpr("1L AS doc_id", "CAST(id AS INT) AS sent_id"),
-                      spark.range(4).selectExpr("1L AS doc_id", "CAST(id AS INT) AS src", "CAST(id + 1 AS INT) AS dst", "1.0D AS w"))
-    assert abs(sum(r["score"] for r in rank.collect()) - 1.0) < 1e-9
-
-
-def test_scores_of_luhn_shuffle_nothing(spark):
-    """On a corpus partitioned by document, scoring, top-k and assembly stay inside the partitions."""
+@pytest.mark.parametrize("method", ["luhn", "reduction", "textrank", "lexrank", "kl"])
+def test_ranking_in_rows_shuffles_nothing(spark, method):
+    """The whole plan, read before anything is run or cut: one scan, one Arrow function, no exchange, no join."""
     from table_paths import SF_TINY
 
     from precis.operators import summarizers as S
-    from precis.operators.topk import assemble, rank_key, top_k
-    from precis.session import co_partitioned
-    c = S.Corpus.of(spark.read.parquet(f"{SF_TINY}/documents.parquet"), persist=True)
-    c.sents.schema
-    with co_partitioned(spark):
-        best = assemble(top_k(S._with_zero(c.sents, S.luhn_scores(c)), 3, rank_key("score", True)))
-        assert "Exchange hashpartitioning" not in _plan(best)
-    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    c = S.Corpus.of(spark.read.parquet(f"{SF_TINY}/documents.parquet"))
+    plan = _plan(S.EXTRACTIVE[method](c, 3))
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("Scan parquet") == 1
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_models_share_one_pass(spark):
+    from table_paths import SF_TINY
+
+    from precis.operators import docrank
+    from precis.operators import summarizers as S
+    c = S.Corpus.of(spark.read.parquet(f"{SF_TINY}/documents.parquet"), together=docrank.METHODS)
+    for m in docrank.METHODS:
+        assert "ArrowEvalPython" not in _plan(S.EXTRACTIVE[m](c, 3))       # reads the shared summaries
+    assert len(c._shared) == 1
+
+
+def test_segmentation_shuffles_nothing(spark):
+    from table_paths import SF_TINY
+
+    from precis.operators.sentences import segment
+    plan = _plan(segment(spark.read.parquet(f"{SF_TINY}/documents.parquet")))
+    assert "Exchange" not in plan and "Window" not in plan

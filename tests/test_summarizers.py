@@ -89,7 +89,7 @@ def test_power_rank_matches_numpy(spark, steps):
     c = corpus(spark, texts)
     e = G.textrank_edges(c.toks).select("doc_id", "src", "dst", F.col("weight").alias("w"))
     got = {(r["doc_id"], r["sent_id"]): r["score"] for r in
-           G.power_rank(c.sents.select("doc_id", "sent_id"), e, steps, cut_every=4).collect()}
+           G.power_rank(c.sents.select("doc_id", "sent_id"), e, steps).collect()}
     edges = e.collect()
     for d in (0, 1):
         ids = sorted(sid for (dd, sid) in got if dd == d)
