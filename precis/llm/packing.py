@@ -4,11 +4,12 @@ A document's ids are those of the public tokenizer plus an end id. What fills wh
 (shorter than a window) is placed online: among the fill levels that have an open window and room, and a new window, the
 one that makes the sum over levels of (open windows at that level) squared smallest; a level array holds the counts.
 Moving a window from level h to h + s changes the sum by 2 (N[h + s] - N[h]) + 2 (level 0 and the full level count for
-nothing), so one document costs one vector operation over the levels. At the end of a stream the open windows are
-settled: the fullest are filled by pieces cut from the emptiest, so at most one window of a stream is padded.
+nothing), so one document costs one vector operation over the levels. Rests above half a window can't share one, so the
+open windows are bounded: above ``MAX_OPEN``, and at the end of a stream, they are settled, the fullest being filled by
+pieces cut from the emptiest. At most one window of a stream is padded.
 
 Each task packs the documents of its own scan partition while it tokenises them: no shuffle, and a lost task gives the
-same windows again. Memory: the open windows (less than one per level) and the tokenizer's bounded memo of words.
+same windows again. Memory: at most ``MAX_OPEN`` open windows and one document's pieces, and the tokenizer's bounded memo of words.
 
 Ids are looked up by chunk: the tokenizer drops white space and no token spans it, so splitting at spaces and newlines
 changes nothing (tests compare with the tokenizer over whole texts). Null text: only the end id. Very long texts become
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
+MAX_OPEN = 1_024
 MEMO_CHUNKS = 400_000
 MEMO_WORDS = 500_000
 MEMO_CHARS = 64
@@ -42,69 +44,59 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(other)}
 
 
-class Encoder:
-    """Ids of a text as little-endian 32-bit bytes.
+class Encoder(dict):
+    """Ids of a text as little-endian 32-bit bytes; itself the bounded memo of short chunks.
 
     Words of Latin letters (with closing punctuation) are one pre-token each and go to the BPE model directly; every
-    other chunk goes through the whole tokenizer. Both are memoised up to fixed numbers of short chunks.
+    other chunk goes through the whole tokenizer. Looking a text up is one pass in C over its chunks; Python runs only for
+    chunks that aren't in the memo.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
+        super().__init__()
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.model = self.tok.model
         self.letters = _byte_letters()
-        self.memo: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
         self.closing: dict[str, bytes] = {"": b""}
+        self.units = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size())]
 
-    def _whole(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, chunk: str) -> bytes | None:
+    def __missing__(self, chunk: str) -> bytes:
         stem = chunk.rstrip(CLOSING)
-        end = chunk[len(stem):]
-        stem = stem.lower()
-        ids = self.words.get(stem)
+        ids = self.words.get(stem.lower())
         if ids is None:
-            if not stem.isalpha() or len(stem) > MEMO_CHARS or not stem.isascii() and max(stem) >= "\u0250":
-                return None
-            if len(self.words) >= MEMO_WORDS:
-                self.words.clear()
-            spelt = stem if stem.isascii() else "".join([self.letters[b] for b in stem.encode()])
-            ids = self.words[stem] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
-        if len(end) > 4:
-            return ids + self._whole([end])[0]
-        if end not in self.closing:
-            self.closing[end] = self._whole([end])[0]
-        return ids + self.closing[end]
+            ids = self._word(stem.lower())
+        if ids is None:
+            ids = self._whole(chunk) if chunk else b""
+        elif len(stem) < len(chunk):
+            end = chunk[len(stem):]
+            if end not in self.closing:
+                if len(end) > 4:
+                    return ids + self._whole(end)
+                self.closing[end] = self._whole(end)
+            ids += self.closing[end]
+        if len(chunk) <= MEMO_CHARS:                               # long chunks aren't kept
+            if len(self) >= MEMO_CHUNKS:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+    def _word(self, stem: str) -> bytes | None:
+        if not stem.isalpha() or len(stem) > MEMO_CHARS or not stem.isascii() and max(stem) >= "\u0250":
+            return None
+        if len(self.words) >= MEMO_WORDS:
+            self.words.clear()
+        units = self.units
+        spelt = stem if stem.isascii() else "".join([self.letters[b] for b in stem.encode()])
+        ids = self.words[stem] = b"".join([units[t.id] for t in self.model.tokenize(spelt)])
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        chunks, memo = text.replace("\n", " ").split(" "), self.memo
-        new = set(chunks).difference(memo)
-        if not new:
-            return b"".join([memo[c] for c in chunks])
-        if len(memo) >= MEMO_CHUNKS:
-            memo.clear()
-            memo[""] = b""
-            new = set(chunks).difference(memo)
-        here, hard, long = {}, [], False
-        for c in new:
-            ids = self._word(c)
-            if ids is None:
-                hard.append(c)
-            else:
-                here[c] = ids
-        if hard:
-            here.update(zip(hard, self._whole(hard), strict=True))
-            long = max(map(len, hard)) > MEMO_CHARS
-        if long:                                                   # long chunks aren't kept
-            out = b"".join([memo[c] if c in memo else here[c] for c in chunks])
-            here = {c: v for c, v in here.items() if len(c) <= MEMO_CHARS}
-            memo.update(here)
-            return out
-        memo.update(here)
-        return b"".join([memo[c] for c in chunks])
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -143,13 +135,19 @@ class SumOfSquares:
         self.count[best + length] += 1
         return None
 
-    def settle(self, cut_at) -> Iterator[list]:
-        """Close the open windows: the emptiest are cut to fill the fullest. ``cut_at(piece, n)`` -> two pieces."""
+    @property
+    def n_open(self) -> int:
+        return int(self.count.sum())
+
+    def settle(self, cut_at, keep: int = 0) -> Iterator[list]:
+        """Close open windows until ``keep`` are left: the emptiest are cut to fill the fullest.
+
+        Every window closed is full, but for the last one where ``keep`` is 0. ``cut_at(piece, n)`` -> two pieces.
+        """
         left = [w for level in sorted(self.open) for w in self.open[level] if w]
-        size = lambda w: sum(p[1] for p in w)
-        fills = [size(w) for w in left]
+        fills = [sum(p[1] for p in w) for w in left]
         low, high = 0, len(left) - 1
-        while low < high:
+        while low < high and high - low + 1 > keep:
             room = self.window - fills[high]
             while room and low < high:
                 piece = left[low].pop()
@@ -158,15 +156,23 @@ class SumOfSquares:
                     left[low].append(rest)
                 left[high].append(piece)
                 fills[low] -= piece[1]
+                fills[high] += piece[1]
                 room -= piece[1]
                 if not left[low]:
                     low += 1
+            if room and keep:                                    # the only one left, not full
+                break
             yield left[high]
             high -= 1
-        if low == high and left[low]:
-            yield left[low]
         self.open.clear()
         self.count[:] = 0
+        if not keep and low == high and left[low]:
+            yield left[low]
+        elif keep:
+            for i in range(low, high + 1):
+                if left[i]:
+                    self.open.setdefault(fills[i], []).append(left[i])
+                    self.count[fills[i]] += 1
 
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -216,6 +222,9 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
                     length = len(piece) // 4
                     if full := packer.place((doc, length, start, total, piece), length):
                         emit(full)
+                if packer.n_open > MAX_OPEN:
+                    for full in packer.settle(cut_at, MAX_OPEN // 2):
+                        emit(full)
                 if len(rows) >= FLUSH_ROWS:
                     yield batch()
         for full in packer.settle(cut_at):

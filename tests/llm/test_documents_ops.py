@@ -334,3 +334,28 @@ def test_mix_runs_no_python(spark):
     from precis.llm.mixing import mixed_rows
     plan = mixed_rows(corpus(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_open_windows_are_bounded():
+    """Rests above half a window never share one: settled early, every window but the last is full, no token is lost."""
+    from precis.llm import packing as K
+    rng = np.random.default_rng(7)
+    packer, closed, most = K.SumOfSquares(100), [], 0
+
+    def cut_at(piece, n):
+        return (piece[0], n, piece[2]), (piece[0], piece[1] - n, piece[2] + n)
+    lengths = [60] * 5_000 + [int(v) for v in rng.integers(51, 100, 5_000)]
+    for d, n in enumerate(lengths):
+        if full := packer.place((d, n, 0), n):
+            closed.append(full)
+        if packer.n_open > 64:
+            closed.extend(packer.settle(cut_at, 32))
+        most = max(most, packer.n_open)
+    closed.extend(packer.settle(cut_at))
+    assert most <= 65 and packer.n_open == 0
+    assert [sum(p[1] for p in w) for w in closed[:-1]] == [100] * (len(closed) - 1)
+    at = Counter()
+    for w in closed:
+        for d, n, _ in w:
+            at[d] += n
+    assert at == Counter(dict(enumerate(lengths)))
