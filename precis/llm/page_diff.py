@@ -8,10 +8,11 @@
    whose path shares the longer prefix (ties: the one before). All pages of a run of copies are paired so.
 3. The blocks of the two pages are aligned by longest common subsequence (bit-parallel, in linear space for huge pages).
    Blocks on it are shared: the site's, not the page's.
-4. A page keeps its article blocks and the blocks that the markup says nothing of, unless they are shared: of these, the
-   latter go on every page, with a marked article or without, and in articles short lines without a sentence's end go.
-   Shared sentences of an article stay (many articles quote the same passages), and so does all of an article that
-   shares most of its text with the neighbour's: the two are copies of one article.
+4. A page keeps its article blocks and the blocks that the markup says nothing of, unless they are shared. Of the latter,
+   shared ones go on every page, with a marked article or without. In an article only lines without a sentence's end go,
+   and only if both neighbours have them: the site puts them into every article. Headings of an article stay, shared
+   sentences stay (many articles quote the same passages), and so does all of an article that shares most of its text
+   with the neighbour's: the two are copies of one article.
 
 The order is cut into chunks by sampled splitters, so a host with a third of all pages is spread over tasks. A first pass
 reads digests of the blocks and tells which pages are the neighbours of a chunk's first and last run, however many chunks
@@ -39,8 +40,6 @@ PAGES_PER_CHUNK = 500
 MAX_CHUNKS = 4_000
 OVERSAMPLE = 8
 LCS_CELLS = 200_000_000
-#: Characters of a shared line without a sentence's end, at most, for it to be the site's inside an article.
-SITE_LINE = 80
 
 #: Elements whose content is no markup: it runs to the end tag, or without one to the end of the page.
 _RAW = "script|style|textarea|iframe"
@@ -61,23 +60,35 @@ masthead comment comments commentlist disqus reply replies respond share sharing
 subscribe subscription signup login search pagination pager toolbar widget widgets copyright disclaimer skip hidden
 """.split())
 _HEADS = frozenset(("header", "topbar"))
+#: Words of place and shape that may stand beside a mark in a class name ("site-footer", "ad-box"); with any other word
+#: the name says something else ("share-price", "side-note", "has-sidebar", "no-ads").
+_SHAPES = frozenset("""
+area bar block body bottom box button buttons col column container content entry first footer global group header inner item
+items last left line link links list main outer page panel post primary right row secondary section site slot sticky text
+title top unit wrap wrapper
+""".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\bhidden\b", re.S | re.I)
+_MAIN_ROLE = re.compile(r"role\s*=\s*[\"']?(?:main|article)\b", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSES_P = frozenset("p div ul ol li table h1 h2 h3 h4 h5 h6 section article main blockquote pre header footer nav aside form".split())
 
 _ENDS = frozenset(".!?…。！？")
 
-FURNITURE, ARTICLE, OPEN = 0, 1, 2
+#: HEADING: a heading inside an article.
+FURNITURE, ARTICLE, OPEN, HEADING = 0, 1, 2, 3
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _marked(attributes: str, in_article: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = (m[1] or "hidden").lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & _MARKS or not in_article and words & _HEADS:
-                return True
+            for own in value.split():
+                words = {w.lower() for w in _WORD.findall(own)}
+                marks = words & _MARKS or not in_article and words & _HEADS
+                if marks and words <= _MARKS | _SHAPES | _HEADS:
+                    return True
         elif name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -106,10 +117,15 @@ def _unclosed(page: str) -> set[int]:
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
-    """(text, FURNITURE | ARTICLE | OPEN) in page order."""
+    """(text, FURNITURE | ARTICLE | HEADING | OPEN) in page order.
+
+    A class or id makes no furniture of html and body, nor of the elements around the page's first article or main.
+    """
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []                       # open elements with the kind inside them
+    by_tag = 0                                               # open elements, from the bottom, up to the last furniture tag
+    seen_article = False
     kind = OPEN
     at = 0
     unclosed = _unclosed(page)
@@ -155,11 +171,20 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 stack.pop()
             inside = stack[-1][1] if stack else OPEN
             attributes = m[4] or ""
-            if inside != FURNITURE:
-                if name in _FURNITURE or name == "header" and inside != ARTICLE or attributes and _marked(attributes, inside == ARTICLE):
-                    inside = FURNITURE
-                elif name in ("article", "main") or attributes and re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes, re.I):
-                    inside = ARTICLE
+            by_tag = min(by_tag, len(stack))
+            in_article = inside in (ARTICLE, HEADING)
+            tagged = name in _FURNITURE or name == "header" and not in_article
+            marked = bool(attributes) and name not in ("html", "body") and _marked(attributes, in_article)
+            article = name in ("article", "main") or bool(attributes) and bool(_MAIN_ROLE.search(attributes))
+            if inside != FURNITURE and (tagged or marked):
+                inside = FURNITURE
+                by_tag = len(stack) + 1 if tagged else by_tag
+            elif inside == FURNITURE and tagged:
+                by_tag = len(stack) + 1
+            elif article and not marked and (inside != FURNITURE or not by_tag and not seen_article):
+                inside, seen_article = ARTICLE, True
+            elif name in _HEADINGS and inside == ARTICLE:
+                inside = HEADING
             stack.append((name, inside))
         kind = stack[-1][1] if stack else OPEN
     if at < len(page):
@@ -244,30 +269,33 @@ def _common_prefix(a: str, b: str) -> int:
     return n
 
 
-def _site_line(text: str) -> bool:
-    """Short and without a sentence's end, as the lines are that a site puts into its articles."""
-    return text.rstrip("\"'”’»)]")[-1:] not in _ENDS and len(text) <= SITE_LINE
+def _no_sentence(text: str) -> bool:
+    return text.rstrip("\"'”’»)]")[-1:] not in _ENDS
 
 
-def main_text(texts: list[str], kinds: list[int], common: set[int]) -> str:
-    """Text of a page whose blocks ``common`` are shared with its neighbour."""
+def main_text(texts: list[str], kinds: list[int], common: set[int], everywhere: set[int]) -> str:
+    """Text of a page whose blocks ``common`` are shared with its neighbour, and ``everywhere`` with both neighbours."""
     own = range(len(texts))
-    article = [i for i in own if kinds[i] == ARTICLE]
+    article = [i for i in own if kinds[i] in (ARTICLE, HEADING)]
     size = sum(len(texts[i]) for i in article)
     copied = 2 * sum(len(texts[i]) for i in article if i in common) > size      # two copies of one article
-    return " ".join(texts[i] for i in own if kinds[i] != FURNITURE and (
-        i not in common or kinds[i] == ARTICLE and (copied or not _site_line(texts[i]))))
+
+    def stays(i: int) -> bool:
+        if kinds[i] == OPEN:
+            return i not in common
+        return kinds[i] == HEADING or kinds[i] == ARTICLE and (copied or i not in everywhere or not _no_sentence(texts[i]))
+
+    return " ".join(texts[i] for i in own if stays(i))
 
 
 def run_texts(texts: list[str], pages: list[tuple], before: tuple | None, after: tuple | None):
     """(page_id, url, text) of a run's pages (page_id, url, path, kinds) given its neighbours (path, texts) on the host."""
     near = [p for p in (before, after) if p is not None]
-    common: dict[int, set[int]] = {}
+    common = [set(shared(texts, p[1])) for p in near]
+    everywhere = common[0] & common[1] if len(near) == 2 and near[0][1] != near[1][1] else set()
     for page_id, url, path, kinds in pages:
         k = max(range(len(near)), key=lambda i: _common_prefix(path, near[i][0]), default=-1)
-        if k not in common:
-            common[k] = set(shared(texts, near[k][1])) if near else set()
-        yield page_id, url, main_text(texts, kinds, common[k])
+        yield page_id, url, main_text(texts, kinds, common[k] if near else set(), everywhere)
 
 
 def _digest(texts: list[str]) -> str:

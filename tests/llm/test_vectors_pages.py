@@ -140,12 +140,12 @@ def test_differencing_without_marked_article(spark):
 
 
 def test_markup_is_left_out():
-    from precis.llm.page_diff import ARTICLE, blocks
+    from precis.llm.page_diff import ARTICLE, HEADING, blocks
     html = ("<body><header><h1>Site</h1></header><nav><ul><li>Menu</ul></nav><!-- <p>no</p> --><main><h1>Title</h1>"
             "<p>One <b>bo</b>ld&nbsp;&lt;x&gt;\n text<br>next<script>var a = '</p>';</script><p>Two<div class='share-bar'>Share</div>"
             "<div id=comments><p>Nice!</p></div><form><p>Mail</p></form><aside>Side</aside><p class=\"ad\">Buy</p><p>Three</main>"
             "<div role='dialog'>Cookies</div><footer>Foot</footer>")
-    assert [t for t, k in blocks(html) if k == ARTICLE] == ["Title", "One bold <x> text", "next", "Two", "Three"]
+    assert [t for t, k in blocks(html) if k in (ARTICLE, HEADING)] == ["Title", "One bold <x> text", "next", "Two", "Three"]
 
 
 def test_hot_host_over_many_chunks(spark, monkeypatch):
@@ -186,3 +186,32 @@ def test_url_trees_learn_held_out_labels(spark):
     assert len(got) == both.count()
     none = url_trees.judge(pages.limit(0))
     assert none.count() == 0 and none.columns == ["page_id", "host", "path", "rule", "verdict"]
+
+
+def test_differencing_loses_no_main_text():
+    """Names that only look like furniture, wrappers of the article, and headings that articles have in common."""
+    from precis.llm import page_diff as P
+
+    def text(page, *others):
+        found, near = P.blocks(page), [P.blocks(o) for o in others]
+        common = [set(P.shared([t for t, _ in found], [t for t, _ in n])) for n in near]
+        both = common[0] & common[1] if len(near) == 2 else set()
+        return P.main_text([t for t, _ in found], [k for _, k in found], common[0] if near else set(), both)
+
+    article = "<article><h1>Title</h1><p>Some text.</p></article>"
+    for wrapper in ('<body class="has-sidebar">%s</body>', '<body class="no-ads">%s</body>', '<body class="menu">%s</body>',
+                    '<body><div class="page-menu-open">%s</div></body>', '<div id="sidebar-menu">%s</div>'):
+        assert text(wrapper % article) == "Title Some text."
+    for name in ("share-price", "side-note", "ad-hoc", "cookie-recipe", "search-results-summary"):
+        assert text(f'<article><p class="{name}">Kept here.</p><p>More.</p></article>') == "Kept here. More."
+    for name in ("ad", "ad-box", "site-footer", "left sidebar", "cookieBanner", "comments-list"):
+        assert text(f'<article><p>One.</p><div class="{name}">Gone.</div><p>Two.</p></article>') == "One. Two."
+    assert text('<article><p>One.</p></article><div class="related"><article><p>Teaser.</p></article></div>') == "One."
+    headed = ["<article><h2>Release notes</h2><p>Body %d is here.</p><h2>Installation</h2><p>Python 3.13</p><p>More of %d.</p></article>" % (i, i)
+              for i in range(3)]
+    assert text(headed[0], headed[1]) == "Release notes Body 0 is here. Installation Python 3.13 More of 0."
+    assert "Release notes Body 0 is here. Installation" in text(*headed)
+    # a menu that the site hides in every article, found by both neighbours
+    site = ["<article><p>Home | News | Contact</p><p>Own words of page %d, long enough to be an article of its own.</p><p>Quoted by all.</p></article>" % i
+            for i in range(3)]
+    assert text(*site) == "Own words of page 0, long enough to be an article of its own. Quoted by all."
