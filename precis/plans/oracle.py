@@ -277,13 +277,42 @@ def all_records_ctes(labels_sql: str) -> str:
     return f"{summ},\nrecs AS MATERIALIZED ({recs})"
 
 
-def rule_predictions_sql() -> str:
+def vocabulary_ctes() -> str:
+    """voc(model, term, idf) and what it needs, from recs and split."""
+    grams = ("list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), "
+             "lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)")
+    return f"""
+tk AS (SELECT model, resume_id, list_filter({toks_of('summary')}, lambda x: NOT list_contains({stop_list()}, x)) AS t
+       FROM recs),
+gr AS (SELECT model, resume_id, unnest({grams}) AS term FROM tk),
+tf AS MATERIALIZED (SELECT model, resume_id, term, count(*) AS tf FROM gr GROUP BY model, resume_id, term),
+train AS (SELECT CAST(doc_id AS VARCHAR) AS resume_id FROM split WHERE fold = 'train'),
+ntr AS (SELECT model, count(*) AS n FROM recs WHERE resume_id IN (SELECT resume_id FROM train) GROUP BY model),
+dfq AS (SELECT model, term, count(*) AS df FROM tf WHERE resume_id IN (SELECT resume_id FROM train) GROUP BY model, term),
+voc AS (SELECT model, term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM dfq JOIN ntr USING (model)
+        WHERE df >= 3 AND df <= 0.9 * n)"""
+
+
+def unit_reports_sql() -> str:
+    """As ``rule_predictions_sql``, per model, language and source of the labelled documents, with err(model, error)."""
+    labels = "SELECT doc_id, lang AS category FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
+    records = all_records_ctes(labels).replace("\nrecs AS MATERIALIZED", "\nwhole AS MATERIALIZED") + """,
+recs AS MATERIALIZED (SELECT w.* REPLACE (w.model || '@' || d.lang || '/' || d.source AS model)
+                      FROM whole w JOIN documents d ON w.resume_id = CAST(d.doc_id AS VARCHAR))"""
+    return rule_predictions_sql(records, labels, f""",{vocabulary_ctes()},
+fc AS (SELECT r.model, count(*) FILTER (WHERE s.fold = 'train') AS tr, count(*) FILTER (WHERE s.fold = 'test') AS te
+       FROM recs r JOIN split s ON r.resume_id = CAST(s.doc_id AS VARCHAR) GROUP BY r.model),
+err AS (SELECT model, CASE WHEN tr = 0 OR te = 0 THEN 'Insufficient data for split'
+                           WHEN model NOT IN (SELECT model FROM voc) THEN 'After pruning, no terms remain' END AS error FROM fc)""")
+
+
+def rule_predictions_sql(records: str | None = None, labels: str = "SELECT doc_id, lang AS category FROM documents",
+                         more: str = "") -> str:
     """preds(model, doc_id, y_true, y_pred), recs and pc(per category) over all models' summaries."""
-    labels = "SELECT doc_id, lang AS category FROM documents"
     t = toks_of("r.summary")
     return f"""
-WITH {all_records_ctes(labels)},
-{split_ctes(labels)},
+WITH {records or all_records_ctes(labels)},
+{split_ctes(labels)}{more},
 preds AS (
   SELECT r.model, r.resume_id AS doc_id, r.category AS y_true,
          CASE WHEN list_has_any({t}, ['the', 'and', 'of']) THEN 'en'
@@ -395,20 +424,9 @@ FROM recs GROUP BY model"""
                                        "SELECT doc_id, category, fold FROM split")
 
     labels = "SELECT doc_id, lang AS category FROM documents"
-    grams = ("list_concat(t, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), "
-             "lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)")
     out["tfidf_features"] = f"""
 WITH {all_records_ctes(labels)},
-{split_ctes("SELECT DISTINCT resume_id AS doc_id, category FROM recs")},
-tk AS (SELECT model, resume_id, list_filter({toks_of('summary')}, lambda x: NOT list_contains({stop_list()}, x)) AS t
-       FROM recs),
-gr AS (SELECT model, resume_id, unnest({grams}) AS term FROM tk),
-tf AS MATERIALIZED (SELECT model, resume_id, term, count(*) AS tf FROM gr GROUP BY model, resume_id, term),
-train AS (SELECT CAST(doc_id AS VARCHAR) AS resume_id FROM split WHERE fold = 'train'),
-ntr AS (SELECT model, count(*) AS n FROM recs WHERE resume_id IN (SELECT resume_id FROM train) GROUP BY model),
-dfq AS (SELECT model, term, count(*) AS df FROM tf WHERE resume_id IN (SELECT resume_id FROM train) GROUP BY model, term),
-voc AS (SELECT model, term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM dfq JOIN ntr USING (model)
-        WHERE df >= 3 AND df <= 0.9 * n),
+{split_ctes("SELECT DISTINCT resume_id AS doc_id, category FROM recs")},{vocabulary_ctes()},
 w AS (SELECT tf.model, tf.resume_id, tf.term, tf.tf * voc.idf AS w FROM tf JOIN voc USING (model, term)),
 nrm AS (SELECT model, resume_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY model, resume_id)
 SELECT model, resume_id, term, round(w / nrm, 6) AS tfidf FROM w JOIN nrm USING (model, resume_id)"""
@@ -432,15 +450,15 @@ FROM pc GROUP BY model"""
         f"round(coalesce(avg(f1_score) FILTER (WHERE category = {lit(c)}), 0.0), 6) AS {c}" for c in languages) \
         + " FROM pc GROUP BY model"
 
-    failed = lit(Q.FAILED_MODEL)
-    out["success_rows"] = base + f"""
+    units = unit_reports_sql()
+    out["success_rows"] = units + """
 SELECT model, round(sum(recall * support) / sum(support), 6) AS accuracy,
        round(sum(f1_score * support) / sum(support), 6) AS f1_weighted, round(avg(f1_score), 6) AS f1_macro
-FROM pc WHERE model <> {failed} GROUP BY model"""
-    out["error_rows"] = base + f"""
-SELECT DISTINCT model, 'Insufficient data for split' AS error FROM pc WHERE model = {failed}"""
-    out["successful_categories"] = base + f"""
-SELECT model, category, round(f1_score, 6) AS f1_score, support FROM pc WHERE model <> {failed}"""
+FROM pc JOIN err USING (model) WHERE error IS NULL GROUP BY model"""
+    out["error_rows"] = units + """
+SELECT model, error FROM err WHERE error IS NOT NULL"""
+    out["successful_categories"] = units + """
+SELECT model, category, round(f1_score, 6) AS f1_score, support FROM pc JOIN err USING (model) WHERE error IS NULL"""
 
     out["efficiency_report"] = f"""
 WITH t AS (SELECT event_type AS model, value AS elapsed_s FROM events),
