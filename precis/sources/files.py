@@ -140,8 +140,8 @@ def load_labels(spark: SparkSession, csv_path: str, id_col: str = "ID",
 
 
 def write_summaries(summaries: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    """A5: (model, doc_id, summary) as Parquet partitioned by model."""
-    summaries.write.mode(mode).partitionBy("model").parquet(out_dir)
+    """A5: (model, doc_id, summary) as Parquet partitioned by model; overwriting replaces the models written, no others."""
+    summaries.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(out_dir)
 
 
 def read_summary_tree(spark: SparkSession, base_dir: str) -> DataFrame:

@@ -79,3 +79,50 @@ def test_write_sinks(spark):
 def test_file_bodies_are_not_shuffled(spark):
     plan = FS.discover(spark, _tree(), with_content=True)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_summary_tree_round_trip(spark):
+    """A5 -> A6 by both path rules; a second write replaces its files and leaves other models alone."""
+    from precis.sources.tree import write_summary_tree
+    for preserve in (True, False):
+        out = tempfile.mkdtemp(prefix="precis-tree-") + "/summaries"
+        rows = [("luhn", "A/B/x.txt", "Été.\nTwo."), ("luhn", "y.txt", "Three."), ("kl", "A/B/x.txt", "Four."), ("kl", "e.txt", None)]
+        df = spark.createDataFrame(rows, "model string, rel_path string, summary string")
+        write_summary_tree(df.repartition(3), out, preserve)
+        read = lambda: sorted(tuple(r) for r in FS.read_summary_tree(spark, out).collect())
+        ids = ["x", "y"] if preserve else ["A_B_x", "y"]
+        assert read() == [("kl", ids[0], "Four."), ("luhn", ids[0], "Été.\nTwo."), ("luhn", "y", "Three.")]
+        assert os.path.exists(f"{out}/luhn/A/B/x_summary.txt" if preserve else f"{out}/luhn/A_B_x_summary.txt")
+        assert os.path.exists(f"{out}/_SUCCESS") and os.listdir(f"{out}/_temporary") == []
+        write_summary_tree(df.where("model = 'kl' AND summary IS NOT NULL").selectExpr("model", "rel_path", "'Five.' AS summary"), out, preserve)
+        assert read() == [("kl", ids[0], "Five."), ("luhn", ids[0], "Été.\nTwo."), ("luhn", "y", "Three.")]
+
+
+def test_a_failed_task_leaves_no_summary_under_its_name(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from precis.sources.tree import write_summary_tree
+    out = tempfile.mkdtemp(prefix="precis-tree-") + "/summaries"
+    bad = spark.range(4).coalesce(1).select(F.lit("m").alias("model"), F.concat("id", F.lit(".txt")).alias("rel_path"),
+                                            F.when(F.col("id") == 3, F.raise_error(F.lit("broken"))).otherwise("text").alias("summary"))
+    with pytest.raises(Exception):
+        write_summary_tree(bad, out)
+    assert FS.read_summary_tree(spark, out).count() == 0 and not os.path.exists(f"{out}/_SUCCESS")
+
+
+def test_rewriting_one_model_leaves_the_others(spark):
+    out = tempfile.mkdtemp(prefix="precis-parquet-") + "/summaries"
+    df = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "model string, doc_id long, summary string")
+    FS.write_summaries(df, out)
+    FS.write_summaries(df.where("model = 'a'").selectExpr("model", "doc_id", "'z' AS summary"), out)
+    assert sorted((r.model, r.summary) for r in spark.read.parquet(out).collect()) == [("a", "z"), ("b", "y")]
+
+
+def test_first_category_by_order(spark):
+    from precis.operators.split import stratified_split
+    rows = [("1", "x", 2), ("1", "y", 1), ("2", "x", 1), ("3", "y", 5), ("4", "x", 3), ("4", "y", 3)]
+    recs = spark.createDataFrame(rows, "doc_id string, category string, at int")
+    first = lambda **o: {r.doc_id: r.category for r in stratified_split(recs, **o).collect()}
+    assert first(order_col="at") == {"1": "y", "2": "x", "3": "y", "4": "x"}
+    assert first()["1"] == "x"
