@@ -85,8 +85,7 @@ def english_stop_words() -> tuple[str, ...]:
 def remove_stop_words(tokens, stop_words=None) -> Column:
     """Drop stop words from a token array, keeping order and duplicates."""
     words = stop_words if stop_words is not None else english_stop_words()
-    stop = F.array(*[F.lit(w) for w in words])
-    return F.filter(_c(tokens), lambda x: ~F.array_contains(stop, x))
+    return F.filter(_c(tokens), lambda x: ~x.isin(*words))        # a hash set, not a scan of the list per token
 
 
 def bigrams(tokens) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from precis.functions.text import token_array
 from precis.operators import docrank, graph
 from precis.operators.sentences import named, sentences as split_sentences, tokens as split_tokens
-from precis.operators.topk import SCORE_DP, assemble, rank_key, top_k, with_all_documents
+from precis.operators.topk import SCORE_DP, assemble, rank_key, top_k
 from precis.session import materialize
 
 LUHN_MAX_GAP = 4        # insignificant words allowed inside a cluster
@@ -40,14 +40,14 @@ class Corpus:
     """Documents (doc_id, text) and what the summarisers share; every frame is built when first asked for.
 
     ``sents`` and ``toks`` are the sentence and token frames (with ``persist`` the former is written to the checkpoint
-    folder). Summarisers that rank whole documents in a row (``docrank.METHODS``) are scored together, in one pass, for
-    all names in ``together``.
+    folder). Summarisers that rank whole documents in a row (``docrank.METHODS``, ``IN_ROW_KEYS``) are computed together,
+    in one pass, for all names in ``together``.
     """
 
     def __init__(self, docs: DataFrame, persist: bool = False, together: tuple[str, ...] = ()):
         self.docs = docs
         self.persist = persist
-        self.together = tuple(m for m in together if m in docrank.METHODS)
+        self.together = tuple(m for m in together if m in docrank.METHODS or m in IN_ROW_KEYS)
         self._shared: dict = {}
 
     @classmethod
@@ -81,15 +81,37 @@ class Corpus:
         """(doc_id, summary, elapsed_s) by a method that ranks a document in its row; documents without sentences go."""
         if method not in self.together:
             return self._ranked((method,), k, params).select("doc_id", F.col(method).alias("summary"), F.col(f"{method}_s").alias("elapsed_s"))
+        return self._shared_pass(k, params).select("doc_id", F.col(method).alias("summary"), F.col(f"{method}_s").alias("elapsed_s"))
+
+    def _shared_pass(self, k: int, params: dict) -> DataFrame:
         key = (k, tuple(sorted(params.items())))         # one pass per set of options
         if key not in self._shared:
             self._shared[key] = materialize(self._ranked(self.together, k, params))       # summaries only
-        return self._shared[key].select("doc_id", F.col(method).alias("summary"), F.col(f"{method}_s").alias("elapsed_s"))
+        return self._shared[key]
+
+    def by_key(self, method: str, k: int) -> DataFrame:
+        """(doc_id, summary) by a method that is a mere expression of the sentence."""
+        if method in self.together and any(m in docrank.METHODS for m in self.together) and not self.has_giants:
+            return self._shared_pass(k, PARAMS).select("doc_id", F.col(method).alias("summary"))
+        return _pick_in_row(self.docs, IN_ROW_KEYS[method], k)
+
+    @cached_property
+    def ids(self) -> DataFrame:
+        """(doc_id) of the non-empty documents, kept where several models need them."""
+        ids = self.docs.where(F.length("text") > 0).select("doc_id")
+        return materialize(ids) if self.together else ids
+
+    def all_documents(self, summaries: DataFrame) -> DataFrame:
+        """Every non-empty document gets a row; no sentence -> empty summary."""
+        return self.ids.join(summaries, "doc_id", "left").select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"))
 
     def _ranked(self, methods: tuple[str, ...], k: int, params: dict) -> DataFrame:
-        rows = docrank.scored(self.rows, methods, k=k, **params).where(F.size("sents") > 0)
-        return rows.select("doc_id", *[docrank.best_sentences(F.col("sents"), F.col(f"scored.{m}"), k, SCORE_DP).alias(m) for m in methods],
-                           *[F.col(f"scored.{m}_s").alias(f"{m}_s") for m in methods])
+        ranked = tuple(m for m in methods if m in docrank.METHODS)
+        keys = [m for m in methods if m in IN_ROW_KEYS]
+        rows = docrank.scored(self.rows, ranked, k=k, **params).where(F.size("sents") > 0)
+        return rows.select("doc_id", *[docrank.best_sentences(F.col("sents"), F.col(f"scored.{m}"), k, SCORE_DP).alias(m) for m in ranked],
+                           *[F.col(f"scored.{m}_s").alias(f"{m}_s") for m in ranked],
+                           *[_best_by_key(F.col("sents"), IN_ROW_KEYS[m], k).alias(m) for m in keys])
 
 
 def _with_zero(sents: DataFrame, scores: DataFrame) -> DataFrame:
@@ -103,15 +125,37 @@ def _pick(sents: DataFrame, scores: DataFrame, k: int, descending: bool = True)
     return assemble(top_k(_with_zero(sents, scores), k, rank_key("score", descending)))
 
 
+def _best_by_key(sents, key: Callable, k: int):
+    """The k sentences with the smallest (key(sentence), sent_id), in document order."""
+    keyed = F.transform(sents, lambda s: F.struct(key(s).alias("key"), s["sent_id"].alias("sent_id"), s["sentence"].alias("sentence")))
+    best = F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: F.struct(s["sent_id"], s["sentence"]))
+    return F.array_join(F.transform(F.array_sort(best), lambda s: s["sentence"]), " ")
+
+
 def _pick_in_row(docs: DataFrame, key: Callable, k: int) -> DataFrame:
     """(doc_id, summary) from the k sentences with the smallest (key(sentence), sent_id); one expression per document."""
-    keyed = F.transform(docrank.sentence_structs(F.col("text")),
-                        lambda s: F.struct(key(s).alias("key"), s["sent_id"].alias("sent_id"), s["sentence"].alias("sentence")))
-    best = F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: F.struct(s["sent_id"], s["sentence"]))
-    return (docs.select("doc_id", F.array_join(F.transform(F.array_sort(best), lambda s: s["sentence"]), " ").alias("summary"))
+    return (docs.select("doc_id", _best_by_key(docrank.sentence_structs(F.col("text")), key, k).alias("summary"))
             .where(F.col("summary") != ""))
 
 
+def _lsa_key(s):
+    """All topics kept: minus the norm of the sentence's term counts, from runs in its sorted tokens."""
+    zero = F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
+    runs = F.aggregate(F.array_sort(token_array(s["sentence"])), zero, lambda a, w: F.struct(
+        w.alias("w"), F.when(a["w"] == w, a["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"),
+        F.when(a["w"] == w, a["t"]).otherwise(a["t"] + a["n"] * a["n"]).alias("t")))
+    return -F.round(F.sqrt(F.aggregate(F.array(runs), F.lit(0).cast("long"), lambda a, r: r["t"] + r["n"] * r["n"])
+                           .cast("double")), SCORE_DP)
+
+
+def _random_key(seed: int) -> Callable:
+    """Seeded md5 of (doc_id, sent_id)."""
+    return lambda s: F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), s["sent_id"].cast("string"), F.lit(str(seed))))
+
+
+RANDOM_SEED = 42
+IN_ROW_KEYS: dict[str, Callable] = {"lsa": _lsa_key, "random": _random_key(RANDOM_SEED)}      # the smallest key is best
+
 PARAMS = {"iterations": 20, "damping": graph.DAMPING, "threshold": graph.LEXRANK_THRESHOLD, "delta": KL_DELTA,
           "min_freq": LUHN_MIN_FREQ, "max_gap": LUHN_MAX_GAP}
 
@@ -213,15 +257,8 @@ def luhn(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
 
 
 def lsa(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
-    """All topics kept: norm of the sentence's term counts, from runs in its sorted tokens."""
-    def key(s):
-        zero = F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("t"))
-        runs = F.aggregate(F.array_sort(token_array(s["sentence"])), zero, lambda a, w: F.struct(
-            w.alias("w"), F.when(a["w"] == w, a["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"),
-            F.when(a["w"] == w, a["t"]).otherwise(a["t"] + a["n"] * a["n"]).alias("t")))
-        return -F.round(F.sqrt(F.aggregate(F.array(runs), F.lit(0).cast("long"), lambda a, r: r["t"] + r["n"] * r["n"])
-                               .cast("double")), SCORE_DP)
-    return _pick_in_row(c.docs, key, k)
+    """All topics kept: norm of the sentence's term counts."""
+    return c.by_key("lsa", k)
 
 
 def lsa_rank(c: Corpus, k: int = DEFAULT_K, topics: int | None = None) -> DataFrame:
@@ -252,10 +289,9 @@ def lexrank(c: Corpus, k: int = DEFAULT_K, iterations: int = 20) -> DataFrame:
     return lexrank_timed(c, k, iterations).drop("elapsed_s")
 
 
-def random(c: Corpus, k: int = DEFAULT_K, seed: int = 42) -> DataFrame:
+def random(c: Corpus, k: int = DEFAULT_K, seed: int = RANDOM_SEED) -> DataFrame:
     """Lowest seeded md5 of (doc_id, sent_id)."""
-    doc = F.col("doc_id").cast("string")
-    return _pick_in_row(c.docs, lambda s: F.md5(F.concat_ws(":", doc, s["sent_id"].cast("string"), F.lit(str(seed)))), k)
+    return c.by_key("random", k) if seed == RANDOM_SEED else _pick_in_row(c.docs, _random_key(seed), k)
 
 
 def kl_timed(c: Corpus, k: int = DEFAULT_K, delta: float = KL_DELTA) -> DataFrame:
@@ -413,7 +449,7 @@ def summarize(docs: DataFrame, models: list[str], k: int = DEFAULT_K, id_col: st
     out = None
     for m in chosen:
         if m in EXTRACTIVE:
-            part = with_all_documents(corpus.docs, EXTRACTIVE[m](corpus, k, **opts.get(m, {})))
+            part = corpus.all_documents(EXTRACTIVE[m](corpus, k, **opts.get(m, {})))
         else:
             part = abstractive(corpus.docs, m, ABSTRACTIVE[m], input_max_length, summary_max_length)
         part = part.select(F.lit(m).alias("model"), "doc_id", "summary")

@@ -18,7 +18,6 @@ from precis.operators import summarizers as S
 from precis.operators.efficiency import efficiency_report
 from precis.operators.sentences import segment, sentences, tokens
 from precis.operators.split import stratified_split
-from precis.operators.topk import with_all_documents
 from precis.session import materialize, ship_package
 from precis.sources import files
 from precis.sources.tables import table
@@ -55,7 +54,7 @@ def _corpus(spark, sf, together: tuple[str, ...] = ()) -> S.Corpus:
 def _summary(name, fn):
     def q(spark, sf):
         c = _corpus(spark, sf)
-        return with_all_documents(c.docs, fn(c))
+        return c.all_documents(fn(c))
     q.__name__ = name
     return q
 
@@ -136,7 +135,7 @@ def _summaries(spark, sf):
     c = _corpus(spark, sf, tuple(MODELS))
     out = None
     for m in MODELS:
-        part = with_all_documents(c.docs, S.EXTRACTIVE[m](c, K)).select(F.lit(m).alias("model"), "*")
+        part = c.all_documents(S.EXTRACTIVE[m](c, K)).select(F.lit(m).alias("model"), "*")
         out = part if out is None else out.unionByName(part)
     return out
 
