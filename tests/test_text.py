@@ -124,12 +124,21 @@ def test_stop_words_list():
     assert "the" in words and "and" in words and len(words) > 100
 
 
-def test_segment_block_scan_independent_of_block_size(spark):
+def test_segment_is_independent_of_batches_and_partitions(spark):
     from table_paths import SF_TINY
     from precis.plans.queries import QUERY_SECTION_RULES
     docs = spark.read.parquet(f"{SF_TINY}/documents.parquet").select("doc_id", "text")
     a = {tuple(r) for r in segment(docs, QUERY_SECTION_RULES).collect()}
-    b = {tuple(r) for r in segment(docs, QUERY_SECTION_RULES, block=3).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        b = {tuple(r) for r in segment(docs.repartition(5), QUERY_SECTION_RULES).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert a == b
-    s = spark.createDataFrame([(1, SEG_TEXT)], "doc_id long, text string")
-    assert {tuple(r) for r in segment(s, block=2).collect()} == {tuple(r) for r in segment(s).collect()}
+    # a document's sections don't depend on the documents beside it in an Arrow batch
+    alone = sorted(tuple(r)[1:] for r in segment(spark.createDataFrame([(1, SEG_TEXT)], "doc_id long, text string")).collect())
+    among = segment(spark.createDataFrame([(0, "x"), (1, SEG_TEXT), (2, ""), (3, None), (4, SEG_TEXT), (5, "Skills")],
+                                          "doc_id long, text string").coalesce(1)).collect()
+    for i in (1, 4):
+        assert sorted(tuple(r)[1:] for r in among if r.doc_id == i) == alone
+    assert {(r.doc_id, r.section) for r in among if r.doc_id not in (1, 4)} == {(0, "header"), (5, "skills")}
