@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precis.functions.text import SENTENCE_RE, sentence_array, strip_ws, token_array
+from precis.session import ship_package
 
 SLICE_TOKENS = 200_000
 PAIRS_AT_ONCE = 2_000_000
@@ -318,6 +319,7 @@ def scores(words, methods: tuple[str, ...], **params) -> Column:
 
 def scored(docs: DataFrame, methods: tuple[str, ...], **params) -> DataFrame:
     """(doc_id, sents, scored) per non-empty document; ``sents`` is an array of (sent_id, sentence)."""
+    ship_package(docs.sparkSession)
     rows = (docs.where(F.length("text") > 0).select("doc_id", sentence_structs(F.col("text")).alias("sents"))
             .withColumn("words", F.transform("sents", lambda s: token_array(s["sentence"]))))
     return rows.select("doc_id", "sents", scores("words", methods, **params).alias("scored"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precis.functions.text import DEFAULT_SECTION_RULES, sentence_array, section_of, strip_ws, token_array
+from precis.session import ship_package
 
 
 def named(column: str, name: str):
@@ -78,6 +79,7 @@ def segment(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str =
     batch (the only part that isn't a JVM expression), and sections are filters of the array. Nothing is shuffled, no
     window holds a document, and memory follows the longest document.
     """
+    ship_package(docs.sparkSession)
     rules = rules or DEFAULT_SECTION_RULES
     names = list(dict.fromkeys([*(name for name, _ in rules), "header"]))
     header = names.index("header")
