@@ -12,12 +12,16 @@ coordinate pruning (on the query's largest coordinates a candidate must lie in t
 What is left is multiplied and compared exactly (integers within 2^53 in doubles). Each task returns at most k per
 query and bucket; a window keeps the k best.
 
-Vectors that are null, empty or hold null or non-finite components take no part. Vectors of different lengths: missing
-components are 0. Ties go to the smaller vec_id. Null vec_id: no part. A query's own rows (same vec_id) are no
-candidates of it; a vec_id that repeats is one query (its smallest vector). Empty table: no rows. Extra columns are ignored.
+Queries are put into chunks by their reach (floor / |query|, the shortest length that can still matter), so a bucket is
+sent only to the chunks that have a query reaching it.
 
-Tasks hold one bucket (about ``BUCKET`` candidates, more beyond ``MAX_RANGES`` buckets) and one chunk of at most ``CHUNK`` queries: the query set against
-all rows, in blocks.
+Vectors that are null or hold null or non-finite components take no part; empty ones do, with score 0. Vectors of
+different lengths: missing components are 0. Ties go to the smaller vec_id. Null vec_id: no part. Only a query's own row
+is no candidate of it: rows that repeat a vec_id are queries of their own and each other's candidates. Empty table: no
+rows. Extra columns are ignored.
+
+Tasks hold one bucket (about ``BUCKET`` candidates, more beyond ``MAX_RANGES`` buckets) and one chunk of about ``CHUNK``
+queries (more beyond ``MAX_RANGES`` chunks): the query set against all rows, in blocks.
 """
 
 from __future__ import annotations
@@ -49,11 +53,36 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return pick[np.lexsort((ids[pick], -scores[pick]))[:k]]
 
 
+def _in_ranges(rows: DataFrame, value: str, name: str, size: int) -> tuple[DataFrame, list[float]]:
+    """``rows`` with a column ``name`` that numbers groups of about ``size`` rows, and every group's largest value.
+
+    Groups are quantile ranges of ``value``, largest first; a range that came out larger is divided by a hash of the row.
+    """
+    n = rows.count()
+    size = max(size, math.ceil(n / MAX_RANGES))
+    ranges = max(1, math.ceil(n / size))
+    at = rows.agg(F.percentile_approx(value, [1 - i / ranges for i in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
+    at = sorted(set(at), reverse=True)
+    place = F.size(F.filter(F.array(*[F.lit(float(a)) for a in at]), lambda a: a > F.col(value))) if at else F.lit(0)
+    placed = rows.withColumn("range", place.cast("int"))
+    found = {r["range"]: (r["n"], r["most"]) for r in
+             placed.groupBy("range").agg(F.count("*").alias("n"), F.max(value).alias("most")).collect()}   # a row per range
+    first, parts, most = [], [], []
+    for r in range(len(at) + 1):
+        rows_in, largest = found.get(r, (0, 0.0))
+        first.append(len(most))
+        parts.append(max(1, math.ceil(rows_in / size)))
+        most += [largest] * math.ceil(rows_in / size)
+    of = lambda numbers: F.array(*[F.lit(x) for x in numbers])[F.col("range")]
+    number = of(first) + F.pmod(F.xxhash64("row"), of(parts)).cast("int")
+    return placed.withColumn(name, number).drop("range"), most
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, seed: int = 42) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``vectors(vec_id, embedding)`` where ``is_query`` holds."""
     spark = vectors.sparkSession
     e = F.col("embedding")
-    usable = (F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0)
+    usable = (F.col("vec_id").isNotNull() & e.isNotNull()
               & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     ints = F.transform(e.cast("array<double>"), lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.coalesce(usable, F.lit(False)))
@@ -61,73 +90,59 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, seed: int
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 1
     rows = cut(rows.withColumn("v", F.when(F.size("v") < dim, F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v"))))
                                .otherwise(F.col("v")))
-               .withColumn("len2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    n = rows.count()
-    per_bucket = max(BUCKET, math.ceil(n / MAX_RANGES))
-    ranges = max(1, math.ceil(n / per_bucket))
-    at = rows.agg(F.percentile_approx("len2", [1 - i / ranges for i in range(1, ranges)], 10_000)).first()[0] \
-        if ranges > 1 and n else []
-    at = sorted(set(at or []), reverse=True)
-    place = F.size(F.filter(F.array(*[F.lit(float(a)) for a in at]), lambda a: a > F.col("len2"))) if at else F.lit(0)
-    placed = rows.withColumn("range", place.cast("int"))
-    sizes = {r["range"]: (r["n"], r["longest"]) for r in
-             placed.groupBy("range").agg(F.count("*").alias("n"), F.max("len2").alias("longest")).collect()}
-    # one row per bucket on the driver: its number, its range, its longest vector
-    first, buckets = {}, []
-    for r in sorted(sizes):
-        first[r] = len(buckets)
-        buckets += [(len(buckets) + i, sizes[r][1]) for i in range(math.ceil(sizes[r][0] / per_bucket))]
-    pick = F.lit(0)
-    for r in sorted(sizes):
-        m = math.ceil(sizes[r][0] / per_bucket)
-        pick = F.when(F.col("range") == r, F.lit(first[r]) + F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")).otherwise(pick)
-    placed = placed.withColumn("bucket", pick.cast("int"))
-
-    seeds = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SEEDS).toArrow()      # bounded
-    seed_v = matrix(seeds["v"], dim) if n else np.zeros((0, dim))
-    seed_id = seeds["vec_id"].to_numpy()
+               .withColumn("len2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+               .withColumn("row", F.monotonically_increasing_id()))            # kept by the checkpoint
+    placed, longest2 = _in_ranges(rows, "len2", "bucket", BUCKET)
+    longest = [math.sqrt(x) for x in longest2]
+
+    seeds = rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "row").limit(SEEDS).toArrow()      # bounded
+    seed_v = matrix(seeds["v"], dim) if len(seeds) else np.zeros((0, dim))
+    seed_row = seeds["row"].to_numpy()
 
     def floors(batches):
         for b in batches:
-            ids, q = b.column(0).to_numpy(), matrix(b.column(1), dim)
-            low = np.full(len(ids), -np.inf)
+            own, q = b.column(0).to_numpy(), matrix(b.column(2), dim)
+            low = np.full(len(own), -np.inf)
             s = q @ seed_v.T
-            s[ids[:, None] == seed_id[None, :]] = -np.inf
+            s[own[:, None] == seed_row[None, :]] = -np.inf
             if s.shape[1] >= k:
                 low = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(low)],
-                                             names=["vec_id", "v", "len2", "low"])
-
-    queries = (rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min(F.struct("v", "len2")).alias("m"))
-               .select("vec_id", "m.v", "m.len2")
-               .mapInArrow(floors, "vec_id long, v array<double>, len2 double, low double"))
-    queries = cut(queries)
-    chunks = max(1, math.ceil(queries.count() / CHUNK))
-    reachable = F.transform(
-        F.filter(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(math.sqrt(x)).alias("x")) for b, x in buckets])
-                 if buckets else F.expr("array(struct(0 as b, 0D as x))"),
-                 lambda c: (F.col("low") <= 0) | (F.sqrt("len2") * c["x"] * (1 + 1e-12) >= F.col("low"))),
-        lambda c: c["b"])
-    asked = queries.select(F.explode(reachable).alias("bucket"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"),
-                           F.lit(True).alias("ask"), "vec_id", "v", "len2", "low")
-    offered = placed.select("bucket", F.explode(F.array(*[F.lit(c) for c in range(chunks)])).alias("chunk"),
-                            F.lit(False).alias("ask"), "vec_id", "v", "len2", F.lit(0.0).alias("low"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(low)], names=["row", "vec_id", "v", "len2", "low"])
+
+    queries = cut(rows.where(is_query(F.col("vec_id"))).select("row", "vec_id", "v", "len2")
+                  .mapInArrow(floors, "row long, vec_id long, v array<double>, len2 double, low double")
+                  .withColumn("reach", F.when(F.col("low") > 0, F.col("low") / F.sqrt("len2") * (1 - 1e-12)).otherwise(0.0))
+                  .withColumn("near", -F.col("reach")))
+    queries, nearest = _in_ranges(queries, "near", "chunk", CHUNK)
+    buckets, chunks = len(longest), len(nearest)
+    if not buckets or not chunks:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # buckets come longest first and chunks of least reach first, so both meet a prefix of the other
+    n_asked = F.size(F.filter(F.array(*[F.lit(x) for x in longest]), lambda x: x >= F.col("reach")))
+    n_offered = F.array(*[F.lit(sum(-x <= long for x in nearest)) for long in longest])[F.col("bucket")]
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = (queries.withColumn("n", n_asked).where("n > 0")
+             .select(numbers(F.col("n")).alias("bucket"), "chunk", F.lit(True).alias("ask"), "row", "vec_id", "v", "len2", "low"))
+    offered = (placed.withColumn("n", n_offered).where("n > 0")
+               .select("bucket", numbers(F.col("n")).alias("chunk"), F.lit(False).alias("ask"), "row", "vec_id", "v", "len2",
+                       F.lit(0.0).alias("low")))
 
     def answer(g: pa.Table) -> pa.Table:
         ask = g["ask"].to_numpy()
-        ids, v, len2, low = g["vec_id"].to_numpy(), matrix(g["v"], dim), g["len2"].to_numpy(), g["low"].to_numpy()
+        ids, row, v, len2, low = g["vec_id"].to_numpy(), g["row"].to_numpy(), matrix(g["v"], dim), g["len2"].to_numpy(), g["low"].to_numpy()
         cand = np.flatnonzero(~ask)
         cand = cand[np.argsort(-len2[cand], kind="stable")]
-        c_id, c_v, c_len = ids[cand], v[cand], np.sqrt(len2[cand])
+        c_id, c_row, c_v, c_len = ids[cand], row[cand], v[cand], np.sqrt(len2[cand])
         c_unit = c_v / np.maximum(c_len, 1e-300)[:, None]
-        out_q, out_id, out_s = [], [], []
+        out_q, out_row, out_id, out_s = [], [], [], []
 
-        def keep(q, own, s):
-            ok = (own != ids[q]) & (s >= low[q])
-            s, own = s[ok], own[ok]
-            best = _top(s, own, k)
+        def keep(q, which, s):
+            ok = (c_row[which] != row[q]) & (s >= low[q])
+            s, found = s[ok], c_id[which][ok]
+            best = _top(s, found, k)
             out_q.append(np.full(len(best), ids[q]))
-            out_id.append(own[best])
+            out_row.append(np.full(len(best), row[q]))
+            out_id.append(found[best])
             out_s.append(s[best])
 
         asking = np.flatnonzero(ask) if len(cand) else []
@@ -145,19 +160,19 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, seed: int
                 at_f = math.acos(max(-1.0, min(1.0, unit[f])))
                 some &= (c_unit[:, f] >= math.cos(min(math.pi, at_f + angle)) - 1e-9) \
                     & (c_unit[:, f] <= math.cos(max(0.0, at_f - angle)) + 1e-9)
-            keep(q, c_id[some], c_v[some] @ v[q])
+            keep(q, some, c_v[some] @ v[q])
         for s0 in range(0, len(by_length), 64):                        # length pruning
             some_q = by_length[s0:s0 + 64]
             ends = [int(np.searchsorted(-c_len, -(low[q] / math.sqrt(len2[q])) * (1 - 1e-12), side="right"))
                     if low[q] > 0 and len2[q] > 0 else len(cand) for q in some_q]
             products = v[some_q] @ c_v[:max(ends)].T
-            for q, end, row in zip(some_q, ends, products):
-                keep(q, c_id[:end], row[:end])
+            for q, end, product in zip(some_q, ends, products):
+                keep(q, slice(0, end), product[:end])
         cat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        return pa.table({"query_id": cat(out_q, np.int64), "vec_id": cat(out_id, np.int64), "score": cat(out_s, np.int64)})
+        return pa.table({"query_id": cat(out_q, np.int64), "row": cat(out_row, np.int64), "vec_id": cat(out_id, np.int64), "score": cat(out_s, np.int64)})
 
-    found = (offered.unionByName(asked).repartition(max(n_partitions(spark), min(len(buckets) * chunks, 4_000)), "bucket", "chunk")
-             .groupBy("bucket", "chunk").applyInArrow(answer, "query_id long, vec_id long, score long"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = (offered.unionByName(asked).repartition(max(n_partitions(spark), min(buckets * chunks, 4_000)), "bucket", "chunk")
+             .groupBy("bucket", "chunk").applyInArrow(answer, "query_id long, row long, vec_id long, score long"))
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -53,12 +53,15 @@ SELECT doc_id, size, CAST(NULL AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
 FROM s"""
 
 OP9 = """
-WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS x FROM embeddings
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id,
+    list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+s AS (SELECT q.vec_id AS query_id, q.row, c.vec_id,
+             CAST(CASE WHEN len(q.x) = len(c.x) AND len(q.x) > 0 THEN list_dot_product(q.x, c.x) ELSE
+               coalesce(list_sum(list_transform(list_zip(q.x, c.x, true), lambda p: p[1] * p[2])), 0) END AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 _OP11_ASSIGN = """

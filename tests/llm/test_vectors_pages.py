@@ -59,14 +59,14 @@ def brute_top_k(rows, k, step):
     dim = max(len(x) for _, x in rows)
     ids = np.array([i for i, _ in rows])
     z = np.array([[np.floor(64 * v) for v in x] + [0.0] * (dim - len(x)) for _, x in rows])
-    out = set()
+    out = []
     for n, q in enumerate(ids):
         if q % step == 0:
             s = z @ z[n]
-            other = np.flatnonzero(ids != q)
+            other = np.flatnonzero(np.arange(len(ids)) != n)
             best = other[np.lexsort((ids[other], -s[other]))][:k]
-            out |= {(int(q), r + 1, int(ids[i]), int(s[i])) for r, i in enumerate(best)}
-    return out
+            out += [(int(q), r + 1, int(ids[i]), int(s[i])) for r, i in enumerate(best)]
+    return sorted(out)
 
 
 def test_top_k_is_exact(spark, monkeypatch):
@@ -76,20 +76,38 @@ def test_top_k_is_exact(spark, monkeypatch):
     rows, vectors = planted(spark)
     scaled = spark.createDataFrame([(i, [v * (1 + i % 11) for v in x] if x and i is not None and None not in x else x, 0, 1, 2)
                                     for i, x, *_ in rows], VEC)
-    usable = [(r.vec_id, r.embedding) for r in scaled.collect() if r.vec_id is not None and r.embedding
+    usable = [(r.vec_id, r.embedding) for r in scaled.collect() if r.vec_id is not None and r.embedding is not None
               and None not in r.embedding and np.isfinite(r.embedding).all()]
     for steep in (0.8, 0.05):                    # mostly length pruning, mostly coordinate pruning
         monkeypatch.setattr(norm_topk, "STEEP", steep)
         got = norm_topk.top_k(scaled, lambda i: i % 20 == 0, k=20)
-        assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_top_k(usable, 20, 20)
+        assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top_k(usable, 20, 20)
 
 
 def test_top_k_small_and_empty(spark):
     from precis.llm.norm_topk import top_k
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (20, [0.0, 0.0])], "vec_id long, embedding array<float>")
-    got = {tuple(r) for r in top_k(few, lambda i: i % 20 == 0).collect()}
+    got = sorted(tuple(r) for r in top_k(few, lambda i: i % 20 == 0).collect())
     assert got == brute_top_k([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (20, [0.0, 0.0])], 20, 20)
     assert top_k(few.limit(0), lambda i: i % 20 == 0).count() == 0
+    assert top_k(few, lambda i: i > 99).count() == 0
+
+
+def test_top_k_repeated_ids_and_empty_vectors(spark, monkeypatch):
+    """Rows that repeat a vec_id are queries and candidates of their own; empty vectors score 0."""
+    from precis.llm import norm_topk
+    from precis.llm.oracle import OP9
+    import duckdb
+    monkeypatch.setattr(norm_topk, "BUCKET", 10)
+    monkeypatch.setattr(norm_topk, "CHUNK", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i % 45, (rng.normal(size=5) * (1 + i % 7)).tolist()) for i in range(120)]
+    rows += [(20, []), (20, rows[20][1]), (7, []), (0, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in norm_topk.top_k(df, lambda i: i % 20 == 0).collect())
+    assert got == brute_top_k(rows, 20, 20)
+    embeddings = df.toArrow()  # noqa: F841
+    assert sorted(duckdb.sql(OP9).fetchall()) == got
 
 
 # ------------------------------------------------------------------ pages
