@@ -9,6 +9,7 @@ aggregations and windows over the sentence and token frames (the
 Scoring definitions follow the original papers (see README):
   luhn      max over clusters of significant words of (count^2 / span)
   lsa       norm of the sentence's term-frequency column (all topics kept)
+  lsa_rank  the same in the space of the k strongest topics (block power iteration)
   textrank  PageRank over shared-word edges weighted by 1/(ln|Si| + ln|Sj|)
   lexrank   PageRank over tf-idf cosine edges above a threshold
   reduction sum of the sentence's TextRank edge weights
@@ -28,11 +29,12 @@ from precis.functions.text import token_array
 from precis.operators import docrank, graph
 from precis.operators.sentences import named, sentences as split_sentences, tokens as split_tokens
 from precis.operators.topk import SCORE_DP, assemble, rank_key, top_k
-from precis.session import materialize
+from precis.session import materialize, written
 
 LUHN_MAX_GAP = 4        # insignificant words allowed inside a cluster
 LUHN_MIN_FREQ = 2       # a word is significant when it occurs this often in its document
 KL_DELTA = 1.0          # additive smoothing of the summary distribution
+LSA_STEPS = 30          # steps of the block power iteration
 DEFAULT_K = 3
 
 
@@ -157,7 +159,7 @@ RANDOM_SEED = 42
 IN_ROW_KEYS: dict[str, Callable] = {"lsa": _lsa_key, "random": _random_key(RANDOM_SEED)}      # the smallest key is best
 
 PARAMS = {"iterations": 20, "damping": graph.DAMPING, "threshold": graph.LEXRANK_THRESHOLD, "delta": KL_DELTA,
-          "min_freq": LUHN_MIN_FREQ, "max_gap": LUHN_MAX_GAP}
+          "min_freq": LUHN_MIN_FREQ, "max_gap": LUHN_MAX_GAP, "topics": None, "steps": LSA_STEPS}      # no topics named: k
 
 
 def ranked_in_rows(c: Corpus, method: str, k: int, by_joins: Callable[[Corpus], DataFrame], **params) -> DataFrame:
@@ -190,32 +192,55 @@ def lsa_scores(c: Corpus) -> DataFrame:
     return tf.groupBy("doc_id", "sent_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("score"))
 
 
-def lsa_rank_scores(c: Corpus, topics: int = DEFAULT_K) -> DataFrame:
-    """J2 with ``topics`` latent dimensions: sqrt(sum_{i<r} sigma_i^2 v_ik^2).
+def lsa_rank_scores(c: Corpus, topics: int = DEFAULT_K, steps: int = LSA_STEPS) -> DataFrame:
+    """J2 with ``topics`` latent dimensions, over (doc, sent, word) rows.
 
-    The sparse term counts of one document are one group of
-    ``applyInPandas``; numpy forms the sentence Gram matrix A^T A and takes
-    its top eigenpairs (sigma_i^2, v_i). A group is one document (bounded by
-    the document's size, independent of the corpus size).
+    Block power iteration: a step takes the columns v (per sentence) to the words and back, two joins with the sparse
+    counts, and makes them orthonormal by one aggregate row per document, the columns' inner products (Cholesky factor).
+    The score is the length of A V v_k, from the inner products of the columns A V.
     """
-    tf = c.toks.groupBy("doc_id", "sent_id", "word").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-
-    def per_doc(pdf):
-        import numpy as np
-        import pandas as pd
-        sents = np.sort(pdf["sent_id"].unique())
-        words = pdf["word"].unique()
-        si = {s: i for i, s in enumerate(sents)}
-        wi = {w: i for i, w in enumerate(words)}
-        a = np.zeros((len(words), len(sents)))
-        a[pdf["word"].map(wi).to_numpy(), pdf["sent_id"].map(si).to_numpy()] = pdf["tf"].to_numpy()
-        lam, vec = np.linalg.eigh(a.T @ a)
-        order = np.argsort(lam)[::-1][:max(1, min(topics, len(sents)))]
-        lam = np.clip(lam[order], 0.0, None)
-        score = np.sqrt((vec[:, order] ** 2 * lam).sum(axis=1))
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "sent_id": sents.astype("int32"), "score": score})
-
-    return tf.groupBy("doc_id").applyInPandas(per_doc, "doc_id long, sent_id int, score double")
+    v, u = [f"v{i}" for i in range(topics)], [f"u{i}" for i in range(topics)]
+    pairs = [(i, j) for i in range(topics) for j in range(i + 1)]
+    tf = written(c.toks.groupBy("doc_id", "sent_id", "word").agg(F.count(F.lit(1)).cast("double").alias("tf")))
+    least = tf.groupBy("doc_id").agg((F.sum(F.col("tf") * F.col("tf")) * docrank.NO_TOPIC).alias("least"))
+    md5 = lambda i: F.substring(F.md5(F.concat(F.lit(f"{i}:"), "word").cast("binary")), 1, 8)
+    start = tf.select("doc_id", "word").distinct().select(
+        "doc_id", "word", *[(F.conv(md5(i), 16, 10).cast("double") / 2.0 ** 32 - 0.5).alias(u[i]) for i in range(topics)])
+
+    def words(columns):
+        return tf.join(columns, ["doc_id", "sent_id"]).groupBy("doc_id", "word").agg(
+            *[F.sum(F.col("tf") * F.col(a)).alias(b) for a, b in zip(v, u)])
+
+    def nodes(columns):
+        return tf.join(columns, ["doc_id", "word"]).groupBy("doc_id", "sent_id").agg(
+            *[F.sum(F.col("tf") * F.col(b)).alias(a) for a, b in zip(v, u)])
+
+    def products(columns, names):
+        return columns.groupBy("doc_id").agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"m{i}_{j}") for i, j in pairs])
+
+    columns = written(nodes(start))
+    for _ in range(steps):
+        columns = written(nodes(words(columns)))
+        factor = products(columns, v).join(least, "doc_id")
+        for i, j in pairs:                                   # m becomes its Cholesky factor l; l_ii = 0 where no topic is left
+            rest = F.col(f"m{i}_{j}")
+            for d in range(j):
+                rest = rest - F.col(f"l{i}_{d}") * F.col(f"l{j}_{d}")
+            entry = (F.when(F.sqrt(F.greatest(rest, F.lit(0.0))) > F.col("least"), F.sqrt(F.greatest(rest, F.lit(0.0)))) if i == j
+                     else F.when(F.col(f"l{j}_{j}") > 0, rest / F.col(f"l{j}_{j}")))
+            factor = factor.withColumn(f"l{i}_{j}", F.coalesce(entry, F.lit(0.0)))
+        columns = columns.join(factor, "doc_id")
+        for i in range(topics):
+            rest = F.col(v[i])
+            for d in range(i):
+                rest = rest - F.col(f"l{i}_{d}") * F.col(v[d])
+            columns = columns.withColumn(v[i], F.when(F.col(f"l{i}_{i}") > 0, rest / F.col(f"l{i}_{i}")).otherwise(0.0))
+        columns = columns.select("doc_id", "sent_id", *v)
+    columns = written(columns)
+    square = F.lit(0.0)
+    for i, j in pairs:
+        square = square + (1.0 if i == j else 2.0) * F.col(v[i]) * F.col(v[j]) * F.col(f"m{i}_{j}")
+    return columns.join(products(words(columns), u), "doc_id").select("doc_id", "sent_id", F.sqrt(F.greatest(square, F.lit(0.0))).alias("score"))
 
 
 def reduction_scores(c: Corpus) -> DataFrame:
@@ -261,8 +286,14 @@ def lsa(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
     return c.by_key("lsa", k)
 
 
-def lsa_rank(c: Corpus, k: int = DEFAULT_K, topics: int | None = None) -> DataFrame:
-    return _pick(c.sents, lsa_rank_scores(c, topics or k), k)
+def lsa_rank_timed(c: Corpus, k: int = DEFAULT_K, topics: int | None = None, steps: int = LSA_STEPS) -> DataFrame:
+    """The ``topics`` (default: k) strongest topics kept."""
+    return ranked_in_rows(c, "lsa_rank", k, lambda g: _pick(g.sents, lsa_rank_scores(g, topics or k, steps), k),
+                          topics=topics, steps=steps)
+
+
+def lsa_rank(c: Corpus, k: int = DEFAULT_K, topics: int | None = None, steps: int = LSA_STEPS) -> DataFrame:
+    return lsa_rank_timed(c, k, topics, steps).drop("elapsed_s")
 
 
 def reduction_timed(c: Corpus, k: int = DEFAULT_K) -> DataFrame:
@@ -413,6 +444,7 @@ def abstractive(docs: DataFrame, model: str, make_predict_fn: Callable, input_ma
 # --------------------------------------------------------------------- router
 TIMED: dict[str, Callable[..., DataFrame]] = {       # (doc_id, summary, elapsed_s): clocks of the ranking itself
     "luhn": luhn_timed, "lexrank": lexrank_timed, "textrank": textrank_timed, "kl": kl_timed, "reduction": reduction_timed,
+    "lsa_rank": lsa_rank_timed,
 }
 EXTRACTIVE: dict[str, Callable[..., DataFrame]] = {
     "luhn": luhn, "lsa": lsa, "lexrank": lexrank, "textrank": textrank,

@@ -10,8 +10,9 @@ from __future__ import annotations
 from precis.functions.text import (CLEAN_DROP, SENTENCE_RE, TOKEN_RE, WS_CLASS,
                                    english_stop_words)
 from precis.plans import queries as Q
+from precis.operators.docrank import NO_TOPIC
 from precis.operators.graph import DAMPING, LEXRANK_THRESHOLD
-from precis.operators.summarizers import KL_DELTA, LUHN_MAX_GAP, LUHN_MIN_FREQ
+from precis.operators.summarizers import KL_DELTA, LSA_STEPS, LUHN_MAX_GAP, LUHN_MIN_FREQ
 
 
 def lit(s: str) -> str:
@@ -92,6 +93,40 @@ tf AS (SELECT doc_id, sent_id, word, count(*) AS tf FROM tok GROUP BY doc_id, se
 score AS (SELECT doc_id, sent_id, sqrt(sum(tf * tf)) AS score FROM tf GROUP BY doc_id, sent_id)"""
 
 
+def lsa_rank_scores(topics: int, steps: int) -> str:
+    """CTEs ending in ``score``: block power iteration, columns made orthonormal one after the other by windows."""
+    at = range(topics)
+    tiny = f"{NO_TOPIC} * w.trace"
+    parts = ["""
+tf AS MATERIALIZED (SELECT doc_id, sent_id, word, CAST(count(*) AS DOUBLE) AS tf FROM tok GROUP BY doc_id, sent_id, word),
+whole AS MATERIALIZED (SELECT doc_id, sum(tf * tf) AS trace FROM tf GROUP BY doc_id),
+q0 AS MATERIALIZED (SELECT doc_id, sent_id, """ + ", ".join(
+        f"sum(tf * (CAST('0x' || substr(md5('{c}:' || word), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE - 0.5)) AS v{c}" for c in at)
+        + " FROM tf GROUP BY doc_id, sent_id)"]
+    to_words = ", ".join(f"sum(tf.tf * q.v{c}) AS u{c}" for c in at)
+    to_sents = ", ".join(f"sum(tf.tf * u.u{c}) AS v{c}" for c in at)
+    for t in range(1, steps + 1):
+        body = f"""SELECT tf.doc_id, tf.sent_id, {to_sents} FROM tf JOIN (
+  SELECT tf.doc_id, tf.word, {to_words} FROM tf JOIN q{t - 1} q ON tf.doc_id = q.doc_id AND tf.sent_id = q.sent_id
+  GROUP BY tf.doc_id, tf.word) u ON tf.doc_id = u.doc_id AND tf.word = u.word GROUP BY tf.doc_id, tf.sent_id"""
+        for c in at:
+            others = ", ".join(f"v{d}" for d in at if d != c)
+            along = "".join(f" - v{d} * sum(v{d} * v{c}) OVER (PARTITION BY doc_id)" for d in range(c))
+            rest = f"SELECT doc_id, sent_id{', ' + others if others else ''}, v{c}{along} AS v{c} FROM ({body}) a{c}"
+            norm = f"sqrt(sum(v{c} * v{c}) OVER (PARTITION BY x.doc_id))"
+            body = (f"SELECT x.doc_id, x.sent_id{', ' + others if others else ''}, "
+                    f"CASE WHEN {norm} > {tiny} THEN v{c} / {norm} ELSE 0.0 END AS v{c} "
+                    f"FROM ({rest}) x JOIN whole w ON x.doc_id = w.doc_id")
+        parts.append(f"q{t} AS MATERIALIZED ({body})")
+    products = ", ".join(f"sum(u{c} * u{d}) AS m{c}_{d}" for c in at for d in at)
+    square = " + ".join(f"q.v{c} * q.v{d} * h.m{c}_{d}" for c in at for d in at)
+    parts.append(f"""h AS (SELECT doc_id, {products} FROM (
+  SELECT tf.doc_id, tf.word, {to_words} FROM tf JOIN q{steps} q ON tf.doc_id = q.doc_id AND tf.sent_id = q.sent_id
+  GROUP BY tf.doc_id, tf.word) u GROUP BY doc_id),
+score AS (SELECT q.doc_id, q.sent_id, sqrt(greatest({square}, 0.0)) AS score FROM q{steps} q JOIN h ON q.doc_id = h.doc_id)""")
+    return ",\n".join(parts)
+
+
 def textrank_edges() -> str:
     return """
 lens AS (SELECT doc_id, sent_id, count(*) AS n_tok FROM tok GROUP BY doc_id, sent_id),
@@ -217,6 +252,8 @@ def summary_sql(name: str) -> str:
         body = luhn_scores() + "," + pick_sql("score", k)
     elif name == "lsa":
         body = lsa_scores() + "," + pick_sql("score", k)
+    elif name == "lsa_rank":
+        body = lsa_rank_scores(k, LSA_STEPS) + "," + pick_sql("score", k)
     elif name == "reduction":
         body = (textrank_edges() + """,
 score AS (SELECT doc_id, sent_id, sum(weight) AS score FROM (
@@ -392,7 +429,7 @@ SELECT doc_id, rel_path, preserve_path, flat_path,
        'luhn__' || regexp_replace(sf, '_summary$', '') AS unique_id
 FROM s"""
 
-    for q, m in [("summ_random", "random"), ("summ_luhn", "luhn"), ("summ_lsa_norm", "lsa"),
+    for q, m in [("summ_random", "random"), ("summ_luhn", "luhn"), ("summ_lsa_norm", "lsa"), ("summ_lsa_rank", "lsa_rank"),
                  ("summ_reduction", "reduction"), ("summ_textrank", "textrank"),
                  ("summ_lexrank", "lexrank"), ("summ_kl", "kl")]:
         out[q] = f"WITH {corpus_ctes()},{summary_sql(m)}\n{all_docs_select()}"

@@ -38,6 +38,33 @@ def test_row_scores_equal_join_scores(spark, method, joined):
     assert all(abs(v - want.get(k, 0.0)) < 1e-9 for k, v in got.items())
 
 
+def test_lsa_rank_in_rows_equals_joins(spark):
+    c = corpus(spark, TEXTS)
+    for topics, steps in ((1, 3), (3, 4), (5, 2)):
+        want = {(r.doc_id, r.sent_id): r.score for r in S.lsa_rank_scores(c, topics, steps).collect()}
+        got = by_row(c, "lsa_rank", topics=topics, steps=steps)
+        assert set(want) <= set(got) and max(want.values()) > 1
+        assert all(abs(v - want.get(k, 0.0)) < 1e-9 for k, v in got.items())
+
+
+def test_lsa_rank_picks_what_the_decomposition_picks():
+    """Scores after the default steps against numpy's eigenpairs, over documents of many sentences."""
+    rng = np.random.default_rng(1)
+    docs = [[[f"w{int(w)}" for w in rng.zipf(1.5, size=rng.integers(4, 20)) % 300] for _ in range(40)] for _ in range(30)]
+    s = R.Slice(pa.array(docs, pa.list_(pa.list_(pa.string()))))
+    got = R.lsa_rank(s, {**S.PARAMS, "k": 3})
+    same = 0
+    for i in range(len(docs)):
+        mine = s.doc == i
+        a = np.zeros((s.n_keys, len(docs[i])))
+        inc = mine[s.node]
+        a[s.key[inc], s.node[inc] - s.first[i]] = s.tf[inc]
+        lam, vec = np.linalg.eigh(a.T @ a)
+        exact = np.sqrt(vec[:, -3:] ** 2 @ lam[-3:])
+        same += len(set(np.argsort(-exact)[:3]) & set(np.argsort(-got[mine])[:3]))
+    assert same >= 0.95 * 3 * len(docs)
+
+
 def test_textrank_equals_the_rank_over_pairs(spark):
     c = S.Corpus.of(spark.read.parquet(f"{SF_TINY}/documents.parquet").where("doc_id < 60"))
     e = G.textrank_edges(c.toks).select("doc_id", "src", "dst", F.col("weight").alias("w"))
@@ -108,12 +135,13 @@ def test_small_slices_give_the_same_rows(spark, monkeypatch):
 def test_giants_are_ranked_by_joins_with_the_same_result(spark, monkeypatch):
     long = ". ".join(f"word{i % 11} thing{i % 5} name{i}" for i in range(40)) + "."
     c = corpus(spark, [*TEXTS, long])
-    want = {m: sorted(map(tuple, S.EXTRACTIVE[m](c, 3).collect())) for m in R.METHODS}
+    few = {"lsa_rank": {"steps": 3}}
+    want = {m: sorted(map(tuple, S.EXTRACTIVE[m](c, 3, **few.get(m, {})).collect())) for m in R.METHODS}
     monkeypatch.setattr(R, "GIANT_SENTENCES", 30)
     c = corpus(spark, [*TEXTS, long])
     assert c.has_giants and c.giants.docs.count() == 2
     for m in R.METHODS:
-        assert sorted(map(tuple, S.EXTRACTIVE[m](c, 3).collect())) == want[m]
+        assert sorted(map(tuple, S.EXTRACTIVE[m](c, 3, **few.get(m, {})).collect())) == want[m]
 
 
 def test_clocks_are_per_document(spark):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from precis.operators import docrank
 from precis.operators import graph as G
 from precis.operators import summarizers as S
 from precis.operators.topk import with_all_documents
@@ -156,8 +157,9 @@ def test_router_and_abstractive_hook(spark):
 def test_lsa_rank_matches_svd_and_norm(spark):
     texts = ["a1 b1 c1 a1. b1 c1 d1. d1 e1 e1. zz yy. c1 a1 e1.", "one two. two three. four four."]
     c = corpus(spark, texts)
-    got = {(r["doc_id"], r["sent_id"]): r["score"] for r in S.lsa_rank_scores(c, topics=2).collect()}
-    full = {(r["doc_id"], r["sent_id"]): r["score"] for r in S.lsa_rank_scores(c, topics=99).collect()}
+    rows = docrank.scored(c.docs, ("lsa_rank",), k=3, **{**S.PARAMS, "topics": 2, "steps": 200}).collect()
+    got = {(r.doc_id, x.sent_id): v for r in rows for x, v in zip(r.sents, r.scored["lsa_rank"])}
+    full = {(r["doc_id"], r["sent_id"]): r["score"] for r in S.lsa_rank_scores(c, topics=6, steps=2).collect()}
     norm = {(r["doc_id"], r["sent_id"]): r["score"] for r in S.lsa_scores(c).collect()}
     for key in norm:                       # all topics kept -> column norm
         assert abs(full[key] - norm[key]) < 1e-9
