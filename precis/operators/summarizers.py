@@ -24,6 +24,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from precis.functions.text import token_array
 from precis.operators import docrank, graph
@@ -388,50 +389,58 @@ def abstractive_timed(docs: DataFrame, model: str, make_predict_fn: Callable, in
     """Batched seq2seq inference; (doc_id, summary, error, elapsed_s) per non-empty document.
 
     ``make_predict_fn(model, min_length, max_length)`` is called once per
-    task and must return ``fn(np.ndarray[str]) -> np.ndarray[str]``. The task
-    prefix (B7) and word truncation (B8) run JVM-side, so Arrow ships only
-    the truncated input. A batch that fails is tried again row by row: only
+    Python worker (``predict_batch_udf`` keeps the model between tasks) and
+    must return ``fn(np.ndarray[str]) -> np.ndarray[str]``. The task prefix
+    (B7) and word truncation (B8) run JVM-side, so Arrow ships only the
+    truncated input, sorted by length within a partition: the texts of a batch
+    need little padding. A batch that fails is tried again row by row: only
     the failing documents get an empty summary and an error. ``elapsed_s`` is
     the time of the document's call (an equal share of its batch).
     """
+    from pyspark.ml.functions import predict_batch_udf
+
     from precis.functions.text import generation_bounds, task_prefix, truncate_words
 
     lo, hi = generation_bounds(summary_max_length)
 
-    def run(batches):
+    def load():
         import time
 
         import numpy as np
-        import pandas as pd
 
-        fn = None
+        fn = make_predict_fn(model, lo, hi)
 
         def call(texts):
             t0 = time.perf_counter()
             out = [("" if o is None else str(o)).strip() for o in fn(np.array(texts, dtype=object))]
-            return out, (time.perf_counter() - t0) / max(1, len(texts))
-
-        for pdf in batches:
-            fn = fn or make_predict_fn(model, lo, hi)
-            rows = []
-            for s in range(0, len(pdf), batch_size):
-                ids, texts = pdf["doc_id"].iloc[s:s + batch_size].tolist(), pdf["text"].iloc[s:s + batch_size].tolist()
-                try:
-                    out, each = call(texts)
-                    rows += [(i, o, None, each) for i, o in zip(ids, out, strict=True)]
-                except Exception:
-                    for i, t in zip(ids, texts):
-                        try:
-                            out, each = call([t])
-                            rows.append((i, out[0], None, each))
-                        except Exception as exc:
-                            rows.append((i, "", f"{type(exc).__name__}: {exc}", None))
-            yield pd.DataFrame(rows, columns=["doc_id", "summary", "error", "elapsed_s"])
-
+            if len(out) != len(texts):
+                raise ValueError(f"{len(out)} summaries for {len(texts)} texts")
+            each = (time.perf_counter() - t0) / len(texts)
+            return [(o, None, each) for o in out]
+
+        def alone(text):
+            try:
+                return call([text])[0]
+            except Exception as exc:
+                return "", f"{type(exc).__name__}: {exc}", np.nan
+
+        def predict(batch):
+            texts = batch.tolist()
+            try:
+                rows = call(texts)
+            except Exception:
+                rows = [alone(t) for t in texts]
+            summary, error, seconds = zip(*rows)
+            return {"summary": np.array(summary, dtype=object), "error": np.array(error, dtype=object), "elapsed_s": np.array(seconds)}
+
+        return predict
+
+    returns = StructType.fromDDL("summary string, error string, elapsed_s double")
+    generated = predict_batch_udf(load, return_type=returns, batch_size=batch_size)
     inp = truncate_words(task_prefix(F.lit(model), F.col("text")), input_max_length)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return (docs.where(F.length("text") > 0).select("doc_id", inp.alias("text"))
-            .mapInPandas(run, f"doc_id {kind}, summary string, error string, elapsed_s double"))
+    rows = (docs.where(F.length("text") > 0).select("doc_id", inp.alias("text"))
+            .sortWithinPartitions(F.length("text")).select("doc_id", generated("text").alias("g")))
+    return rows.select("doc_id", "g.summary", "g.error", F.nanvl("g.elapsed_s", F.lit(None).cast("double")).alias("elapsed_s"))
 
 
 def abstractive(docs: DataFrame, model: str, make_predict_fn: Callable, input_max_length: int = 1024,

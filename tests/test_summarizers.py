@@ -1,5 +1,6 @@
 """Summarisers: hand graph fixture, brute-force Luhn, PageRank vs numpy, properties."""
 import math
+import os
 import re
 
 import numpy as np
@@ -140,6 +141,34 @@ def test_one_bad_document_blanks_one_row(spark):
     assert all(r["summary"] == "alpha beta" and r["elapsed_s"] >= 0 for i, r in rows.items() if i != 3)
 
 
+def test_hook_loads_a_model_once_per_worker_and_batches_by_length(spark, tmp_path):
+    """A worker keeps its model over its tasks; the texts of a batch have neighbouring lengths."""
+    folder = str(tmp_path)
+
+    def make(model, min_length, max_length):
+        import os
+        import uuid
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def fn(batch):
+            sizes = [len(t.split()) for t in batch]
+            return np.array([f"{min(sizes)} {max(sizes)}"] * len(batch), dtype=object)
+        return fn
+
+    docs = spark.range(640, numPartitions=40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 16 + 1).cast("int")).alias("text"))
+    out = S.abstractive_timed(docs, "m", make, batch_size=4).collect()
+    loads = [name.split("-")[0] for name in os.listdir(folder)]
+    assert len(out) == 640 and len(loads) == len(set(loads)) < 40
+    spans = [r["summary"].split() for r in out]
+    assert all(int(b) - int(a) == 3 for a, b in spans)
+
+
+def test_hook_with_too_few_results_is_an_error_per_row(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(3)], "doc_id long, text string")
+    rows = S.abstractive_timed(docs, "m", lambda *_: (lambda batch: np.array([], dtype=object))).collect()
+    assert len(rows) == 3 and all(r["summary"] == "" and "0 summaries" in r["error"] and r["elapsed_s"] is None for r in rows)
+
+
 def test_router_and_abstractive_hook(spark):
     df = spark.createDataFrame([(1, "Alpha beta gamma. Delta epsilon. Zeta."), (2, "")], "doc_id long, text string")
     S.register("stub", first_words_generator(), kind="abstractive")
