@@ -5,7 +5,7 @@
 * URLs that rules decide are the labelled ones. On a bounded sample of them (``FIT_URLS``, smallest hash first) Spark
   MLlib's gradient-boosted trees learn to block from lexical features: lengths, depth, digit and letter shares, entropy,
   parameter counts, separators and suffix statistics (smoothed share of blocked URLs among labelled ones with the same
-  last label and the same last two labels, over all labelled URLs and every suffix). Suffixes stay a table that is joined:
+  last label and the same last two labels, over all labelled URLs and every suffix; a port is no part of it). Suffixes stay a table that is joined:
   the ``HOT_SUFFIXES`` most frequent by broadcast, the others, if any, by a salted join.
 * Every other URL gets the trees' verdict. Without labelled URLs: allow; with one label only: that one.
 
@@ -64,14 +64,19 @@ def features(url: str | None, host: str, path: str, share_last: float, share_two
             float(max(map(len, host.split(".")))), float("#" in url), share_last, share_two]
 
 
+def suffix_of(labels: int):
+    """The last labels of the host, without its port."""
+    return F.substring_index(F.regexp_replace("host", ":[0-9]*$", ""), ".", -labels)
+
+
 def with_shares(rows: DataFrame, shares: DataFrame, n_shares: int, prior: float) -> DataFrame:
     """``rows`` with share_last and share_two: of the host's last label and last two labels in ``shares(suffix, n, share)``."""
     hot = shares if n_shares <= HOT_SUFFIXES else cut(shares.orderBy(F.desc("n"), "suffix").limit(HOT_SUFFIXES))
     rest = None if n_shares <= HOT_SUFFIXES else (
         shares.join(hot.select("suffix"), "suffix", "left_anti").select("suffix", F.col("share").alias("rest"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    for labels, name in ((-1, "share_last"), (-2, "share_two")):
-        rows = rows.withColumn("suffix", F.substring_index("host", ".", labels))
+    for labels, name in ((1, "share_last"), (2, "share_two")):
+        rows = rows.withColumn("suffix", suffix_of(labels))
         rows = rows.join(F.broadcast(hot.select("suffix", F.col("share").alias(name))), "suffix", "left")
         if rest is not None:
             salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
@@ -93,8 +98,7 @@ def judge(pages: DataFrame, rules=RULES, seed: int = 42) -> DataFrame:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"))
 
     prior = whole.blocked / whole.n
-    label = F.substring_index("host", ".", -1), F.substring_index("host", ".", -2)
-    counted = (labelled.select(F.explode(F.array_distinct(F.array(*label))).alias("suffix"), "label")
+    counted = (labelled.select(F.explode(F.array_distinct(F.array(suffix_of(1), suffix_of(2)))).alias("suffix"), "label")
                .groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")))
     shares = cut(counted.select("suffix", "n", ((F.col("blocked") + PRIOR_WEIGHT * prior) / (F.col("n") + PRIOR_WEIGHT)).alias("share")))
     n_shares = shares.count()
