@@ -148,3 +148,32 @@ def test_clocks_are_per_document(spark):
     c = corpus(spark, TEXTS)
     times = {r.doc_id: r.elapsed_s for r in S.textrank_timed(c).collect()}
     assert 0 < times[2] < times[7]
+
+
+@pytest.mark.parametrize("kind,joined", [("textrank", lambda c: G.textrank_edges(c.toks)), ("lexrank", lambda c: G.lexrank_edges(c.sents, c.toks))])
+def test_pairs_in_rows_equal_joined_pairs(spark, monkeypatch, kind, joined):
+    rows = [*enumerate(TEXTS), (2, "single one. single two. one two"), (None, "no id. no id."), (90, None)]      # document 2 twice
+    long = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((*r[:3], *(round(v, 9) for v in r[3:])) for r in joined(S.Corpus.of(long)).collect())
+    assert any(r[0] == 2 for r in want) and any(r[0] == 7 for r in want)
+    for sentences, at_once in ((R.GIANT_SENTENCES, R.PAIRS_AT_ONCE), (30, 5)):                                   # document 7 becomes a giant
+        monkeypatch.setattr(R, "GIANT_SENTENCES", sentences)
+        monkeypatch.setattr(R, "PAIRS_AT_ONCE", at_once)
+        got = S.Corpus.of(long).pairs(kind, joined).collect()
+        assert sorted((*r[:3], *(round(v, 9) for v in r[3:])) for r in got) == want
+
+
+@pytest.mark.parametrize("kind", ["textrank", "lexrank"])
+def test_pairs_in_rows_shuffle_nothing(spark, kind):
+    c = S.Corpus.of(spark.read.parquet(f"{SF_TINY}/documents.parquet"))
+    plan = c.pairs(kind, None)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_rounding_and_picks_are_those_of_the_jvm(spark):
+    x = [0.0, 0.0009765625, 1.0000000005, 2.5, 1e-10, 5e-10, 123456.7890123455, 3.0000000015, -0.0009765625, 1 / 3, 0.1 + 0.2]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "v double").select(F.round("v", 9)).collect()]
+    assert np.allclose(R.rounded(np.array(x), 9) / 1e9, want, rtol=1e-15, atol=0)
+    s = R.Slice(arrays(["aa bb. cc dd. ee ff. gg", "!!!", "aa. bb"]))
+    n, at = R.best(s, np.array([1.0, 2.0, 2.0, 2.0, 0.5, 0.5]), 2, 9)
+    assert n.tolist() == [2, 0, 2] and at.tolist() == [1, 2, 0, 1]
