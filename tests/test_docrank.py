@@ -177,3 +177,48 @@ def test_rounding_and_picks_are_those_of_the_jvm(spark):
     s = R.Slice(arrays(["aa bb. cc dd. ee ff. gg", "!!!", "aa. bb"]))
     n, at = R.best(s, np.array([1.0, 2.0, 2.0, 2.0, 0.5, 0.5]), 2, 9)
     assert n.tolist() == [2, 0, 2] and at.tolist() == [1, 2, 0, 1]
+
+
+def prose(n, words, seed):
+    """``n`` sentences of 2 to 12 of ``words`` words, some far more frequent than others."""
+    rng = np.random.default_rng(seed)
+    return [[f"w{int(w)}" for w in rng.zipf(1.4, size=rng.integers(2, 12)) % words] for _ in range(n)]
+
+
+def test_long_documents_are_ranked_in_their_rows(spark):
+    """Thousands of sentences are no reason for joins, of which each rank step makes many."""
+    long = ". ".join(" ".join(s) for s in prose(4000, 500, 3))
+    c = S.Corpus.of(spark.createDataFrame([(1, long), (2, TEXTS[0])], "doc_id long, text string"), together=("lexrank", "textrank"))
+    assert not c.has_giants
+    assert {(r.model, r.doc_id) for r in c.every_summary(["lexrank", "textrank"], 2).where("summary != ''").collect()} \
+        == {(m, d) for m in ("lexrank", "textrank") for d in (1, 2)}
+
+
+@pytest.mark.parametrize("limits", [{}, {"KEPT_EDGES": 0}, {"KEPT_EDGES": 3000}, {"CELLS_AT_ONCE": 300, "PAIRS_AT_ONCE": 50},
+                                    {"FREQUENT": 1}, {"FREQUENT": 1000}, {"FEW_SENTENCES": 0}, {"KEPT_PARTS": 0, "PAIRS_AT_ONCE": 7}])
+def test_graphs_in_blocks_equal_dense_graphs(monkeypatch, limits):
+    """Cosine rows by frequent and other words, edges as numbers or bits, and entry pairs in parts, against dense matrices."""
+    for name, value in limits.items():
+        monkeypatch.setattr(R, name, value)
+    docs = [prose(130, 60, 1), [["aa"]], [], prose(70, 500, 2), [["aa", "bb"], [], ["bb"]], prose(9, 8, 4)]
+    s = R.Slice(pa.array(docs, pa.list_(pa.list_(pa.string()))))
+    got = {m: R._METHODS[m](s, {**S.PARAMS, "k": 3}) for m in ("lexrank", "reduction", "textrank")}
+    for d, sents in enumerate(docs):
+        n = len(sents)
+        words = sorted({w for x in sents for w in x})
+        tf = np.array([[x.count(w) for w in words] for x in sents], dtype=float).reshape(n, len(words))
+        v = tf * np.log(n / np.maximum((tf > 0).sum(0), 1))
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        u = np.divide(v, norm, out=np.zeros(v.shape), where=norm > 0)
+        ln = np.log(np.maximum([len(x) for x in sents], 1))
+        den = ln[:, None] + ln[None, :]
+        shared = (tf > 0).astype(float) @ (tf > 0).T
+        graphs = {"lexrank": (u @ u.T > 0.1).astype(float), "textrank": np.divide(shared, den, out=np.zeros((n, n)), where=den > 0)}
+        mine = slice(s.first[d], s.first[d + 1])
+        for m, w in graphs.items():
+            np.fill_diagonal(w, 0.0)
+            out, r = w.sum(1), np.full(n, 1.0 / max(n, 1))
+            for _ in range(20):
+                r = 0.15 / max(n, 1) + 0.85 * (w @ np.divide(r, out, out=np.zeros(n), where=out > 0) + r[out == 0].sum() / max(n, 1))
+            assert np.abs(got[m][mine] - r).max(initial=0) < 1e-12
+        assert np.abs(got["reduction"][mine] - graphs["textrank"].sum(1)).max(initial=0) < 1e-9

@@ -142,3 +142,13 @@ def test_segment_is_independent_of_batches_and_partitions(spark):
     for i in (1, 4):
         assert sorted(tuple(r)[1:] for r in among if r.doc_id == i) == alone
     assert {(r.doc_id, r.section) for r in among if r.doc_id not in (1, 4)} == {(0, "header"), (5, "skills")}
+
+
+def test_strip_takes_all_white_space_at_both_ends_only(spark):
+    """Every character of the class, against the class itself as a pattern."""
+    white = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and re.fullmatch(r"\s", c)] + ["​", "᠎", "﻿", "\x00"]
+    texts = [f"{c}{c} a{c}b é\U0001f600{c}" for c in white] + ["", " ", "　\n", "x", None, "".join(white)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    by_pattern = F.regexp_replace("t", rf"^{T.WS_CLASS}+|{T.WS_CLASS}+\z", "")
+    assert df.where(~T.strip_ws("t").eqNullSafe(by_pattern)).count() == 0
+    assert df.where(T.strip_ws("t") != F.col("t")).count() > 25
